@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from webloom.functions import text
 from webloom.functions.hashing import text_hash
+from webloom.session import spread
 
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
@@ -52,10 +53,12 @@ def chunk(df: DataFrame, body: Column, record_id: Column, source_url: Column | N
     """Chunk rows with their provenance.  `chunk_id` derives from set, record and index, so a rerun
     gives the same ids."""
     url = source_url if source_url is not None else F.lit(None).cast("string")
-    windows = df.select(record_id.cast("string").alias("record_id"), url.alias("source_url"),
+    windows = spread(df).select(record_id.cast("string").alias("record_id"), url.alias("source_url"),
                         word_windows(body, size, overlap).alias("_w"))
+    # An outer generator: the inner one would add a size filter that cuts the windows twice.
     rows = windows.select("record_id", "source_url", F.size("_w").alias("total_chunks"),
-                          F.posexplode("_w").alias("chunk_index", "text_content"))
+                          F.posexplode_outer("_w").alias("chunk_index", "text_content"))
+    rows = rows.where(F.col("text_content").isNotNull())
     chunk_id = F.sha2(F.concat_ws("/", F.lit(set_id), "record_id", "chunk_index"), 256)
     return rows.select(chunk_id.alias("chunk_id"), F.lit(set_id).alias("set_id"), "record_id", "source_url",
                        "chunk_index", "total_chunks", "text_content", text_hash(F.col("text_content")).alias("content_hash"))

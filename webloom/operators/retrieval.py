@@ -52,8 +52,8 @@ def term_vectors(df: DataFrame, id_col: str, body: str) -> DataFrame:
     """Long form (id, term, weight) of the L2-normalised term frequencies; empty texts have no rows."""
     counted = df.select(id_col, term_counts(F.col(body)).alias("_t"))
     normed = counted.select(id_col, "_t", vector_norm(F.col("_t")).alias("_norm"))
-    return normed.select(id_col, "_norm", F.inline("_t")).select(
-        id_col, "term", (F.col("n") / F.col("_norm")).alias("weight"))
+    rows = normed.select(id_col, "_norm", F.inline_outer("_t")).where(F.col("term").isNotNull())
+    return rows.select(id_col, "term", (F.col("n") / F.col("_norm")).alias("weight"))
 
 
 def cosine(left: Column, right: Column) -> Column:
@@ -81,11 +81,12 @@ def search(chunks: DataFrame, query: str, k: int = TOP_K, id_col: str = "chunk_i
     def score(t: Column) -> Column:
         hits = F.filter(t, lambda x: x["term"].isin(*sorted(counts)))
         dot = F.aggregate(hits, F.lit(0.0), lambda acc, x: acc + x["n"] * F.element_at(weights, x["term"]))
-        return F.when(F.size(t) > 0, F.least(F.lit(1.0), dot / vector_norm(t))).otherwise(F.lit(0.0))
-    scored = chunks.withColumn("_s", text.let(term_counts(F.col(body)), score))
-    return (scored.where(F.col("_s") > MIN_SCORE)
-            .withColumn("similarity_score", F.round("_s", 4)).drop("_s")
-            .orderBy(F.desc("similarity_score"), id_col).limit(k))
+        cos = F.when(F.size(t) > 0, F.least(F.lit(1.0), dot / vector_norm(t)))
+        return text.let(cos, lambda s: F.when(s > MIN_SCORE, F.round(s, 4)))
+    # Too weak scores are null and sort last; a filter before the limit would score every row twice.
+    scored = chunks.withColumn("similarity_score", text.let(term_counts(F.col(body)), score))
+    best = scored.orderBy(F.desc_nulls_last("similarity_score"), id_col).limit(k)
+    return best.where(F.col("similarity_score").isNotNull())
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:

@@ -19,6 +19,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
 
+# Inputs up to this size per core are spread over all cores before CPU-heavy expressions.
+SPREAD_BYTES = 16 * 1024 * 1024
+
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
@@ -63,3 +66,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when a small input would arrive in fewer partitions than there are cores.
+
+    Only inputs of at most `SPREAD_BYTES` per core (by the optimizer's size estimate) are moved; large
+    inputs keep the partitions of their scan, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES * cores else df
