@@ -42,78 +42,83 @@ def _tidy(url: Column) -> Column:
 def url_parts(url: Column) -> Column:
     """STRUCT(scheme, netloc, path, params, query, fragment); parts that are absent are ''."""
     def split(u: Column) -> Column:
-        def part(group: int) -> Column:
-            return F.regexp_extract(u, _SPLIT, group)
-        full_path = part(2)
-        params = F.regexp_extract(full_path, r";([^/]*)$", 1)
-        has_params = full_path.rlike(r";[^/]*$")
-        return F.struct(
+        part = lambda group: F.regexp_extract(u, _SPLIT, group)
+        return text.let(part(2), lambda path: F.struct(
             F.lower(F.regexp_extract(u, _SCHEME, 1)).alias("scheme"),
             part(1).alias("netloc"),
-            F.when(has_params, F.regexp_replace(full_path, r";[^/]*$", "")).otherwise(full_path).alias("path"),
-            F.when(has_params, params).otherwise(F.lit("")).alias("params"),
+            F.regexp_replace(path, r";[^/]*$", "").alias("path"),
+            F.regexp_extract(path, r";([^/]*)$", 1).alias("params"),
             part(3).alias("query"),
-            part(4).alias("fragment"))
+            part(4).alias("fragment")))
     return text.let(_tidy(url), split)
 
 
-def _unsplit(scheme: Column, netloc: Column, path: Column, params: Column, query: Column, fragment: Column) -> Column:
-    def prefixed(mark: str, c: Column) -> Column:
-        return F.when(c != "", F.concat(F.lit(mark), c)).otherwise("")
-    local = F.concat(path, prefixed(";", params))
-    rooted = F.when(local.startswith("/") | (local == ""), local).otherwise(F.concat(F.lit("/"), local))
-    hierarchical = scheme.isin([s for s in RELATIVE_SCHEMES if s]) & (local.startswith("/") | (local == ""))
-    head = (F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted))
-            .when(local.startswith("//") | hierarchical, F.concat(F.lit("//"), local))
-            .otherwise(local))
-    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-                    head, prefixed("?", query), prefixed("#", fragment))
+def _prefixed(mark: str, c: Column) -> Column:
+    return F.when(c != "", F.concat(F.lit(mark), c)).otherwise("")
+
+
+def unsplit(p: Column) -> Column:
+    """Text of a url from its parts (`url_parts`)."""
+    def build(local: Column) -> Column:
+        rooted = local.startswith("/") | (local == "")
+        bare_root = local.startswith("//") | (p["scheme"].isin([s for s in RELATIVE_SCHEMES if s]) & rooted)
+        slashes = F.when((p["netloc"] != "") | bare_root, "//").otherwise("")
+        joint = F.when((p["netloc"] != "") & ~rooted, "/").otherwise("")
+        return F.concat(F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit(":"))).otherwise(""),
+                        slashes, p["netloc"], joint, local, _prefixed("?", p["query"]), _prefixed("#", p["fragment"]))
+    return text.let(F.concat(p["path"], _prefixed(";", p["params"])), build)
+
+
+def _parts(scheme: Column, netloc: Column, path: Column, params: Column, query: Column, fragment: Column) -> Column:
+    return F.struct(scheme.alias("scheme"), netloc.alias("netloc"), path.alias("path"), params.alias("params"),
+                    query.alias("query"), fragment.alias("fragment"))
 
 
 def normalize_url(url: Column) -> Column:
     """Lower scheme and authority, cut the fragment and trailing slashes (a lone `/` stays)."""
     def build(p: Column) -> Column:
         path = F.when(p["path"] == "/", F.lit("/")).otherwise(F.regexp_replace(p["path"], "/+$", ""))
-        return _unsplit(p["scheme"], F.lower(p["netloc"]), path, p["params"], p["query"], F.lit(""))
+        tidy = _parts(p["scheme"], F.lower(p["netloc"]), path, p["params"], p["query"], F.lit(""))
+        return text.let(tidy, unsplit)
     return F.when(url == "", url).otherwise(text.let(url_parts(url), build))
 
 
 def _resolve_path(base_path: Column, path: Column) -> Column:
     """Merge a relative path with its base and drop `.` and `..` steps."""
-    own = F.split(path, "/", -1)
+    # Merging drops empty steps inside the path; a rooted path is kept as it is.
     folder = F.regexp_replace(base_path, "[^/]*$", "")
-    # Merging drops empty steps inside the path.
-    tidy = F.split(F.regexp_replace(F.concat(folder, path), "/{2,}", "/"), "/", -1)
-    steps = F.when(path.startswith("/"), own).otherwise(tidy)
+    merged = F.when(path.startswith("/"), path).otherwise(F.regexp_replace(F.concat(folder, path), "/{2,}", "/"))
 
-    def fold(seq: Column) -> Column:
+    def fold(steps: Column) -> Column:
         kept = F.aggregate(
-            seq, F.array().cast("array<string>"),
+            steps, F.array().cast("array<string>"),
             lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-            .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
-        tail = F.when(F.element_at(seq, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
-            F.array().cast("array<string>"))
-        return F.array_join(F.concat(kept, tail), "/")
-    dotted = F.concat(F.lit("/"), F.array_join(steps, "/"), F.lit("/")).rlike(r"/\.\.?/")
-    joined = F.when(dotted, text.let(steps, fold)).otherwise(F.array_join(steps, "/"))
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+            .when(s == ".", acc).otherwise(F.array_append(acc, s)))
+        tail = F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise("")
+        return F.concat(F.array_join(kept, "/"), tail)
+
+    def tidy(m: Column) -> Column:
+        joined = F.when(m.rlike(r"(?:^|/)\.\.?(?:/|$)"), text.let(F.split(m, "/", -1), fold)).otherwise(m)
+        return joined
+    return F.coalesce(F.nullif(text.let(merged, tidy), F.lit("")), F.lit("/"))
 
 
 def resolve_with(base: Column, base_parts: Column, href: Column) -> Column:
     """`resolve_url` with the base already split: use it when many hrefs share one base."""
+    b = base_parts
+
     def join(p: Column) -> Column:
-        b = base_parts
-        scheme = F.when(p["scheme"] == "", b["scheme"]).otherwise(p["scheme"])
-        foreign = (scheme != b["scheme"]) | ~scheme.isin(RELATIVE_SCHEMES)
-        same_document = (p["path"] == "") & (p["params"] == "")
-        query = F.when(p["query"] == "", b["query"]).otherwise(p["query"])
-        return (F.when(foreign, href)
-                .when(p["netloc"] != "",
-                      _unsplit(scheme, p["netloc"], p["path"], p["params"], p["query"], p["fragment"]))
-                .when(same_document,
-                      _unsplit(scheme, b["netloc"], b["path"], b["params"], query, p["fragment"]))
-                .otherwise(_unsplit(scheme, b["netloc"], _resolve_path(b["path"], p["path"]),
-                                    p["params"], p["query"], p["fragment"])))
+        own_place = p["netloc"] != ""
+        same_document = ~own_place & (p["path"] == "") & (p["params"] == "")
+        target = _parts(
+            F.when(p["scheme"] == "", b["scheme"]).otherwise(p["scheme"]),
+            F.when(own_place, p["netloc"]).otherwise(b["netloc"]),
+            F.when(own_place, p["path"]).when(same_document, b["path"]).otherwise(_resolve_path(b["path"], p["path"])),
+            F.when(same_document, b["params"]).otherwise(p["params"]),
+            F.when(same_document & (p["query"] == ""), b["query"]).otherwise(p["query"]),
+            p["fragment"])
+        foreign = lambda t: (t["scheme"] != b["scheme"]) | ~t["scheme"].isin(RELATIVE_SCHEMES)
+        return text.let(target, lambda t: F.when(foreign(t), href).otherwise(unsplit(t)))
     return (F.when(F.coalesce(base, F.lit("")) == "", href).when(href == "", base)
             .otherwise(text.let(url_parts(href), join)))
 
