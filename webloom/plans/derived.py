@@ -94,17 +94,18 @@ JOBS_SQL = """(SELECT o_orderkey AS job_id, o_custkey AS project_id,
 
 
 def order_snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Two snapshots of the orders: the new one lacks keys 0 mod 10, changes 0 mod 7, adds shifted keys."""
+    """Two snapshots of the orders: the new one lacks the low-priority orders, changes the status of
+    the medium ones, and has the urgent ones again under new keys."""
     o = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     old = o.withColumn("record_index", F.col("o_orderkey"))
-    kept = o.where(F.col("o_orderkey") % 10 != 0).withColumn(
-        "o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
-    added = o.where(F.col("o_orderkey") % 9 == 0).withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000)
+    kept = o.where(F.col("o_orderpriority") != "5-LOW").withColumn(
+        "o_orderstatus", F.when(F.col("o_orderpriority") == "3-MEDIUM", "X").otherwise(F.col("o_orderstatus")))
+    added = o.where(F.col("o_orderpriority") == "1-URGENT").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000)
     new = kept.unionByName(added).withColumn("record_index", F.col("o_orderkey"))
     return old, new
 
 
 SNAPSHOTS_SQL = """old_s AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders),
-new_s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderpriority
-  FROM orders WHERE o_orderkey % 10 <> 0
-  UNION ALL SELECT o_orderkey + 1000000000, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 9 = 0)"""
+new_s AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderpriority
+  FROM orders WHERE o_orderpriority <> '5-LOW'
+  UNION ALL SELECT o_orderkey + 1000000000, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT')"""

@@ -242,11 +242,11 @@ def h06(spark, d):
     return identity.json_keys(e.withColumn("data", F.when(F.col("event_id") % 3 == 0, more).otherwise(F.col("props"))), "data", "event_id")
 
 
-@query("h07_key_sets", """WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0)
+@query("h07_key_sets", """WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT')
   SELECT coalesce(o.k, n.k) AS o_custkey, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' ELSE 'matched' END AS key_status FROM o FULL JOIN n ON o.k = n.k""")
 def h07(spark, d):
     o = table(spark, d, "orders")
-    return identity.key_sets(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), ["o_custkey"])
+    return identity.key_sets(o.where("o_orderstatus = 'F'"), o.where("o_orderpriority = '1-URGENT'"), ["o_custkey"])
 
 
 @query("h08_union_distinct", "SELECT lang AS v FROM documents UNION SELECT source FROM documents UNION SELECT event_type FROM events")
