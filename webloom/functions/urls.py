@@ -157,10 +157,8 @@ def origin(url: Column) -> Column:
 
 def hostname(url: Column) -> Column:
     """Lower-case host without user-info, port and brackets; null when there is none."""
-    bare = F.regexp_replace(authority(url), "^.*@", "")
-    host = F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)).otherwise(
-        F.regexp_replace(bare, ":.*$", ""))
-    return F.nullif(host, F.lit(""))
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]*)(?::[^/?#@]*)?(?:[/?#]|$)", 1)
+    return F.nullif(F.btrim(F.lower(host), F.lit("[]")), F.lit(""))
 
 
 def host_label(url: Column, default: str = "Scrape job") -> Column:
@@ -203,17 +201,18 @@ def next_numbered_page(url: Column) -> Column:
 
 def refusal_reason(url: Column) -> Column:
     """Why a url must not be requested, judged from its text alone; null when nothing is wrong."""
+    def judge(p: Column) -> Column:
+        refused = p["host"].isin(REFUSED_HOSTS) | reduce(
+            lambda a, b: a | b, [p["host"].endswith(e) for e in REFUSED_HOST_ENDINGS])
+        return (F.when(F.coalesce(p["raw"], F.lit("")) == "", "URL must be a non-empty string.")
+                .when(~p["scheme"].isin("http", "https"), F.concat(
+                    F.lit("Unsupported scheme '"), p["scheme"], F.lit("'. Only 'http' and 'https' are allowed.")))
+                .when(p["host"].isNull(), "URL is missing a valid hostname.")
+                .when(refused, F.concat(F.lit("Hostname '"), p["host"], F.lit("' is not permitted.")))
+                .when(p["site"].rlike("[^:@][^@]*@|@.*@"), "Embedded credentials in URLs are rejected."))
     u = text.strip(url)
-    scheme = F.lower(F.regexp_extract(u, _SCHEME, 1))
-    host = hostname(u)
-    refused = host.isin(REFUSED_HOSTS) | reduce(lambda a, b: a | b, [host.endswith(e) for e in REFUSED_HOST_ENDINGS])
-    user_info = F.regexp_extract(authority(u), "^(.*)@", 1)
-    return (F.when(F.coalesce(url, F.lit("")) == "", "URL must be a non-empty string.")
-            .when(~scheme.isin("http", "https"), F.concat(
-                F.lit("Unsupported scheme '"), scheme, F.lit("'. Only 'http' and 'https' are allowed.")))
-            .when(host.isNull(), "URL is missing a valid hostname.")
-            .when(refused, F.concat(F.lit("Hostname '"), host, F.lit("' is not permitted.")))
-            .when(F.regexp_replace(user_info, ":", "") != "", "Embedded credentials in URLs are rejected."))
+    return text.let(F.struct(url.alias("raw"), F.lower(F.regexp_extract(u, _SCHEME, 1)).alias("scheme"),
+                             hostname(u).alias("host"), authority(u).alias("site")), judge)
 
 
 def ipv4_number(host: Column) -> Column:
@@ -267,7 +266,8 @@ def is_blocked_ip(ip: Column) -> Column:
     def judge(nums: Column) -> Column:
         return F.when(nums["v4"].isNotNull() | nums["v6"].isNotNull(),
                       _within(nums["v4"], nums["v6"], REFUSED_NETWORKS + RESERVED_V6_NETWORKS))
-    return text.let(F.struct(ipv4_number(ip).alias("v4"), ipv6_hex(ip).alias("v6")), judge)
+    numbers = F.struct(ipv4_number(ip).alias("v4"), ipv6_hex(ip).alias("v6"))
+    return F.when(ip.rlike(r"^[0-9.]+$|:"), text.let(numbers, judge))    # names need no arithmetic
 
 
 def percent_decode(c: Column) -> Column:
