@@ -61,7 +61,7 @@ def search_records(df: DataFrame, query: str | None, json: Column) -> DataFrame:
 
 def search_records_like(df: DataFrame, query: str, json: Column) -> DataFrame:
     """LIKE search: `%` and `_` are wildcards, at most 200 characters, any case."""
-    return df.where(json.ilike(F.lit(f"%{query[:200]}%")))
+    return df.where(json.ilike(f"%{query[:200]}%"))
 
 
 def page_of(df: DataFrame, order_col: str, page: int = 1, per_page: int = 25, most: int = 200) -> DataFrame:

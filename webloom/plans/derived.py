@@ -56,12 +56,13 @@ def sitemap_candidates(spark: SparkSession, folder: str) -> DataFrame:
                  '<x:url><x:loc> https://s', key, '.example.com/one?a=1&amp;b=2 </x:loc></x:url><x:url><x:loc>ftp://no</x:loc></x:url>',
                  '<x:url><x:loc>http://s', key, '.example.com/two</x:loc></x:url></x:urlset>')
     index = _page('<sitemapindex><sitemap><loc>https://s', key, '.example.com/late.xml</loc></sitemap></sitemapindex>')
-    rows = F.array(
-        F.struct(F.lit(0).alias("seq"), F.when(key % 2 == 0, 404).otherwise(200).alias("status"),
-                 F.lit("text/html").alias("content_type"), F.lit("<html></html>").alias("body")),
-        F.struct(F.lit(1), F.lit(200), F.lit("application/xml"), F.when(key % 4 == 0, index).otherwise("<urlset><url><loc>http://bad</loc>")),
-        F.struct(F.lit(2), F.lit(200), F.lit("text/plain"), good),
-        F.struct(F.lit(3), F.lit(200), F.lit("text/xml"), index))
+    def candidate(seq: int, status: Column, content_type: str, body: Column) -> Column:
+        return F.struct(F.lit(seq).alias("seq"), status.alias("status"), F.lit(content_type).alias("content_type"), body.alias("body"))
+    fine = F.lit(200)
+    broken = F.when(key % 4 == 0, index).otherwise("<urlset><url><loc>http://bad</loc>")
+    rows = F.array(candidate(0, F.when(key % 2 == 0, 404).otherwise(200), "text/html", F.lit("<html></html>")),
+                   candidate(1, fine, "application/xml", broken), candidate(2, fine, "text/XML; charset=utf-8", good),
+                   candidate(3, fine, "text/xml", index))
     return s.select("s_suppkey", _page("s", key).alias("site"), F.inline(rows))
 
 

@@ -55,7 +55,8 @@ def sitemap_urls(candidates: DataFrame, site: str = "site", seq: str = "seq") ->
     good = candidates.where((F.col(seq) < SITEMAP_CANDIDATES) & (F.col("status") == 200) & looks
                             & _well_formed(F.col("body")))
     first = good.groupBy(site).agg(F.min_by("body", seq).alias("body"))
-    locs = F.regexp_extract_all("body", F.lit(r"(?s)<(?:[\w.-]+:)?[\w.-]*loc(?:\s[^>]*)?>([^<]*)<"), F.lit(1))
+    read = F.regexp_replace("body", r"(?s)<!--.*?-->", "")
+    locs = F.regexp_extract_all(read, F.lit(r"(?s)<(?:[\w.-]+:)?[\w.-]*loc(?:\s[^>]*)?>([^<]*)<"), F.lit(1))
     unescaped = lambda u: F.replace(F.replace(F.replace(u, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
     kept = F.filter(F.transform(locs, lambda u: unescaped(text.strip(u))), lambda u: u.startswith("http"))
     rows = first.select(site, F.posexplode_outer(kept).alias("position", "url"))
