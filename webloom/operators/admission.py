@@ -6,17 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import text, urls
+from webloom.session import spread
 
 MAX_REQUESTS = 5          # a chain of requests, redirects included
 
 
+def _with_url_parts(df: DataFrame, url_col: str) -> DataFrame:
+    """Scheme, host and authority as columns: every later test reads them instead of the url."""
+    u = text.strip(F.col(url_col))
+    return df.withColumns({"_scheme": urls.scheme_of(u), "_host": urls.hostname(u), "_site": urls.authority(u)})
+
+
 def screen_urls(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Add `ok` and `reason` from the url text alone (scheme, host, user-info, literal address)."""
-    host = urls.hostname(text.strip(F.col(url_col)))
+    host = F.col("_host")
     literal = F.when(urls.is_blocked_ip(host), F.concat(
         F.lit("Host '"), host, F.lit("' resolved to blocked/private address '"), host, F.lit("'.")))
-    reason = F.coalesce(urls.refusal_reason(F.col(url_col)), literal)
-    return df.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
+    parts = df if "_host" in df.columns else _with_url_parts(spread(df), url_col)
+    reason = F.coalesce(urls.refusal_of(F.col(url_col), F.col("_scheme"), host, F.col("_site")), literal)
+    return parts.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).select(*df.columns, "ok", "reason")
 
 
 def screen_hosts(resolved: DataFrame, host_col: str = "host", ip_col: str = "ip") -> DataFrame:
@@ -35,8 +43,8 @@ def same_domain(links: DataFrame, seeds: DataFrame, url_col: str = "url", seed_c
 
 
 def robots_rules(files: DataFrame, agent: str, host_col: str = "host", body_col: str = "body") -> DataFrame:
-    """The rules that bind `agent`, one row per host: rules ARRAY<STRUCT<allow, prefix>> in file
-    order, crawl_delay.  Hosts without a matching group have no row.
+    """The rules that bind `agent`, one row per robots file: rules ARRAY<STRUCT<allow, prefix>> in file
+    order (null when no group applies), crawl_delay.
 
     A robots file is bounded by the size a reader accepts, so its lines are numbered and carried
     forward inside the row; nothing is shuffled.
@@ -92,8 +100,7 @@ def robots_rules(files: DataFrame, agent: str, host_col: str = "host", body_col:
     chosen = text.let(groups, lambda gs: F.coalesce(
         F.get(F.filter(gs, lambda g: ~star(g) & mine(g)), F.lit(0)), F.get(F.filter(gs, star), F.lit(0))))
     picked = files.select(F.lower(host_col).alias(host_col), chosen.alias("_g"))
-    return picked.where(F.col("_g").isNotNull()).select(
-        host_col, F.col("_g.rules").alias("rules"), F.col("_g.delay").alias("crawl_delay"))
+    return picked.select(host_col, F.col("_g.rules").alias("rules"), F.col("_g.delay").alias("crawl_delay"))
 
 
 def robots_sitemaps(files: DataFrame, host_col: str = "host", body_col: str = "body") -> DataFrame:
@@ -111,18 +118,21 @@ def _robots_path(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
+def _first_rule_allows(url: Column, rules: Column) -> Column:
+    fits = lambda p: F.get(F.filter(rules, lambda r: (r["prefix"] == "*") | p.startswith(r["prefix"])), F.lit(0))
+    return F.coalesce(F.when(rules.isNotNull(), text.let(_robots_path(url), lambda p: fits(p)["allow"])), F.lit(True))
+
+
 def robots_verdict(links: DataFrame, rules: DataFrame, url_col: str = "url", host_col: str = "host") -> DataFrame:
     """Add robots_allowed and crawl_delay: the first rule in file order whose prefix fits decides.
 
     One row per host joins the links, rules travel as an array, so links are never multiplied; AQE
     broadcasts small rule tables and splits hosts that hold a large share of the links.
     """
-    keyed = links.withColumn("_host", urls.authority(F.col(url_col)))
+    keyed = spread(links).withColumn("_host", urls.authority(F.col(url_col)))
     joined = keyed.join(rules.withColumnRenamed(host_col, "_host"), "_host", "left")
-    path = _robots_path(F.col(url_col))
-    first = text.let(path, lambda p: F.get(F.filter(
-        F.col("rules"), lambda r: (r["prefix"] == "*") | p.startswith(r["prefix"])), F.lit(0))["allow"])
-    return joined.withColumn("robots_allowed", F.coalesce(first, F.lit(True))).drop("_host", "rules")
+    verdict = _first_rule_allows(F.col(url_col), F.col("rules"))
+    return joined.withColumn("robots_allowed", verdict).drop("_host", "rules")
 
 
 def redirect_chains(hops: DataFrame, request_id: str = "request_id", hop: str = "hop", url_col: str = "url",
@@ -142,23 +152,26 @@ def accept_links(links: DataFrame, seeds: DataFrame, rules: DataFrame | None = N
     """Every link with `reject_reason` (null when it may be crawled): visited, safety, blocked address,
     domain, asset, robots - in this order."""
     u = F.col(url_col)
-    out = screen_urls(links, url_col)
+    out = screen_urls(_with_url_parts(spread(links), url_col), url_col)
     allowed = seeds.select(urls.authority(F.col(url_col)).alias("_site"), F.lit(True).alias("_home")).distinct()
-    out = out.withColumn("_site", urls.authority(u)).join(allowed, "_site", "left")
+    out = out.join(allowed, "_site", "left")
     if visited is not None:
         done = visited.select(F.col(url_col), F.lit(True).alias("_seen")).distinct()
         out = out.join(done, url_col, "left")
     else:
         out = out.withColumn("_seen", F.lit(None).cast("boolean"))
     if resolved is not None:
-        hosts = screen_hosts(resolved).select(F.col("host").alias("_h"), F.col("blocked").alias("_blocked"))
-        out = out.withColumn("_h", urls.hostname(u)).join(hosts, "_h", "left").drop("_h")
+        hosts = screen_hosts(resolved).select(F.col("host").alias("_host"), F.col("blocked").alias("_blocked"))
+        out = out.join(hosts, "_host", "left")
     else:
         out = out.withColumn("_blocked", F.lit(None).cast("boolean"))
-    out = robots_verdict(out, rules, url_col) if rules is not None else out.withColumn("robots_allowed", F.lit(True))
+    allowed_here = F.lit(True)
+    if rules is not None:
+        out = out.join(rules.select(F.col("host").alias("_site"), "rules"), "_site", "left")
+        allowed_here = _first_rule_allows(u, F.col("rules"))
     reason = (F.when(F.col("_seen"), "visited").when(~F.col("ok"), "unsafe").when(F.col("_blocked"), "blocked address")
               .when(F.col("_home").isNull(), "other domain").when(urls.is_asset(u), "asset")
-              .when(~F.col("robots_allowed"), "robots"))
+              .when(~allowed_here, "robots"))
     return out.withColumn("reject_reason", reason).select(*links.columns, "reject_reason")
 
 

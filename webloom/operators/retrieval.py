@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webloom.functions import text
+from webloom.session import spread
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -50,7 +51,7 @@ def vector_norm(counts: Column) -> Column:
 
 def term_vectors(df: DataFrame, id_col: str, body: str) -> DataFrame:
     """Long form (id, term, weight) of the L2-normalised term frequencies; empty texts have no rows."""
-    counted = df.select(id_col, term_counts(F.col(body)).alias("_t"))
+    counted = spread(df).select(id_col, term_counts(F.col(body)).alias("_t"))
     normed = counted.select(id_col, "_t", vector_norm(F.col("_t")).alias("_norm"))
     rows = normed.select(id_col, "_norm", F.inline_outer("_t")).where(F.col("term").isNotNull())
     return rows.select(id_col, "term", (F.col("n") / F.col("_norm")).alias("weight"))
@@ -84,7 +85,7 @@ def search(chunks: DataFrame, query: str, k: int = TOP_K, id_col: str = "chunk_i
         cos = F.when(F.size(t) > 0, F.least(F.lit(1.0), dot / vector_norm(t)))
         return text.let(cos, lambda s: F.when(s > MIN_SCORE, F.round(s, 4)))
     # Too weak scores are null and sort last; a filter before the limit would score every row twice.
-    scored = chunks.withColumn("similarity_score", text.let(term_counts(F.col(body)), score))
+    scored = spread(chunks).withColumn("similarity_score", text.let(term_counts(F.col(body)), score))
     best = scored.orderBy(F.desc_nulls_last("similarity_score"), id_col).limit(k)
     return best.where(F.col("similarity_score").isNotNull())
 
@@ -146,7 +147,7 @@ def search_batch(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, id_col:
     """
     id_type = _arrow_type(chunks.schema[id_col].dataType)
     query_type = _arrow_type(queries.schema[query_id].dataType)
-    vectors = chunks.select(F.col(id_col), term_counts(F.col(body)).alias("_t"))
+    vectors = spread(chunks).select(F.col(id_col), term_counts(F.col(body)).alias("_t"))
     vectors = vectors.select(id_col, F.col("_t.term").alias("terms"), F.col("_t.n").alias("ns"),
                              vector_norm(F.col("_t")).alias("norm"))
     kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, " \

@@ -75,5 +75,8 @@ def spread(df: DataFrame) -> DataFrame:
     inputs keep the partitions of their scan, so nothing is shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if "Repartition" in plan.toString():       # spread before
+        return df
+    size = int(str(plan.stats().sizeInBytes()))
     return df.repartition(cores) if size <= SPREAD_BYTES * cores else df
