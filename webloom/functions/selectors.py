@@ -137,23 +137,44 @@ def _complex(selector: str, nodes: Column) -> list[tuple[str, Test]]:
         combinator, rest = m.group(1) or " ", rest[m.end():]
 
 
+def _outermost(found: Column) -> Column:
+    """Matches that lie in no other match: their subtrees are disjoint."""
+    start = F.struct(F.lit(-1).alias("end"), F.slice(found, 1, 0).alias("kept"))
+    return F.aggregate(found, start, lambda acc, a: F.when(
+        a["i"] > acc["end"], F.struct(a["last"].alias("end"), F.array_append(acc["kept"], a).alias("kept"))).otherwise(acc),
+        lambda acc: acc["kept"])
+
+
+def _below(found: Column, test: Test, nodes: Column) -> Column:
+    """Nodes passing `test` below any of the matches, each looked at once, in document order."""
+    base = F.get(nodes, F.lit(0))["i"]
+    inside = lambda a: F.slice(nodes, a["i"] - base + 2, a["last"] - a["i"])
+    return F.flatten(F.transform(_outermost(found), lambda a: F.filter(inside(a), test)))
+
+
 def css(selector: str, nodes: Column) -> Column:
     """Matching element nodes in document order."""
     plans = [_complex(group, nodes) for group in _split_groups(selector)]
 
-    def matched(steps: list[tuple[str, Test]], body: Callable[[Test], Column]) -> Column:
-        """Hand `body` the test of the last step; left-hand matches are bound around it."""
+    def found_by(steps: list[tuple[str, Test]]) -> Column:
         (combinator, test), before = steps[-1], steps[:-1]
         if not before:
-            return body(test)
-        left = matched(before, lambda t: F.filter(nodes, t))
-        return text.let(left, lambda found: body(lambda n: test(n) & _related(combinator, found, n, nodes)))
+            return F.filter(nodes, test)
+        left = found_by(before)
+        if combinator == " ":
+            return _below(left, test, nodes)
+        return text.let(left, lambda found: F.filter(nodes, lambda n: test(n) & _related(combinator, found, n, nodes)))
 
     def any_of(rest: list, tests: list[Test]) -> Column:
+        """Alternatives share one scan of the nodes; left-hand matches are bound around it."""
         if not rest:
             return F.filter(nodes, lambda n: reduce(lambda a, b: a | b, [t(n) for t in tests]))
-        return matched(rest[0], lambda t: any_of(rest[1:], tests + [t]))
-    return any_of(plans, [])
+        (combinator, test), before = rest[0][-1], rest[0][:-1]
+        if not before:
+            return any_of(rest[1:], tests + [test])
+        return text.let(found_by(before), lambda found: any_of(
+            rest[1:], tests + [lambda n: test(n) & _related(combinator, found, n, nodes)]))
+    return found_by(plans[0]) if len(plans) == 1 else any_of(plans, [])
 
 
 _STEP = re.compile(r"(//|/)(text\(\)|@?[\w:*-]+)((?:\[[^\]]*\])*)")
@@ -206,8 +227,9 @@ def _xpath_step(left: Column | None, axis: str, name: str, predicates: str, node
     test = _all(tests)
     if left is None:
         return F.filter(nodes, test if axis == "//" else (lambda n: test(n) & (n["up"] == -1)))
-    combinator = ">" if axis == "/" else " "
-    return text.let(left, lambda found: F.filter(nodes, lambda n: test(n) & _related(combinator, found, n, nodes)))
+    if axis == "//":
+        return _below(left, test, nodes)
+    return text.let(left, lambda found: F.filter(nodes, lambda n: test(n) & _related(">", found, n, nodes)))
 
 
 def subtree(nodes: Column, n: Column) -> Column:
