@@ -66,7 +66,10 @@ class _Flattener(HTMLParser):
         c["nth"].append(nth)
         c["nth_type"].append(nth_type)
         c["text"].append(text)
-        c["attrs"].append(attrs)
+        for key, value in attrs.items():
+            c["attr_name"].append(key)
+            c["attr_value"].append(value)
+        c["attr_end"].append(len(c["attr_name"]))
         c["shut"].append(None)
         return pos
 
@@ -77,7 +80,7 @@ class _Flattener(HTMLParser):
             if not data.strip("\t\n\f\r "):       # blank runs carry no more than one break
                 data = "\n" if "\n" in data else " "
             owner = next((name for _, name in reversed(self.open) if name in OWN_TEXT), "text")
-            self._add("#" + owner, None, None, data, None)
+            self._add("#" + owner, None, None, data, {})
 
     def handle_starttag(self, tag, attrs, closed=False):
         self._flush()
@@ -89,7 +92,7 @@ class _Flattener(HTMLParser):
         level = self.counts[-1]
         level[""] = level.get("", 0) + 1
         level[tag] = level.get(tag, 0) + 1
-        pos = self._add(tag, level[""], level[tag], None, list(kept.items()))
+        pos = self._add(tag, level[""], level[tag], None, kept)
         if tag not in VOID and not closed:
             self.open.append((pos, tag))
             self.counts.append({})
@@ -118,7 +121,7 @@ class _Flattener(HTMLParser):
 
     def handle_comment(self, data):
         self._flush()
-        self._add("#comment", None, None, data, None)
+        self._add("#comment", None, None, data, {})
 
     def finish(self):
         self.close()
@@ -128,7 +131,8 @@ class _Flattener(HTMLParser):
 
 
 def _parse_batch(html: pa.Array) -> pa.Array:
-    cols: dict[str, list] = {name: [] for name in NODE.fieldNames()}
+    cols: dict[str, list] = {name: [] for name in (*NODE.fieldNames(), "attr_name", "attr_value")}
+    cols["attr_end"] = [0]
     offsets = [0]
     for doc in html.to_pylist():
         if doc:
@@ -140,9 +144,10 @@ def _parse_batch(html: pa.Array) -> pa.Array:
             flat.finish()
         offsets.append(len(cols["tag"]))
     kinds = {"i": pa.int32(), "up": pa.int32(), "last": pa.int32(), "tag": pa.string(), "nth": pa.int32(),
-             "nth_type": pa.int32(), "text": pa.string(), "attrs": pa.map_(pa.string(), pa.string()),
-             "shut": pa.list_(pa.string())}
-    arrays = [pa.array(cols[name], kind) for name, kind in kinds.items()]
+             "nth_type": pa.int32(), "text": pa.string(), "attrs": None, "shut": pa.list_(pa.string())}
+    attrs = pa.MapArray.from_arrays(pa.array(cols["attr_end"], pa.int32()), pa.array(cols["attr_name"], pa.string()),
+                                    pa.array(cols["attr_value"], pa.string()))
+    arrays = [attrs if name == "attrs" else pa.array(cols[name], kind) for name, kind in kinds.items()]
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=list(kinds)))
 
 

@@ -97,7 +97,7 @@ def k04_edges(spark, d):
   SELECT event_id, domain, k AS request_rank, round(k * 1300.0 + max(arrival - k * 1300.0) OVER (PARTITION BY domain ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING), 3) AS slot FROM r""")
 def k05(spark, d):
     e = table(spark, d, "events")
-    asked = e.select("event_id", (F.col("user_id") % 5).alias("domain"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("arrival"))
+    asked = e.select("event_id", (F.col("user_id") % 5).alias("domain"), (F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01'"), F.col("ts")) / 1e6).alias("arrival"))
     slots = K.fetch_slots(asked, 1300.0, tie="event_id")
     return slots.select("event_id", "domain", "request_rank", F.round("slot", 3).alias("slot"))
 
