@@ -14,6 +14,7 @@ from __future__ import annotations
 import sys
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -46,53 +47,51 @@ NODES = T.ArrayType(NODE)
 
 
 class _Flattener(HTMLParser):
-    """Appends the nodes of one document to column lists shared by a whole batch."""
+    """Appends the nodes of one document to lists shared by a whole batch."""
 
-    def __init__(self, cols: dict[str, list]):
+    def __init__(self, batch: "_Batch"):
         super().__init__(convert_charrefs=True)
-        self.cols = cols
-        self.base = len(cols["tag"])
+        self.batch = batch
+        self.base = len(batch.rows)
         self.open: list[tuple[int, str]] = []     # (position, name) of the open elements
         self.counts: list[dict] = [{}]            # element counts per open level
         self.text: list[str] = []
 
-    def _add(self, tag, nth, nth_type, text, attrs):
-        c = self.cols
-        pos = len(c["tag"]) - self.base
-        c["i"].append(pos)
-        c["up"].append(self.open[-1][0] if self.open else -1)
-        c["last"].append(pos)
-        c["tag"].append(tag)
-        c["nth"].append(nth)
-        c["nth_type"].append(nth_type)
-        c["text"].append(text)
-        for key, value in attrs.items():
-            c["attr_name"].append(key)
-            c["attr_value"].append(value)
-        c["attr_end"].append(len(c["attr_name"]))
-        c["shut"].append(None)
+    def updatepos(self, i, j):                     # line numbers are not needed
+        return j
+
+    def _add(self, tag, nth, nth_type, text):
+        b = self.batch
+        pos = len(b.rows) - self.base
+        b.rows.append((self.open[-1][0] if self.open else -1, tag, nth, nth_type, text))
+        b.last.append(pos)
+        b.shut.append(None)
+        b.attr_end.append(len(b.attr_name))
         return pos
 
     def _flush(self):
-        if self.text:
-            data = "".join(self.text)
-            self.text = []
-            if not data.strip("\t\n\f\r "):       # blank runs carry no more than one break
-                data = "\n" if "\n" in data else " "
-            owner = next((name for _, name in reversed(self.open) if name in OWN_TEXT), "text")
-            self._add("#" + owner, None, None, data, {})
+        data = "".join(self.text)
+        self.text = []
+        if not data.strip("\t\n\f\r "):           # blank runs carry no more than one break
+            data = "\n" if "\n" in data else " "
+        owner = next((name for _, name in reversed(self.open) if name in OWN_TEXT), "text")
+        self._add("#" + owner, None, None, data)
 
     def handle_starttag(self, tag, attrs, closed=False):
-        self._flush()
-        kept = {}
-        for key, value in attrs:
-            where = TOKEN_ATTRS.get(key)
-            value = value or ""
-            kept[key] = " ".join(value.split()) if where and (where == "*" or tag in where.split()) else value
+        if self.text:
+            self._flush()
+        if attrs:
+            kept = {}
+            for key, value in attrs:
+                where = TOKEN_ATTRS.get(key)
+                value = value or ""
+                kept[key] = " ".join(value.split()) if where and (where == "*" or tag in where.split()) else value
+            self.batch.attr_name.extend(kept)
+            self.batch.attr_value.extend(kept.values())
         level = self.counts[-1]
-        level[""] = level.get("", 0) + 1
-        level[tag] = level.get(tag, 0) + 1
-        pos = self._add(tag, level[""], level[tag], None, kept)
+        nth = level[""] = level.get("", 0) + 1
+        nth_type = level[tag] = level.get(tag, 0) + 1
+        pos = self._add(tag, nth, nth_type, None)
         if tag not in VOID and not closed:
             self.open.append((pos, tag))
             self.counts.append({})
@@ -101,7 +100,8 @@ class _Flattener(HTMLParser):
         self.handle_starttag(tag, attrs, closed=True)
 
     def handle_endtag(self, tag):
-        self._flush()
+        if self.text:
+            self._flush()
         if any(name == tag for _, name in self.open):
             while self._close() != tag:
                 pass
@@ -109,46 +109,71 @@ class _Flattener(HTMLParser):
     def _close(self):
         pos, name = self.open.pop()
         self.counts.pop()
-        end = len(self.cols["tag"]) - 1
-        self.cols["last"][self.base + pos] = end - self.base
-        if self.cols["shut"][end] is None:
-            self.cols["shut"][end] = []
-        self.cols["shut"][end].append(name)
+        b = self.batch
+        end = len(b.rows) - 1
+        b.last[self.base + pos] = end - self.base
+        if b.shut[end] is None:
+            b.shut[end] = []
+        b.shut[end].append(name)
         return name
 
     def handle_data(self, data):
         self.text.append(data)
 
     def handle_comment(self, data):
-        self._flush()
-        self._add("#comment", None, None, data, {})
+        if self.text:
+            self._flush()
+        self._add("#comment", None, None, data)
 
     def finish(self):
-        self.close()
-        self._flush()
+        if self.text:
+            self._flush()
         while self.open:
             self._close()
 
 
-def _parse_batch(html: pa.Array) -> pa.Array:
-    cols: dict[str, list] = {name: [] for name in (*NODE.fieldNames(), "attr_name", "attr_value")}
-    cols["attr_end"] = [0]
-    offsets = [0]
-    for doc in html.to_pylist():
+class _Batch:
+    """Column lists of all documents of an Arrow batch."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.last: list[int] = []
+        self.shut: list[list[str] | None] = []
+        self.attr_name: list[str] = []
+        self.attr_value: list[str] = []
+        self.attr_end = [0]
+        self.offsets = [0]
+
+    def read(self, doc: str | None) -> None:
         if doc:
-            flat = _Flattener(cols)
+            flat = _Flattener(self)
             try:
                 flat.feed(doc)
+                flat.close()
             except (AssertionError, ValueError):   # malformed declarations: keep what was read
                 pass
             flat.finish()
-        offsets.append(len(cols["tag"]))
-    kinds = {"i": pa.int32(), "up": pa.int32(), "last": pa.int32(), "tag": pa.string(), "nth": pa.int32(),
-             "nth_type": pa.int32(), "text": pa.string(), "attrs": None, "shut": pa.list_(pa.string())}
-    attrs = pa.MapArray.from_arrays(pa.array(cols["attr_end"], pa.int32()), pa.array(cols["attr_name"], pa.string()),
-                                    pa.array(cols["attr_value"], pa.string()))
-    arrays = [attrs if name == "attrs" else pa.array(cols[name], kind) for name, kind in kinds.items()]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=list(kinds)))
+        self.offsets.append(len(self.rows))
+
+    def to_arrow(self) -> pa.Array:
+        up, tag, nth, nth_type, text = zip(*self.rows) if self.rows else ((),) * 5
+        starts = np.repeat(self.offsets[:-1], np.diff(self.offsets))
+        position = np.arange(len(self.rows)) - starts
+        ints = lambda values: pa.array(values, pa.int32())
+        fields = {"i": ints(position.astype("int32")), "up": ints(up), "last": ints(self.last), "tag": pa.array(tag, pa.string()),
+                  "nth": ints(nth), "nth_type": ints(nth_type), "text": pa.array(text, pa.string()),
+                  "attrs": pa.MapArray.from_arrays(ints(self.attr_end), pa.array(self.attr_name, pa.string()),
+                                                   pa.array(self.attr_value, pa.string())),
+                  "shut": pa.array(self.shut, pa.list_(pa.string()))}
+        nodes = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+        return pa.ListArray.from_arrays(ints(self.offsets), nodes)
+
+
+def _parse_batch(html: pa.Array) -> pa.Array:
+    batch = _Batch()
+    for doc in html.to_pylist():
+        batch.read(doc)
+    return batch.to_arrow()
 
 
 @F.arrow_udf(NODES)
@@ -159,3 +184,8 @@ def _parse_udf(html: pa.Array) -> pa.Array:
 def parse_html(html: Column) -> Column:
     """The node array of an HTML document (empty for null or empty text)."""
     return _parse_udf(html)
+
+
+def register_sql(spark) -> None:
+    """Make the parse step callable from SQL: `LATERAL VIEW OUTER inline(parse_html(html))` gives node rows."""
+    spark.udf.register("parse_html", _parse_udf)

@@ -103,16 +103,27 @@ def robots_rules(files: DataFrame, agent: str, host_col: str = "host", body_col:
     return picked.select(host_col, F.col("_g.rules").alias("rules"), F.col("_g.delay").alias("crawl_delay"))
 
 
+def _sitemap_lines(body: Column) -> Column:
+    lines = F.split(F.regexp_replace(F.coalesce(body, F.lit("")), "\r\n?", "\n"), "\n", -1)
+    named = F.filter(lines, lambda l: F.lower(text.strip(l)).startswith("sitemap:"))
+    return F.filter(F.transform(named, lambda l: text.strip(F.regexp_replace(l, "^[^:]*:", ""))), lambda v: v != "")
+
+
 def robots_sitemaps(files: DataFrame, host_col: str = "host", body_col: str = "body") -> DataFrame:
     """`Sitemap:` lines of robots files: (host, seq, sitemap)."""
-    lines = F.split(F.regexp_replace(F.col(body_col), "\r\n?", "\n"), "\n", -1)
-    found = F.filter(F.transform(lines, lambda l: F.when(
-        F.lower(text.strip(l)).startswith("sitemap:"), text.strip(F.regexp_replace(l, "^[^:]*:", "")))),
-        lambda v: v != "")
-    rows = files.select(host_col, F.posexplode_outer(found).alias("seq", "sitemap"))
+    rows = files.select(host_col, F.posexplode_outer(_sitemap_lines(F.col(body_col))).alias("seq", "sitemap"))
     return rows.where(F.col("sitemap").isNotNull())
 
 
+def sitemap_candidates(files: DataFrame, scheme: str = "https", host_col: str = "host", body_col: str = "body",
+                       most: int = 3) -> DataFrame:
+    """Sitemap urls to try per host, in order: those its robots file names, then the default place."""
+    default = F.concat(F.lit(f"{scheme}://"), F.col(host_col), F.lit("/sitemap.xml"))
+    listed = _sitemap_lines(F.col(body_col))
+    tries = F.when(F.array_contains(listed, default), listed).otherwise(F.array_append(listed, default))
+    return files.select(host_col, F.posexplode_outer(F.slice(tries, 1, most)).alias("seq", "url"))
+
+
 def _robots_path(url: Column) -> Column:
     path = F.regexp_replace(urls.percent_decode(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", "")
     return F.when(path == "", "/").otherwise(path)

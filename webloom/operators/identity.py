@@ -21,8 +21,9 @@ def require_column(df: DataFrame, name: str) -> None:
 
 
 def deduplicate(df: DataFrame, keys: Sequence[str] | None = None, order_col: str = "record_index",
-                fields: Sequence[str] | None = None) -> DataFrame:
-    """One row per distinct record (or key subset), the first by `order_col`.
+                fields: Sequence[str] | None = None, identity: Column | None = None) -> DataFrame:
+    """One row per distinct record (or key subset, or given `identity` such as a JSON fingerprint), the
+    first by `order_col`.
 
     `min_by` keeps at most one row per fingerprint and map task, so a hot group costs one row per
     task in the shuffle.
@@ -30,7 +31,8 @@ def deduplicate(df: DataFrame, keys: Sequence[str] | None = None, order_col: str
     require_column(df, order_col)
     fields = [c for c in (fields or df.columns) if c != order_col]
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    identity = compact_hash([k for k in keys if k in df.columns] if keys else fields)
+    if identity is None:
+        identity = compact_hash([k for k in keys if k in df.columns] if keys else fields)
     first = df.groupBy(identity.alias("_id")).agg(F.min_by(row, F.col(order_col)).alias("_row"))
     return first.select("_row.*")
 

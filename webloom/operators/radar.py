@@ -75,6 +75,43 @@ def changes(old: DataFrame, new: DataFrame, keys: Sequence[str] | None = None,
                     F.coalesce("_new_at", "_old_at").alias("position"), "old", "new", "changes"))
 
 
+def _json_fields(json: Column) -> Column:
+    """MAP field -> canonical JSON text of the value, from record JSON; JSON nulls are nulls."""
+    values = F.try_parse_json(json).try_cast("map<string,variant>")
+    return F.transform_values(values, lambda k, v: F.nullif(F.to_json(v), F.lit("null")))
+
+
+def changes_json(old: DataFrame, new: DataFrame, json_col: str, keys: Sequence[str] | None = None,
+                 order_col: str = "record_index") -> DataFrame:
+    """`changes` for records held as JSON text, whose fields may differ from record to record.
+
+    Keys a record lacks are left out of its fingerprint; a missing field equals null; numbers compare
+    by value.  `old` and `new` are the JSON texts."""
+    require_column(old, order_col)
+    require_column(new, order_col)
+
+    def side(df: DataFrame, is_new: bool) -> DataFrame:
+        named = F.try_parse_json(json_col).try_cast("map<string,variant>")
+        kept = F.map_filter(named, lambda k, v: k.isin(*keys)) if keys else named
+        return df.select(F.unhex(F.sha2(F.to_json(kept), 256)).alias("key_id"), F.col(order_col).alias("_at"),
+                         F.lit(is_new).alias("_is_new"), F.col(json_col).alias("_json"))
+    first = lambda mine: F.min(F.when(mine, F.col("_at")))
+    paired = side(old, False).unionByName(side(new, True)).groupBy("key_id").agg(
+        _last(F.col("_json"), False).alias("old"), _last(F.col("_json"), True).alias("new"),
+        first(~F.col("_is_new")).alias("_old_at"), first(F.col("_is_new")).alias("_new_at"))
+    fields = paired.withColumns({"_o": _json_fields(F.col("old")), "_n": _json_fields(F.col("new"))})
+    value = lambda m, k: F.element_at(m, k)
+    names = F.array_union(F.map_keys("_o"), F.map_keys("_n"))
+    changed = F.filter(names, lambda k: ~value(F.col("_o"), k).eqNullSafe(value(F.col("_n"), k)))
+    diffs = F.map_from_entries(F.transform(changed, lambda k: F.struct(k, F.struct(
+        value(F.col("_o"), k).alias("old"), value(F.col("_n"), k).alias("new")))))
+    kind = (F.when(F.col("_old_at").isNull(), "added").when(F.col("_new_at").isNull(), "removed")
+            .when(F.size("changes") > 0, "modified").otherwise("unchanged"))
+    return (fields.withColumn("changes", diffs)
+            .select(F.lower(F.hex("key_id")).alias("key_id"), kind.alias("change_type"),
+                    F.coalesce("_new_at", "_old_at").alias("position"), "old", "new", "changes"))
+
+
 def field_changes(changed: DataFrame, columns: Sequence[str | Column] = ("key_id",)) -> DataFrame:
     """Long form of the modified records: one row per changed field (field, old, new)."""
     modified = changed.where(F.col("change_type") == "modified")

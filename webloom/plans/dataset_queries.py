@@ -140,6 +140,20 @@ def r03(spark, d):
     return R.field_changes(_changes(spark, d), ["o_orderkey"])
 
 
+@query("r03_json_record_changes", _COMPARE + """ SELECT o_orderkey, change_type, CASE WHEN change_type = 'modified' THEN '"' || old_status || '">"' || new_status || '"' END AS status_change,
+  CASE change_type WHEN 'modified' THEN 'o_orderstatus' WHEN 'unchanged' THEN '' END AS fields FROM j""")
+def r03_json(spark, d):
+    old, new = derived.order_snapshots(spark, d)
+    cols = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+    as_json = lambda df, names: df.select("record_index", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("data"))
+    c = R.changes_json(as_json(old.withColumn("gone", F.lit(None).cast("string")), cols + ["gone"]), as_json(new, cols), "data", ["o_orderkey"])
+    status = F.element_at("changes", F.lit("o_orderstatus"))
+    both = F.col("change_type").isin("modified", "unchanged")
+    return c.select(F.get_json_object(F.coalesce("new", "old"), "$.o_orderkey").cast("bigint").alias("o_orderkey"), "change_type",
+                    F.when(F.col("change_type") == "modified", F.concat(status["old"], F.lit(">"), status["new"])).alias("status_change"),
+                    F.when(both, F.array_join(F.map_keys("changes"), ",")).alias("fields"))
+
+
 @query("r04_change_summary", _COMPARE + """ SELECT (SELECT count(*) FROM old_s) AS total_old, (SELECT count(*) FROM new_s) AS total_new, count(*) FILTER (change_type = 'added') AS added_count,
   count(*) FILTER (change_type = 'removed') AS removed_count, count(*) FILTER (change_type = 'modified') AS modified_count, count(*) FILTER (change_type = 'unchanged') AS unchanged_count FROM j""")
 def r04(spark, d):

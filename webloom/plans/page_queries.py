@@ -238,3 +238,11 @@ def x28(spark, d):
 @query("ud1_describe_pages")
 def ud1(spark, d):
     return X.describe_pages(_pages(spark, d).select("page_id", "url", "html")).drop("metadata")
+
+
+@query("ud1_parse_html_in_sql", "SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS anchors FROM pages")
+def ud1_sql(spark, d):
+    from webloom.functions.html import register_sql
+    register_sql(spark)
+    _pages(spark, d).createOrReplaceTempView("webloom_pages")
+    return spark.sql("SELECT page_id, count_if(n.tag = 'a') AS anchors FROM webloom_pages LATERAL VIEW OUTER inline(parse_html(html)) n GROUP BY page_id")

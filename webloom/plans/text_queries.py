@@ -221,6 +221,12 @@ def h04_key(spark, d):
     return identity.deduplicate(e, ["event_type", "user_id"], "event_id").select("event_id", "user_id", "event_type")
 
 
+@query("h04_deduplicate_json", "SELECT min(event_id) AS event_id, props FROM events GROUP BY props")
+def h04_json(spark, d):
+    e = table(spark, d, "events").select("event_id", "props")
+    return identity.deduplicate(e, order_col="event_id", identity=H.json_hash(F.col("props")))
+
+
 @query("h04_duplicate_count", "SELECT count(*) AS total_records, count(DISTINCT text) AS unique_records, count(*) - count(DISTINCT text) AS duplicate_records FROM documents")
 def h04_count(spark, d):
     return identity.duplicate_count(table(spark, d, "documents"), ["text"])

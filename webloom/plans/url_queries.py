@@ -202,3 +202,9 @@ def src8(spark, d):
     p = table(spark, d, "pages").withColumns({"status_code": F.when(k == 0, 503).otherwise(200),
                                               "content_type": F.when(k == 1, "application/pdf").otherwise("text/HTML; charset=utf-8")})
     return admission.admit_response(p, 5000, require_html=True).select("page_id", "error", "html")
+
+
+@query("src4_sitemap_candidates", """SELECT 's' || s_suppkey || '.example.com' AS host, 0 AS seq, 'https://s' || s_suppkey || '.example.com/' || CASE WHEN s_suppkey % 3 = 0 THEN 'sitemap.xml' ELSE 'a.xml' END AS url FROM supplier
+  UNION ALL SELECT 's' || s_suppkey || '.example.com', 1, 'https://s' || s_suppkey || '.example.com/sitemap.xml' FROM supplier WHERE s_suppkey % 3 <> 0""")
+def src4_candidates(spark, d):
+    return admission.sitemap_candidates(derived.robots_files(spark, d))
