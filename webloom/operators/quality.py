@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from webloom.functions.cleaning import to_date
 from webloom.functions.hashing import compact_hash
+from webloom.session import spread
 
 # Metric weights, grade limits and the field-name hints, in order of precedence.
 WEIGHTS = {"Completeness": 0.40, "Validity": 0.35, "Uniqueness": 0.25}
@@ -182,7 +183,7 @@ def quality_report_json(df: DataFrame, json_col: str, by: Sequence[str] = (),
     record = F.try_parse_json(json_col)
     entries = F.map_entries(record.try_cast("map<string,variant>"))
     wanted = (lambda e: e["key"].isin(*required)) if required else (lambda e: F.lit(True))
-    parsed = df.select(*by, F.unhex(F.sha2(F.to_json(record), 256)).alias("_id"), entries.alias("_e"))
+    parsed = spread(df).select(*by, F.unhex(F.sha2(F.to_json(record), 256)).alias("_id"), entries.alias("_e"))
     count = lambda test: F.size(F.filter("_e", test))
     counted = parsed.select(
         *by, "_id", count(filled).alias("filled"), count(present).alias("evaluated"),
