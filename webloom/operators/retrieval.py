@@ -27,9 +27,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_SCORE = 0.01
 TOP_K = 5
-# Queries per block: bounds the driver rows and the matrix each task holds.
+# Limits of a query block: queries, and cells (terms x queries) of the matrix a task holds.
 QUERY_BLOCK = 1000
 _CELLS = 4_000_000
+TERM_BUCKETS = 256
+_BUCKET_PARTS = 16
 
 
 def term_counts(body: Column) -> Column:
@@ -100,11 +102,15 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def _block_scorer(query_ids: list, vocabulary: list[str], matrix: np.ndarray, id_type: pa.DataType,
-                  query_type: pa.DataType, k: int):
-    """Task function: Arrow batches (id, terms, ns, norm) -> best k rows per query of the task."""
+def _block_scorer(query_ids: list, vocabulary: list[str], cells: tuple[np.ndarray, np.ndarray, np.ndarray],
+                  id_type: pa.DataType, query_type: pa.DataType, k: int):
+    """Task function: Arrow batches (id, terms, ns, norm) -> best k rows per query of the task.
+
+    `cells` are the (term, query, weight) entries of the block; tasks lay them out as a matrix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = pa.array(vocabulary, pa.string())
+        matrix = np.zeros((len(vocabulary), len(query_ids)))
+        matrix[cells[0], cells[1]] = cells[2]
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, object), np.empty(0))] * len(query_ids)
         rows_at_once = max(1, _CELLS // max(1, len(vocabulary)))
         for whole in batches:
@@ -152,16 +158,11 @@ def search_batch(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, id_col:
                              vector_norm(F.col("_t")).alias("norm"))
     kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, " \
             f"chunk_id {chunks.schema[id_col].dataType.simpleString()}, similarity_score double"
-    weighted = term_vectors(queries, query_id, query_text)
+    weighted = term_vectors(queries, query_id, query_text).select(query_id, "term", "weight")
     parts = []
-    for rows in _query_blocks(queries, query_id, weighted, block):
-        ids = sorted({r[0] for r in rows})
-        vocabulary = sorted({r[1] for r in rows})
-        column, line = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(vocabulary)}
-        matrix = np.zeros((len(vocabulary), len(ids)))
-        for q, term, weight in rows:
-            matrix[line[term], column[q]] = weight
-        parts.append(vectors.mapInArrow(_block_scorer(ids, vocabulary, matrix, id_type, query_type, k), kinds))
+    for ids, vocabulary, cells in _query_blocks(weighted, block):
+        scorer = _block_scorer(ids, vocabulary, cells, id_type, query_type, k)
+        parts.append(vectors.mapInArrow(scorer, kinds))
     if not parts:
         empty = vectors.sparkSession.createDataFrame([], kinds)
         return empty.withColumn("rank", F.lit(0))
@@ -172,33 +173,59 @@ def search_batch(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, id_col:
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _query_blocks(queries: DataFrame, query_id: str, weighted: DataFrame, block: int) -> Iterator[list]:
-    """(query, term, weight) rows, at most `block` queries at a time."""
-    total = queries.count()
-    blocks = max(1, math.ceil(total / block))
-    # Twice as many hash buckets as needed keep every bucket near half a block.
-    buckets = 1 if blocks == 1 else blocks * 2
-    bucket = F.pmod(F.xxhash64(query_id), F.lit(buckets))
-    for b in range(buckets):
-        part = weighted if buckets == 1 else weighted.where(bucket == b)
-        rows = [tuple(r) for r in part.select(query_id, "term", "weight").toLocalIterator()]
-        if rows:
-            yield rows
+def _query_blocks(weighted: DataFrame, block: int) -> Iterator[tuple]:
+    """Pack queries into blocks of at most `block` queries and `_CELLS` matrix cells.
+
+    The rows of a query follow each other (they come from one row), so they are read as a stream and
+    the driver holds one block at a time."""
+    ids: dict = {}
+    vocabulary: dict[str, int] = {}
+    cells: list[tuple[int, int, float]] = []
+
+    def packed() -> tuple:
+        lines, columns, weights = zip(*cells)
+        return list(ids), list(vocabulary), (np.array(lines), np.array(columns), np.array(weights))
+    for query, term, weight in weighted.toLocalIterator():
+        if query not in ids:
+            if ids and (len(ids) >= block or len(vocabulary) * (len(ids) + 1) > _CELLS):
+                yield packed()
+                ids, vocabulary, cells = {}, {}, []
+            ids[query] = len(ids)
+        cells.append((vocabulary.setdefault(term, len(vocabulary)), ids[query], weight))
+    if cells:
+        yield packed()
 
 
 def _arrow_type(dtype) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[dtype.simpleString()]
 
 
+def write_term_index(vectors: DataFrame, path: str, id_col: str = "chunk_id", mode: str = "errorifexists") -> None:
+    """Store a long-form index by term bucket, sorted by term.  A frequent term fills its bucket from
+    several tasks, split by chunk id."""
+    laid = vectors.withColumn("term_bucket", _term_bucket())
+    part = F.pmod(F.xxhash64(id_col), F.lit(_BUCKET_PARTS))
+    (laid.repartition("term_bucket", part).sortWithinPartitions("term_bucket", "term")
+     .write.mode(mode).partitionBy("term_bucket").parquet(path))
+
+
+def _term_bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+
+
 def search_terms(index: DataFrame, query: str, k: int = TOP_K, id_col: str = "chunk_id") -> DataFrame:
-    """One query against a stored long-form index (`term_vectors`): reads only the query's terms, so
-    an index laid out by term is pruned to a few files."""
+    """One query against a long-form index (`term_vectors`).  Of a stored one (`write_term_index`) only
+    the buckets and row groups of the query's terms are read."""
     counts = Counter(text.tokenize(query))
     norm = math.sqrt(sum(n * n for n in counts.values()))
     if not counts:
         return index.sparkSession.createDataFrame([], f"{id_col} string, similarity_score double")
     weights = F.create_map(*[F.lit(x) for term, n in sorted(counts.items()) for x in (term, n / norm)])
     hits = index.where(F.col("term").isin(*sorted(counts)))
+    if "term_bucket" in index.columns:
+        wanted = index.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in sorted(counts)])).alias("term"))
+        buckets = [r[0] for r in wanted.select(_term_bucket()).collect()]     # one per query term
+        hits = hits.where(F.col("term_bucket").isin(*buckets))
     dots = hits.groupBy(id_col).agg(F.sum(F.col("weight") * F.element_at(weights, F.col("term"))).alias("_s"))
     return (dots.where(F.col("_s") > MIN_SCORE)
             .select(id_col, F.round(F.least(F.lit(1.0), F.col("_s")), 4).alias("similarity_score"))

@@ -68,11 +68,12 @@ def watch_changes(snapshots: DataFrame, snapshot_path: str, events_path: str, ch
     event table and the snapshot is stored under its batch id (so a replay overwrites itself)."""
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{snapshot_path}/batch={batch_id}")
+        new = _stored(spark, f"{snapshot_path}/batch={batch_id}", batch)      # the source is read once
         before = _stored(spark, f"{snapshot_path}/batch={batch_id - 1}", batch) if batch_id else None
-        old = before if before is not None else batch.limit(0)
-        event = radar.change_events(old, batch, keys, order_col).withColumn("batch_id", F.lit(batch_id))
+        old = before if before is not None else new.limit(0)
+        event = radar.change_events(old, new, keys, order_col).withColumn("batch_id", F.lit(batch_id))
         event.write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
-        batch.write.mode("overwrite").parquet(f"{snapshot_path}/batch={batch_id}")
     return _once(snapshots, checkpoint, body)
 
 
