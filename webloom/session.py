@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +21,6 @@ DEFAULTS = {
 # Inputs up to this size per core are spread over all cores before CPU-heavy expressions.
 SPREAD_BYTES = 16 * 1024 * 1024
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
 
 def build_session(app_name: str = "webloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the package defaults; `conf` uses `__` for dots in the option name."""
@@ -37,20 +34,9 @@ def build_session(app_name: str = "webloom", master: str | None = None, **conf:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: `spark.checkpoint.dir`.
-
-    Executors can be lost, so intermediate results must lie on storage all of them see.  Only a
-    local-mode session without that setting (tests) gets a temporary folder of its own.
-    """
+    """Shared folder for intermediate tables: `spark.checkpoint.dir`, else a folder below the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="webloom-")
-    return _LOCAL_SCRATCH[context.applicationId]
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/webloom-scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -61,11 +47,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once as Parquet in the scratch folder and read it back.
 
     Unlike a cached or locally checkpointed frame the result survives executor loss, keeps column
-    pruning, and carries file sizes that AQE can use.
+    pruning, and carries file sizes that AQE can use.  `release` removes it.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of materialised tables that no later plan reads."""
+    for table in tables:
+        folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch)
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
