@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bitpack
+from webloom.llm import bitpack, packing
 from webloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from webloom.session import scratch_path
 
@@ -15,3 +15,8 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "packed")
     bitpack.write_packed(table(spark, d, "documents"), path)
     return bitpack.read_documents(spark, path)
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"))
