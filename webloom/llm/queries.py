@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bitpack, packing
+from webloom.llm import bitpack, decontaminate, hash_tree, packing, warc
 from webloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from webloom.session import scratch_path
 
@@ -20,3 +20,52 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
+
+
+@query("op3_hash_tree_shards")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return hash_tree.shard_documents(table(spark, d, "documents"), shards=40)
+
+
+_ITEM_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+               r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+OP5_SQL = f"""
+WITH dw AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+iw AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS win
+         FROM iw, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS t(i) WHERE len(w) > 0),
+dwin AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+         FROM dw, (SELECT DISTINCT n FROM wins) AS l, unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(i)),
+hits AS (SELECT doc_id, i, n, item_id FROM dwin JOIN wins USING (n, win)),
+spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS items
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated
+FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op5_benchmark_automaton", OP5_SQL)
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+_BASE32 = ", ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, {5 * g + 1}, 5))::INTEGER >> {s}) & 31) + 1, 1)"
+                    for g in range(8) for s in (15, 10, 5, 0))
+
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT x, min(page_id) AS m FROM p GROUP BY x)
+SELECT page_id, n::BIGINT AS payload_bytes, concat({_BASE32}) AS payload_digest,
+       CASE WHEN page_id > m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > m THEN m END AS refers_to
+FROM p JOIN f USING (x)
+"""
+
+
+@query("op6_warc_boundary_chain", OP6_SQL)
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, d, "pages"), path)
+    return warc.read_archives(spark, path)
