@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bitpack, decontaminate, hash_tree, packing, warc
+from webloom.llm import bitpack, decontaminate, hash_tree, line_runs, packing, warc
 from webloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from webloom.session import scratch_path
 
@@ -69,3 +69,30 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, d, "pages"), path)
     return warc.read_archives(spark, path)
+
+
+_SCALES = [3, *(2**k for k in range(2, 16))]
+OP2_SQL = r"""
+WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+lines AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS word,
+                 sum(regexp_matches(line, '[^\x20\x09-\x0D]')::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM raw),
+ids AS (SELECT doc_id, list(md5(line) ORDER BY k) AS w FROM lines WHERE word GROUP BY doc_id),
+wins AS (SELECT doc_id, i - 1 AS k, n, md5(array_to_string(w[i:i + n - 1], ',')) AS win
+         FROM ids, (SELECT unnest(SCALES) AS n) AS s, unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(i)),
+firsts AS (SELECT n, win, min((doc_id, k)) AS f FROM wins GROUP BY n, win),
+later AS (SELECT doc_id, k, n FROM wins JOIN firsts USING (n, win) WHERE (doc_id, k) <> f),
+gone AS (SELECT DISTINCT doc_id, p AS k FROM later, unnest(range(k, k + 3)) AS t(p) WHERE n = 3),
+scale AS (SELECT doc_id, max(n) AS run_scale FROM later GROUP BY doc_id)
+SELECT l.doc_id, count(*) FILTER (word)::BIGINT AS n_lines, count(*) FILTER (word AND g.k IS NOT NULL)::BIGINT AS n_removed,
+       coalesce(any_value(run_scale), 0)::INT AS run_scale,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (g.k IS NULL), '')) AS kept_sha256
+FROM lines AS l LEFT JOIN gone AS g ON l.doc_id = g.doc_id AND l.k = g.k LEFT JOIN scale AS s ON l.doc_id = s.doc_id
+GROUP BY l.doc_id
+""".replace("SCALES", str(_SCALES))
+
+
+@query("op2_line_run_suffixes", OP2_SQL)
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    kept = line_runs.delete_later_runs(table(spark, d, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "run_scale", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
