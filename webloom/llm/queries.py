@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bitpack, decontaminate, hash_tree, line_runs, packing, warc
+from webloom.llm import bitpack, decontaminate, hash_tree, line_runs, packing, secrets, warc
 from webloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from webloom.session import scratch_path
 
@@ -96,3 +96,8 @@ GROUP BY l.doc_id
 def op2(spark: SparkSession, d: str) -> DataFrame:
     kept = line_runs.delete_later_runs(table(spark, d, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", "run_scale", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op8_secret_randomness_battery")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, d, "documents"))
