@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bitpack, decontaminate, hash_tree, line_runs, packing, secrets, warc
+from webloom.llm import bitpack, decontaminate, hash_tree, line_runs, near_duplicates, packing, secrets, warc
 from webloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from webloom.session import scratch_path
 
@@ -101,3 +101,27 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
 @query("op8_secret_randomness_battery")
 def op8(spark: SparkSession, d: str) -> DataFrame:
     return secrets.find_secrets(table(spark, d, "documents"))
+
+
+_SPACED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+OP7_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct([hash(array_to_string(w[i:i + 4], ' ')) for i in range(1, greatest(len(w) - 4, 1) + 1)])) AS s
+         FROM w WHERE len(w) > 0),
+classes AS (SELECT s, min(doc_id) AS c FROM sets GROUP BY s),
+items AS (SELECT c, len(s) AS n, unnest(s) AS x FROM classes),
+pairs AS (SELECT a.c AS a, b.c AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM items a JOIN items b ON a.x = b.x AND a.c < b.c GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 85 * (na + nb - k)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT c AS node, c AS seen FROM classes UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a),
+parts AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(len(sets.s), 0)::BIGINT AS n_shingles, coalesce(component, w.doc_id) AS component_id,
+       coalesce(component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN classes ON sets.s = classes.s LEFT JOIN parts ON classes.c = parts.node
+"""
+
+
+@query("op7_hamming_near_duplicates", OP7_SQL)
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, d, "documents")).drop("text_key")
