@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bitpack, decontaminate, hash_tree, line_runs, near_duplicates, packing, secrets, warc
+from webloom.llm import bitpack, debruijn, decontaminate, hash_tree, line_runs, near_duplicates, packing, secrets, warc
 from webloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from webloom.session import scratch_path
 
@@ -125,3 +125,20 @@ FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN classes ON sets.s = classes.s LEF
 @query("op7_hamming_near_duplicates", OP7_SQL)
 def op7(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, d, "documents")).drop("text_key")
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win FROM w, unnest(range(1, greatest(len(w) - 33, 1))) AS t(i)),
+twice AS (SELECT win FROM wins GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM wins JOIN twice USING (win), unnest(range(i, i + 35)) AS t(p)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_over USING (doc_id)
+"""
+
+
+@query("op4_debruijn_spans", OP4_SQL)
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return debruijn.remove_repeats(table(spark, d, "documents"))
