@@ -40,15 +40,16 @@ def _name(page_id: Column) -> Column:
 def records_of(pages: DataFrame) -> DataFrame:
     """page_id, type, digest and the whole record (without its last line end) per page.
 
-    Payloads move once, to meet the first page of their digest; the first pages are found by a partial aggregate, and a
-    digest that many pages share is split by the adaptive join.
+    The first page of each payload that several pages share is found by a partial aggregate of digests and stored.  Spark
+    broadcasts that table while it is small and else joins by digest, where a payload that many pages share is split.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"),
                         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("about:blank")), "[\\r\\n]", "").alias("url"),
                         html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    joined = rows.join(first, "digest")
+    first = (rows.groupBy(F.unhex(F.sha1(F.col("html").cast("binary"))).alias("_sha1")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+             .where("n > 1").drop("n"))
+    joined = rows.join(materialize(first, "firsts"), F.unhex(F.sha1(F.col("html").cast("binary"))) == F.col("_sha1"), "left")
     revisit = F.coalesce(F.col("page_id") > F.col("first_id"), F.col("page_id").isNull() & F.col("first_id").isNotNull())
     kind = F.when(revisit, "revisit").otherwise("response")
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
@@ -64,7 +65,7 @@ def records_of(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Archives below `path`; the adaptive join sizes the tasks, and each task writes one archive."""
+    """Archives below `path`; each task writes the records of its pages into one archive."""
     records_of(pages).select("record").write.option("lineSep", "\n").text(path)
 
 
