@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bitpack, debruijn, decontaminate, hash_tree, line_runs, near_duplicates, packing, secrets, warc
+from webloom.llm import bitpack, debruijn, decontaminate, hash_tree, line_crf, line_runs, near_duplicates, packing, secrets, warc
 from webloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from webloom.session import scratch_path
 
@@ -142,3 +142,8 @@ FROM w LEFT JOIN left_over USING (doc_id)
 @query("op4_debruijn_spans", OP4_SQL)
 def op4(spark: SparkSession, d: str) -> DataFrame:
     return debruijn.remove_repeats(table(spark, d, "documents"))
+
+
+@query("op1_line_crf_quality")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return line_crf.label_documents(table(spark, d, "documents"), table(spark, d, "labels"))
