@@ -247,3 +247,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = materialize(first.select("part", F.col("first.doc_id").alias("component_id"), F.col("first.uid").alias("first_uid")), "firsts")
     return member.join(first, "part").select("doc_id", F.col("n").alias("n_shingles"), "component_id",
                                              (F.col("uid") == F.col("first_uid")).alias("kept"), "text_key")
+
+
+def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of `docs`, with all columns, that are first in their component."""
+    rows = materialize(near_duplicates(docs, percent), "kept")
+    keys = materialize(rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max("kept").alias("stays")).where("stays"), "keys")
+    text = F.col("text").cast("string")
+    named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(text)})
+
+    def chosen(own: DataFrame) -> DataFrame:
+        own = own.select(F.col("doc_id").alias("_own_id"), F.col("text_key").alias("_own_key"))
+        return named.join(own, F.col("_id").eqNullSafe(F.col("_own_id")) & (F.col("_key") == F.col("_own_key")), "left_semi")
+    kept = chosen(keys.where("n = 1"))
+    if not keys.where("n > 1").isEmpty():       # rows repeated in doc_id and text: one of each
+        kept = kept.unionByName(chosen(keys.where("n > 1")).dropDuplicates(["_id", "_key"]))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
