@@ -160,26 +160,24 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
     The flag is computed beside the row, so repeated doc_ids cannot confuse it.
     """
-    from pyspark.sql.functions import pandas_udf
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
-    spans = []
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    covered = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        known = [tuple(r) for r in own.collect()]
-        spans.append(pandas_udf(_ranges(known, window), "array<long>")("text"))
-    n_words = pandas_udf(_count, "long")("text")
-    marked = docs.withColumn("_covered", F.array_distinct(F.concat(*spans)) if blocks > 1 else spans[0]).withColumn("_n", n_words)
-    return marked.where((F.size("_covered") == 0) | (20 * F.size("_covered") < F.col("_n"))).drop("_covered", "_n")
+        covered.append(F.pandas_udf(_covered([tuple(r) for r in own.collect()], window), "array<int>")("text"))
+    marked = rows.select("row", F.array_distinct(F.concat(*covered)).alias("hit"), F.pandas_udf(_count, "long")("text").alias("n"))
+    return marked.where((F.size("hit") == 0) | (20 * F.size("hit") < F.col("n"))).select("row.*")
 
 
 def _count(texts):
     return texts.map(lambda t: normal(t)[1])
 
 
-def _ranges(known: list[tuple[int, str]], window: int):
-    def covered(texts):
+def _covered(known: list[tuple[int, str]], window: int):
+    def run(texts):
         scanner = Scanner(known, window)
         return texts.map(lambda t: [i for a, b in scanner.hits(normal(t)[0])[0] for i in range(a, b)] if t else [])
-    return covered
+    return run

@@ -95,5 +95,6 @@ def shard_documents(docs: DataFrame, shards: int = 40, rows_per_block: int = ROW
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
-    """All columns of `docs` below `path`, one folder per shard; no shuffle, each task appends to the shards it meets."""
-    place(docs, "doc_id", even_tree(shards), "_shard").write.partitionBy("_shard").parquet(path)
+    """`row` (all columns of `docs`) below `path`, one folder `in_shard=…` per shard; no shuffle."""
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("doc_id").alias("_key"))
+    place(rows, "_key", even_tree(shards), "in_shard").select("row", "in_shard").write.partitionBy("in_shard").parquet(path)

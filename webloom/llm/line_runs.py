@@ -34,7 +34,7 @@ def _has_word(line: Column) -> Column:
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """`docs` with `_document` (the place before its first line), `_units` and `_lead` (units before the first word)."""
+    """`docs` (with doc_id and text) and `_document` (the place before its first line), `_units` and `_lead` (units before the first word)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     order = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
     tie = (F.crc32(text.cast("binary")) * F.lit(1 << _LINE_BITS)).cast("decimal(17,0)")
@@ -103,7 +103,7 @@ def repeated_suffixes(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def delete_later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """`docs` (all columns) with `kept_text`, `n_lines`, `n_removed` and `run_scale`.
+    """`row` (all columns of `docs`, as a struct), `kept_text`, `n_lines`, `n_removed` and `run_scale`.
 
     `run_scale` is the longest level (min_lines or a larger power of two) at which a run of this document copies an
     earlier one; 0 if none does.
@@ -117,11 +117,12 @@ def delete_later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     stretches = (runs.withColumn("opens", opens).withColumn("stretch", F.sum("opens").over(along))
                  .groupBy("_document", "stretch").agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("length")).alias("b"), F.max("length").alias("scale"))
                  .groupBy("_document").agg(F.collect_list(F.struct("a", "b")).alias("_gone"), F.max("scale").alias("_scale")))
-    joined = _units(docs).join(materialize(stretches, "stretches"), "_document", "left")
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "doc_id", "text")
+    joined = _units(rows).join(materialize(stretches, "stretches"), "_document", "left")
     none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
     joined = joined.withColumn("_gone", F.coalesce("_gone", none))
     kept = F.filter("_units", lambda u, i: ~F.exists("_gone", lambda g: (i - F.col("_lead") >= g["a"]) & (i - F.col("_lead") < g["b"])))
     removed = F.aggregate("_gone", F.lit(0), lambda n, g: n + g["b"] - g["a"]).cast("long")
-    return joined.select(*[f"`{c}`" for c in docs.columns], F.array_join(kept, "\n").alias("kept_text"),
+    return joined.select("row", F.array_join(kept, "\n").alias("kept_text"),
                          (F.size("_units") - F.col("_lead")).cast("long").alias("n_lines"), removed.alias("n_removed"),
                          F.coalesce("_scale", F.lit(0)).alias("run_scale"))

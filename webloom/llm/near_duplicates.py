@@ -254,7 +254,7 @@ def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
     rows = materialize(near_duplicates(docs, percent), "kept")
     keys = materialize(rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max("kept").alias("stays")).where("stays"), "keys")
     text = F.col("text").cast("string")
-    named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(text)})
+    named = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_key"))
 
     def chosen(own: DataFrame) -> DataFrame:
         own = own.select(F.col("doc_id").alias("_own_id"), F.col("text_key").alias("_own_key"))
@@ -262,4 +262,4 @@ def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
     kept = chosen(keys.where("n = 1"))
     if not keys.where("n > 1").isEmpty():       # rows repeated in doc_id and text: one of each
         kept = kept.unionByName(chosen(keys.where("n > 1")).dropDuplicates(["_id", "_key"]))
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    return kept.select("row.*")

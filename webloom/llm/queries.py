@@ -95,7 +95,7 @@ GROUP BY l.doc_id
 @query("op2_line_run_suffixes", OP2_SQL)
 def op2(spark: SparkSession, d: str) -> DataFrame:
     kept = line_runs.delete_later_runs(table(spark, d, "documents"))
-    return kept.select("doc_id", "n_lines", "n_removed", "run_scale", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return kept.select("row.doc_id", "n_lines", "n_removed", "run_scale", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 @query("op8_secret_randomness_battery")
