@@ -19,12 +19,15 @@ import re
 import sys
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.session import materialize
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 13
@@ -89,13 +92,12 @@ _SCHEMA = "row long, doc_id long, n_words long, spans array<struct<first:long,la
 
 def _scan(items: list[tuple[int, str]], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        scanner, row = Scanner(items, window), TaskContext.get().partitionId() << 40
+        scanner = Scanner(items, window)
         kinds = (pa.int64(), pa.int64(), pa.int64(),
                  pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "last", "start", "end")])), pa.list_(pa.string()))
         for batch in batches:
             out = []
-            for name, cell in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for row, name, cell in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = cell.as_py()
                 plain, n = normal(text)
                 spans, found = scanner.hits(plain) if n else ([], set())
@@ -103,13 +105,16 @@ def _scan(items: list[tuple[int, str]], window: int):
                     places = [m.span() for m in _WORD.finditer(text)]
                     spans = [{"first": a, "last": b, "start": places[a][0], "end": places[b - 1][1]} for a, b in spans]
                 out.append((row, name, n, spans, sorted(map(str, found))))
-                row += 1
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
                                              names=["row", "doc_id", "n_words", "spans", "items"])
     return run
 
 
+def _n_hit():
+    return F.aggregate(F.col("spans"), F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+
+
 def _merge(batches):
     """Word ranges of several blocks, joined where they overlap."""
     for pdf in batches:
@@ -126,58 +131,59 @@ def _merge(batches):
         yield pdf.assign(spans=merged)
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (word and character ranges that windows cover) and items (ids as sorted strings) per document."""
+def _item_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The items, cut by a hash into blocks of about `block_bytes`."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scans = []
-    for block in range(blocks):     # a block's bytes are bounded, so is what a task's automaton holds
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        scans.append(texts.mapInArrow(_scan([tuple(r) for r in own.collect()], window), _SCHEMA))
-    if blocks == 1:
-        return scans[0].drop("row")
-    every = scans[0]
-    for scan in scans[1:]:
-        every = every.unionByName(scan)
-    return (every.groupBy("row", "doc_id", "n_words")
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items for b in range(blocks)]
+
+
+def _scan_blocks(texts: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """`texts` (row, doc_id, text) scanned for each block of items; with several blocks, `row` tells rows apart."""
+    scans = [texts.mapInArrow(_scan([tuple(r) for r in own.collect()], window), _SCHEMA) for own in blocks]
+    if len(scans) == 1:
+        return scans[0]
+    return (reduce(DataFrame.unionByName, scans).groupBy("row", "doc_id", "n_words")
             .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-            .mapInPandas(_merge, _SCHEMA).drop("row"))
+            .mapInPandas(_merge, _SCHEMA))
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, spans (word and character ranges that windows cover) and items (ids as sorted strings) per document."""
+    blocks = _item_blocks(benchmark, block_bytes)
+    number = F.monotonically_increasing_id() if len(blocks) > 1 else F.lit(0).cast("long")
+    texts = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _scan_blocks(materialize(texts, "texts") if len(blocks) > 1 else texts, blocks, window).drop("row")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a twentieth of the words or more is hit."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
-    scan = scan_documents(docs, benchmark, window, block_bytes).withColumn("n_hit", hit)
+    scan = scan_documents(docs, benchmark, window, block_bytes).withColumn("n_hit", _n_hit())
     return scan.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
                        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs` whose text is not contaminated; all columns stay, nothing is shuffled.
-
-    The flag is computed beside the row, so repeated doc_ids cannot confuse it.
-    """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES) or 1
-    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    covered = []
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        covered.append(F.pandas_udf(_covered([tuple(r) for r in own.collect()], window), "array<int>")("text"))
-    marked = rows.select("row", F.array_distinct(F.concat(*covered)).alias("hit"), F.pandas_udf(_count, "long")("text").alias("n"))
-    return marked.where((F.size("hit") == 0) | (20 * F.size("hit") < F.col("n"))).select("row.*")
-
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` whose text is not contaminated; all columns stay.  With one block of items nothing is shuffled."""
+    blocks = _item_blocks(benchmark, block_bytes)
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("own"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("text").cast("string").alias("text"))
+    if len(blocks) == 1:
+        return rows.where(~F.pandas_udf(_verdict([tuple(r) for r in blocks[0].collect()], window), "boolean")("text")).select("own.*")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
+    hit = _scan_blocks(rows.select("row", "doc_id", "text"), blocks, window).withColumn("n_hit", _n_hit())
+    return rows.join(hit.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select("row"), "row", "left_anti").select("own.*")
 
-def _count(texts):
-    return texts.map(lambda t: normal(t)[1])
 
-
-def _covered(known: list[tuple[int, str]], window: int):
+def _verdict(known: list[tuple[int, str]], window: int):
     def run(texts):
         scanner = Scanner(known, window)
-        return texts.map(lambda t: [i for a, b in scanner.hits(normal(t)[0])[0] for i in range(a, b)] if t else [])
+
+        def contaminated(text: str | None) -> bool:
+            plain, n = normal(text)
+            hit = sum(b - a for a, b in scanner.hits(plain)[0]) if n else 0
+            return hit > 0 and 20 * hit >= n
+        return texts.map(contaminated).astype(bool)
     return run
