@@ -53,9 +53,19 @@ def test_bfs_on_random_graphs_with_a_hub(spark):
         assert run(spark, edges, seeds, 3, pages) == fifo(edges, seeds, 3, pages)
 
 
-def test_page_limit_holds(spark):
-    edges = [("s", f"p{i:04d}") for i in range(700)]
-    assert len(run(spark, edges, [("s", 0)], 2, 10_000)) == K.PAGE_LIMIT
+def test_the_callers_budget_holds(spark):
+    edges = [("s", f"p{i:04d}") for i in range(900)]
+    assert len(run(spark, edges, [("s", 0)], 2, 10_000)) == 901
+    assert len(run(spark, edges, [("s", 0)], 2, 800)) == 800
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(14)]
+    assert len(run(spark, chain, [("n0", 0)], 12, 100)) == 13
+
+
+def test_start_urls_come_before_sitemap_urls(spark):
+    maps = spark.createDataFrame([("x", 0), ("y", 2)], "url string, seq int")
+    late = spark.createDataFrame([("s", 5_000_000)], "url string, seq int")
+    order = K.with_sitemap_seeds(late, maps, 3, lambda links: links.where("url <> 'y'")).orderBy("seq").collect()
+    assert [r.url for r in order] == ["s", "x"]
 
 
 def test_sitemap_seeds_only_join_a_lone_start(spark):
@@ -72,7 +82,7 @@ def test_sitemaps(spark):
     index = '<m:sitemapindex xmlns:m="http://x"><m:sitemap><m:loc>https://b.example/s.xml</m:loc></m:sitemap></m:sitemapindex>'
     rows = [("a", 0, 404, "text/xml", good), ("a", 1, 200, "text/xml", "<urlset><loc>http://bad"), ("a", 2, 200, "text/plain", good),
             ("b", 0, 200, "application/xml", index), ("b", 1, 200, "text/xml", good), ("c", 0, 200, "text/html", "<html></html>"), ("d", 3, 200, "text/xml", good)]
-    got = sitemap_urls(spark.createDataFrame(rows, "site string, seq int, status int, content_type string, body string"))
+    got = sitemap_urls(spark.createDataFrame(rows, "site string, seq int, status int, content_type string, body string"), most=3)
     assert [(r.site, r.url) for r in got.orderBy("site", "position").collect()] == [
         ("a", "https://a.example/1?x=1&y=2"), ("a", "http://a.example/2"), ("b", "https://b.example/s.xml")]
 

@@ -6,22 +6,26 @@ from webloom.functions.html import parse_html
 from webloom.model import RuleError, SelectorRule
 from webloom.operators import extraction as X
 
-ARTICLE = """<!DOCTYPE html><html><head><title>Weave Notes - Looms in 2026</title>
-<meta name="description" content="A closer look at looms."><meta property="og:title" content="Weave Notes">
-<script type="application/ld+json">{"@type": "Article", "headline": "Threads", "author": "Dr. A. Weaver", "free": true}</script></head>
-<body><header><h1 class="main-title">Warp and Weft</h1><p class="author">By Dr. A. Weaver</p></header>
-<div id="articles"><article class="post"><h2 class="post-title">First cloth</h2><a class="read-more" href="/articles/1">Read</a><span class="views">1,450 views</span></article>
-<article class="post"><h2 class="post-title">Second cloth</h2><a class="read-more" href="/articles/2">Read</a><span class="views">3,200 views</span></article></div></body></html>"""
-CATALOG = """<title>Catalog</title><meta name="description" content="Items"><h1>Shop</h1><p class="price">Rs. 20</p><a href="/item#a">More</a><img src="/widget.png" alt=" W ">
-<table><tr><th>A</th><td>1<table><tr><td>in</td></tr></table></td></tr></table><table></table><link rel="canonical" href="/c">
-<script type="application/ld+json">[{"name":"N"},{"b":2}]</script><script type="application/ld+json">{bad</script>
-<main><li>x</li><li>keep</li><p>keep</p><p>last</p></main><a rel="nofollow next" href="?page=2">n</a>"""
+FERRY = """<html lang="en"><head><title> Ferry   times </title><meta name="keywords" content="boats, tides"><meta property="og:site_name" content="Harbour">
+<script type="application/ld+json">{"@type":"BoatTrip","provider":"Quay Lines","seats":42,"cancelled":false}</script></head>
+<body><section id="board"><h3>Departures</h3><dl data-quay="north"><dt>Isle of Rum</dt><dd><time>06:40</time> berth <b>4</b></dd><dt>Eigg</dt><dd><time>09:15</time> berth <b>11</b></dd></dl>
+<dl data-quay="south"><dt>Muck</dt><dd><time>12:05</time> berth <b>2</b></dd></dl></section>
+<nav><a rel="home" href="../start?from=board">start</a><a href="tickets/day.html#fares">day tickets</a></nav><h1>Sailing today</h1></body></html>"""
+MUSEUM = """<title>Room 5</title><link rel="canonical" href="/rooms/5/"><meta name="description" content="Coins and seals"><h1>Coins</h1><h2>Silver</h2>
+<div itemprop="price">EUR 7,50</div><img src="plan.gif" alt=" floor plan "><img alt="no source">
+<table><tr><td>obol<table><tr><td>Attic</td></tr></table></td><td>430 BC</td></tr></table>
+<script type="application/ld+json">[{"room":5},{"floor":2}]</script><script type="application/ld+json">{"open":</script>
+<main><p>Owls</p><li>a</li><p>and bees</p></main><a class="fwd" rel="next" href="/rooms/6/">on</a>"""
 BROKEN = """<div><p>one<b>two<p>three</i></div><!-- <p>no</p> --><script>var a = "</p>";</script><br/><ul><li>a<li>b</ul>"""
 
 
+HOME = "https://ferry.example/today/board"
+ROOM = "https://museum.example/rooms/5"
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
-    rows = [("https://example.com", ARTICLE, 200), ("https://example.org/catalog", CATALOG, 200), ("https://example.net/broken", BROKEN, 200),
+    rows = [(HOME, FERRY, 200), (ROOM, MUSEUM, 200), ("https://example.net/broken", BROKEN, 200),
             ("https://example.net/gone", "<p>gone</p>", 404), ("https://example.net/null", None, 200)]
     return spark.createDataFrame(rows, "url string, html string, status_code int").repartition(2)
 
@@ -31,24 +35,29 @@ def values(pages, url, expression):
 
 
 @pytest.mark.parametrize("selector,want", [
-    ("h1.main-title", ["Warp and Weft"]), ("h2.post-title", ["First cloth", "Second cloth"]), ("article.post > span", ["1,450 views", "3,200 views"]),
-    ("#articles a[href^='/articles']", ["Read", "Read"]), ("a[class*='READ' i]", ["Read", "Read"]), ("header h1, span.views", ["Warp and Weft", "1,450 views", "3,200 views"]),
-    ("article:last-child h2", ["Second cloth"]), ("p:not(.author)", []), ("h2 + a", ["Read", "Read"]), ("h2 ~ span", ["1,450 views", "3,200 views"]),
-    ("article:nth-child(2) h2", ["Second cloth"]), ("[class~='post'] h2", ["First cloth", "Second cloth"]), ("body * h2", ["First cloth", "Second cloth"])])
+    ("dt", ["Isle of Rum", "Eigg", "Muck"]), ("#board > h3", ["Departures"]), ("dl[data-quay] > dd b", ["4", "11", "2"]), ("[data-quay^=sou] time", ["12:05"]),
+    ("dl[data-quay*='ORT' i] dt", ["Isle of Rum", "Eigg"]), ("h3, nav a, h1", ["Departures", "start", "day tickets", "Sailing today"]),
+    ("dl:last-child dt", ["Muck"]), ("a:not([rel])", ["day tickets"]), ("dt + dd b", ["4", "11", "2"]), ("dt ~ dt", ["Eigg"]), ("dl:nth-child(2) time", ["06:40", "09:15"]),
+    ("dt:first-of-type", ["Isle of Rum", "Muck"]), ("section * time", ["06:40", "09:15", "12:05"]), ("a[rel~=home]", ["start"]), ("dl:only-child", [])])
 def test_css(pages, selector, want):
-    got = values(pages, "https://example.com", F.transform(S.css(selector, F.col("_nodes")), lambda n: S.node_text(F.col("_nodes"), n)))
+    got = values(pages, HOME, F.transform(S.css(selector, F.col("_nodes")), lambda n: S.node_text(F.col("_nodes"), n)))
     assert got == want
 
 
 @pytest.mark.parametrize("path,want", [
-    ("//h1[@class='main-title']", ["Warp and Weft"]), ("//article[2]/h2", ["Second cloth"]), ("/html/body/div/article[1]/span", ["1,450 views"]),
-    ("//a/@href", ["https://example.com/articles/1", "https://example.com/articles/2"]), ("//h2/text()", ["First cloth", "Second cloth"]),
-    ("//span[contains(@class,'view')]", ["1,450 views", "3,200 views"]), ("//div[@id]//h2", ["First cloth", "Second cloth"])])
+    ("//dl[@data-quay='south']/dt", ["Muck"]), ("//dl/dt[2]", ["Eigg"]), ("/html/body/section/dl[1]/dd/b", ["4", "11"]), ("//h3/text()", ["Departures"]),
+    ("//nav/a/@href", ["https://ferry.example/start?from=board", "https://ferry.example/today/tickets/day.html#fares"]),
+    ("//a[starts-with(@rel,'ho')]", ["start"]), ("//section[@id]//time", ["06:40", "09:15", "12:05"])])
 def test_xpath(pages, path, want):
-    rule = SelectorRule("v", path, "xpath", attribute_name="href", is_multiple=True)
-    if not path.endswith("@href"):
-        rule = SelectorRule("v", path, "xpath", is_multiple=True)
-    assert values(pages, "https://example.com", X.rule_value(rule)) == want
+    attribute = "href" if path.endswith("@href") else None
+    rule = SelectorRule("v", path, "xpath", attribute_name=attribute, is_multiple=True)
+    assert values(pages, HOME, X.rule_value(rule)) == want
+
+
+@pytest.mark.parametrize("path", ["//h1/following-sibling::p", "//p/ancestor::div", "//child::p"])
+def test_axes_are_refused(path):
+    with pytest.raises(RuleError):
+        S.xpath(path, F.col("n"))
 
 
 @pytest.mark.parametrize("selector", ["[", "a[href=", "a >", "", "a,,b", "a::before", "a:hover"])
@@ -58,44 +67,41 @@ def test_bad_selectors_are_reported(selector):
 
 
 def test_rules(pages):
-    rules = [SelectorRule("title", "h1.main-title"), SelectorRule("posts", "h2.post-title", is_multiple=True),
-             SelectorRule("link", "a.read-more", extract_type="attr", attribute_name="href"), SelectorRule("headline", "headline", "jsonld"),
-             SelectorRule("free", "free", "jsonld"), SelectorRule("views", "span.views", regex_pattern=r"([\d,]+) views", is_multiple=True),
-             SelectorRule("none", ".none", default_value="d"), SelectorRule("nones", ".none", is_multiple=True, default_value="d"),
-             SelectorRule("empty", ".none", is_multiple=True), SelectorRule("bad", "[", default_value="z"), SelectorRule("other", "article", extract_type="plain"),
-             SelectorRule("kind", "x", "regex", default_value="k"), SelectorRule("nohref", "span", extract_type="attr")]
+    rules = [SelectorRule("head", "section h3"), SelectorRule("ports", "dt", is_multiple=True), SelectorRule("start", "a[rel]", extract_type="attr", attribute_name="href"),
+             SelectorRule("line", "provider", "jsonld"), SelectorRule("off", "cancelled", "jsonld"), SelectorRule("seats", "seats", "jsonld"),
+             SelectorRule("berths", "dd", regex_pattern=r"berth (\d+)", is_multiple=True), SelectorRule("gap", "aside", default_value="-"),
+             SelectorRule("gaps", "aside", is_multiple=True, default_value="-"), SelectorRule("nothing", "aside", is_multiple=True),
+             SelectorRule("bad", "[", default_value="?"), SelectorRule("kind", "x", "regex", default_value="k")]
     got = {r.url: r for r in X.extract(pages, rules).collect()}
-    d = got["https://example.com"].data
-    assert (d.title, d.posts, d.link) == ("Warp and Weft", ["First cloth", "Second cloth"], "https://example.com/articles/1")
-    assert (d.headline, d.free, d.views) == ("Threads", "True", ["1,450", "3,200"])
-    assert (d.none, d.nones, d.empty, d.bad, d.kind) == ("d", ["d"], [], "z", "k")
-    assert d.other == "First clothRead1,450 views" and d.nohref == "https://example.com"
+    d = got[HOME].data
+    assert (d.head, d.ports, d.start) == ("Departures", ["Isle of Rum", "Eigg", "Muck"], "https://ferry.example/start?from=board")
+    assert (d.line, d.off, d.seats, d.berths) == ("Quay Lines", "False", "42", ["4", "11", "2"])
+    assert (d.gap, d.gaps, d.nothing, d.bad, d.kind) == ("-", ["-"], [], "?", "k")
     assert got["https://example.net/gone"].data is None and got["https://example.net/gone"].error == "HTTP status 404"
-    assert got["https://example.net/null"].data.title is None
+    assert got["https://example.net/null"].data.head is None
 
 
 def test_record_list_then_clean(pages):
     from webloom.operators.clean import clean
-    records = X.extract_records(pages, "article.post", [SelectorRule("title", "h2.post-title"), SelectorRule("views", "span.views")])
-    rows = clean(records, [{"field_name": "views", "action": "to_int"}]).orderBy("record_index").collect()
-    assert [(r.title, r.views) for r in rows] == [("First cloth", 1450), ("Second cloth", 3200)]
+    records = X.extract_records(pages, "dl", [SelectorRule("port", "dt"), SelectorRule("berth", "dd b")])
+    rows = clean(records, [{"field_name": "berth", "action": "to_int"}]).orderBy("record_index").collect()
+    assert [(r.port, r.berth) for r in rows] == [("Isle of Rum", 4), ("Muck", 2)]
 
 
 def test_generic_fields(pages):
     got = {r.url: r for r in X.describe_pages(pages).collect()}
-    c = got["https://example.org/catalog"]
-    assert (c.title, c.headings, c.links) == ("Catalog", ["Shop"], ["https://example.org/item", "https://example.org/catalog?page=2"])
-    assert c.text == "keep\nlast"
-    assert [(i.url, i.alt) for i in c.images] == [("https://example.org/widget.png", "W")]
-    assert c.tables == [[["A", "1 in", "in"], ["in"]], [["in"]]]
-    assert (c.metadata.description, c.metadata.keywords, c.metadata.canonical) == ("Items", "", "https://example.org/c")
-    assert c.structured_data == ['[{"name":"N"},{"b":2}]', "{bad"]
-    assert got["https://example.com"].metadata.open_graph == {"title": "Weave Notes"}
+    m = got[ROOM]
+    assert (m.title, m.headings, m.links) == ("Room 5", ["Coins", "Silver"], ["https://museum.example/rooms/6/"])
+    assert [(i.url, i.alt) for i in m.images] == [("https://museum.example/rooms/plan.gif", "floor plan")]
+    assert m.tables == [[["obol Attic", "Attic", "430 BC"], ["Attic"]], [["Attic"]]]
+    assert (m.metadata.description, m.metadata.canonical) == ("Coins and seals", "https://museum.example/rooms/5/")
+    assert m.structured_data == ['[{"room":5},{"floor":2}]', '{"open":']
+    assert got[HOME].metadata.open_graph == {"site_name": "Harbour"} and got[HOME].metadata.keywords == "boats, tides"
     assert got["https://example.net/null"].title == "https://example.net/null"
 
 
 def test_json_ld_is_flattened_and_bad_scripts_skipped(pages):
-    assert values(pages, "https://example.org/catalog", X.json_ld()) == ['{"name":"N"}', '{"b":2}']
+    assert values(pages, ROOM, X.json_ld()) == ['{"room":5}', '{"floor":2}']
 
 
 def test_tree_rules_for_broken_markup(pages):
@@ -108,15 +114,15 @@ def test_tree_rules_for_broken_markup(pages):
 
 
 def test_custom_fields(pages):
-    got = X.custom_fields(pages, {"Price": ".price", "Posts": "h2"}).where("url = 'https://example.org/catalog'")
-    row = got.select(X.single_or_list(F.col("Price")).alias("Price"), X.single_or_list(F.col("Posts")).alias("Posts")).first()
-    assert (row.Price, row.Posts) == ("Rs. 20", "[]")
+    got = X.custom_fields(pages, {"Fee": "[itemprop]", "Ports": "dt"}).where(F.col("url") == ROOM)
+    row = got.select(X.single_or_list(F.col("Fee")).alias("Fee"), X.single_or_list(F.col("Ports")).alias("Ports")).first()
+    assert (row.Fee, row.Ports) == ("EUR 7,50", "[]")
     with pytest.raises(RuleError):
-        X.custom_fields(pages, {"Price": "["})
+        X.custom_fields(pages, {"Fee": "["})
 
 
 def test_next_page(pages, spark):
-    assert values(pages, "https://example.org/catalog", X.next_page_url(F.col("url"))) == "https://example.org/catalog?page=2"
+    assert values(pages, ROOM, X.next_page_url(F.col("url"))) == "https://museum.example/rooms/6/"
     more = spark.createDataFrame([("https://a.example/x", '<a href="/q">q</a><a href="/n#z"> Next page </a>'), ("https://a.example/list?page=4", "<p>"),
                                   ("https://a.example/none", "<p>")], "url string, html string")
     got = {r.url: r.v for r in X.with_nodes(more).select("url", X.next_page_url(F.col("url")).alias("v")).collect()}
@@ -124,15 +130,17 @@ def test_next_page(pages, spark):
 
 
 def test_rule_trial_and_schema_suggestions(pages):
-    tried = X.rule_coverage(X.try_rules(pages, [SelectorRule("t", "h2", is_multiple=True), SelectorRule("bad", "[", is_multiple=True)]))
-    got = {r.field_name: r for r in tried.collect()}
-    assert (got["t"].match_count, got["t"].pages_hit, got["t"].sample_values, got["t"].is_valid) == (2, 1, ["First cloth", "Second cloth"], True)
+    tried = X.try_rules(pages, [SelectorRule("port", "dt", is_multiple=True), SelectorRule("bad", "[", is_multiple=True)])
+    got = {r.field_name: r for r in X.rule_coverage(tried, top=2).collect()}
+    assert (got["port"].match_count, got["port"].pages_hit, got["port"].sample_values, got["port"].is_valid) == (3, 1, ["Isle of Rum", "Eigg"], True)
     assert got["bad"].is_valid is False and got["bad"].error_message
-    suggested = {r.url: r.proposed_fields for r in X.suggest_schema(pages, "title, author and price please").collect()}
-    assert [(p.field_name, p.selector) for p in suggested["https://example.com"]] == [("title", "h1"), ("author", ".author")]
-    assert [(p.field_name, p.sample_value) for p in suggested["https://example.org/catalog"]] == [("title", "Shop"), ("price", "Rs. 20")]
-    fallback = X.suggest_schema(pages, "Extract ratings, from page").where("url = 'https://example.com'").first()
-    assert [(p.field_name, p.selector, p.confidence) for p in fallback.proposed_fields] == [("ratings", ".ratings", 0.6)]
+    suggested = {r.url: r.proposed_fields for r in X.suggest_schema(pages, "name, time and cost").collect()}
+    assert [(p.field_name, p.selector) for p in suggested[HOME]] == [("title", "h1")]
+    assert [(p.field_name, p.sample_value) for p in suggested[ROOM]] == [("title", "Coins"), ("price", "EUR 7,50")]
+    guessed = X.suggest_schema(pages, "Extract berths, tides. from the harbour page and every single island").where(F.col("url") == HOME).first()
+    assert [p.field_name for p in guessed.proposed_fields] == ["berths", "tides", "harbour", "every", "single", "island"]
+    few = X.suggest_schema(pages, "berths tides harbour", guesses=2).first().proposed_fields
+    assert [(p.selector, p.confidence) for p in few] == [(".berths", 0.6), (".tides", 0.6)]
 
 
 def test_one_parse_per_page(pages):

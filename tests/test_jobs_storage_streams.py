@@ -101,7 +101,7 @@ def test_json_files(spark, tmp_path):
     writers.write_jsonl(writers.export_rows(df.withColumn("source_url", F.lit("u")), ["title", "score"]), str(tmp_path / "out"))
     lines = [json.loads(line) for f in glob.glob(str(tmp_path / "out" / "*.json")) for line in open(f, encoding="utf-8")]
     assert {"title": "a, \"b\"", "score": None, "_source_url": "u"} in lines
-    array = json.loads(writers.json_array(df, "record_index").first().json)
+    array = json.loads(writers.json_arrays(df, "record_index").first().json)
     assert [r["record_index"] for r in array] == [0, 1] and array[0]["score"] is None
 
 

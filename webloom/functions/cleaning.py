@@ -87,6 +87,8 @@ def _strings_only(fn: Callable[[Column], Column]) -> Action:
 def _int_action(c: Column, dtype: T.DataType, params: Mapping[str, Any]) -> Column:
     if isinstance(dtype, (T.IntegralType, T.BooleanType)):
         return c
+    if isinstance(dtype, T.NumericType):    # the fraction goes; null outside 64 bits
+        return F.when((c >= -(2.0 ** 63)) & (c < 2.0 ** 63), c).try_cast("bigint")
     return to_int(c.cast("string"))
 
 

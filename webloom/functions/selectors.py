@@ -193,6 +193,8 @@ def xpath(path: str, nodes: Column) -> tuple[Column, str | None]:
         if not m or leaf:
             raise RuleError(f"unsupported XPath near {expr[pos:]!r}")
         axis, name, predicates = m.groups()
+        if "::" in name:
+            raise RuleError(f"XPath axes are not supported: {name!r}")
         pos = m.end()
         if name.startswith("@") or name == "text()":
             leaf = name

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import text, urls
-from webloom.session import spread
 
 MAX_REQUESTS = 5          # a chain of requests, redirects included
 
@@ -22,7 +21,7 @@ def screen_urls(df: DataFrame, url_col: str = "url") -> DataFrame:
     host = F.col("_host")
     literal = F.when(urls.is_blocked_ip(host), F.concat(
         F.lit("Host '"), host, F.lit("' resolved to blocked/private address '"), host, F.lit("'.")))
-    parts = df if "_host" in df.columns else _with_url_parts(spread(df), url_col)
+    parts = df if "_host" in df.columns else _with_url_parts(df, url_col)
     reason = F.coalesce(urls.refusal_of(F.col(url_col), F.col("_scheme"), host, F.col("_site")), literal)
     return parts.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()).select(*df.columns, "ok", "reason")
 
@@ -42,9 +41,10 @@ def same_domain(links: DataFrame, seeds: DataFrame, url_col: str = "url", seed_c
     return links.withColumn("_site", urls.authority(F.col(url_col))).join(allowed, "_site", "left_semi").drop("_site")
 
 
-def robots_rules(files: DataFrame, agent: str, host_col: str = "host", body_col: str = "body") -> DataFrame:
-    """The rules that bind `agent`, one row per robots file: rules ARRAY<STRUCT<allow, prefix>> in file
-    order (null when no group applies), crawl_delay.
+def robots_rules(files: DataFrame, agent: str, host_col: str = "host", body_col: str = "body", order_col: str | None = None) -> DataFrame:
+    """The rules that bind `agent`, one row per host: rules ARRAY<STRUCT<allow, prefix>> in file
+    order (null when no group applies), crawl_delay.  Of several files of a host the first by `order_col` counts (by its text
+    without one).
 
     A robots file is bounded by the size a reader accepts, so its lines are numbered and carried
     forward inside the row; nothing is shuffled.
@@ -99,7 +99,8 @@ def robots_rules(files: DataFrame, agent: str, host_col: str = "host", body_col:
         return F.exists(g["agents"], lambda a: F.lit(name).contains(F.lower(a)))
     chosen = text.let(groups, lambda gs: F.coalesce(
         F.get(F.filter(gs, lambda g: ~star(g) & mine(g)), F.lit(0)), F.get(F.filter(gs, star), F.lit(0))))
-    picked = files.select(F.lower(host_col).alias(host_col), chosen.alias("_g"))
+    files = files.groupBy(F.lower(host_col).alias(host_col)).agg(F.min_by(body_col, F.col(order_col or body_col)).alias(body_col))
+    picked = files.select(host_col, chosen.alias("_g"))
     return picked.select(host_col, F.col("_g.rules").alias("rules"), F.col("_g.delay").alias("crawl_delay"))
 
 
@@ -140,7 +141,7 @@ def robots_verdict(links: DataFrame, rules: DataFrame, url_col: str = "url", hos
     One row per host joins the links, rules travel as an array, so links are never multiplied; AQE
     broadcasts small rule tables and splits hosts that hold a large share of the links.
     """
-    keyed = spread(links).withColumn("_host", urls.authority(F.col(url_col)))
+    keyed = links.withColumn("_host", urls.authority(F.col(url_col)))
     joined = keyed.join(rules.withColumnRenamed(host_col, "_host"), "_host", "left")
     verdict = _first_rule_allows(F.col(url_col), F.col("rules"))
     return joined.withColumn("robots_allowed", verdict).drop("_host", "rules")
@@ -163,7 +164,7 @@ def accept_links(links: DataFrame, seeds: DataFrame, rules: DataFrame | None = N
     """Every link with `reject_reason` (null when it may be crawled): visited, safety, blocked address,
     domain, asset, robots - in this order."""
     u = F.col(url_col)
-    out = screen_urls(_with_url_parts(spread(links), url_col), url_col)
+    out = screen_urls(_with_url_parts(links, url_col), url_col)
     allowed = seeds.select(urls.authority(F.col(url_col)).alias("_site"), F.lit(True).alias("_home")).distinct()
     out = out.join(allowed, "_site", "left")
     if visited is not None:

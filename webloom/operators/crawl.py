@@ -10,12 +10,10 @@ from pyspark.sql.window import Window
 
 from webloom.functions import urls
 from webloom.operators.extraction import link_rows, next_page_url, with_nodes
-from webloom.session import materialize
+from webloom.session import materialize, number_rows
 
 MAX_PAGES = 10
 MAX_DEPTH = 2
-PAGE_LIMIT = 500      # a crawl never visits more
-DEPTH_LIMIT = 10
 
 AcceptLinks = Callable[[DataFrame], DataFrame]
 
@@ -34,47 +32,45 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, max_page
 
     `seeds` has url, depth (0 for start urls, 1 for sitemap urls) and seq.  Links of a page are taken
     in sorted order, pages first come first served.  `known` limits expansion to pages that were
-    captured without error.
+    captured without error.  The caller's depth and page budget hold as given.
 
-    The visited set is at most `PAGE_LIMIT` rows (the limit is the crawl's own), so each round scans
-    the edges once against a frontier that is always small enough to broadcast.
+    Edges are stored once; each depth joins them with its frontier, and the frontier is numbered over all tasks.
     """
-    budget = min(max_pages, PAGE_LIMIT)
+    edges = materialize(edges.select("src", "dst"), "edges")
+    if known is not None:
+        edges = edges.join(known.select(F.col("url").alias("src")).distinct(), "src", "left_semi")
     frontier = seeds.groupBy("url").agg(F.min(F.struct("seq", "depth")).alias("_f")).select(
         "url", F.col("_f.depth").alias("depth"), F.col("_f.seq").cast("bigint").alias("_k"))
     visited, count = None, 0
-    for _ in range(min(max_depth, DEPTH_LIMIT) + 2):
-        taken = frontier.orderBy("_k", "url").limit(budget - count)
-        order = F.row_number().over(Window.orderBy("_k", "url")) + F.lit(count)   # at most PAGE_LIMIT rows
-        wave = materialize(taken.select("url", "depth", order.cast("bigint").alias("visit_order")), "wave")
+    while True:
+        wave = number_rows(frontier, ["_k", "url"], "_n").where(F.col("_n") < max_pages - count)
+        wave = materialize(wave.select("url", "depth", (F.col("_n") + count + 1).alias("visit_order")), "wave")
         found = wave.count()
         visited = wave if visited is None else visited.unionByName(wave)
         count += found
-        if found == 0 or count >= budget:
-            break
+        if found == 0 or count >= max_pages:
+            return visited
         parents = wave.where(F.col("depth") < max_depth)
-        if known is not None:
-            parents = parents.join(known.select("url").distinct(), "url", "left_semi")
-        step = edges.join(F.broadcast(parents.withColumnRenamed("url", "src")), "src")
-        fresh = step.join(F.broadcast(visited.select(F.col("url").alias("dst"))), "dst", "left_anti")
+        step = edges.join(parents.withColumnRenamed("url", "src"), "src")
         # A link is visited for the first parent that names it.
-        first = fresh.groupBy("dst").agg(F.min(F.struct("visit_order", "depth")).alias("_f"))
-        frontier = first.select(F.col("dst").alias("url"), (F.col("_f.depth") + 1).alias("depth"),
-                                F.col("_f.visit_order").alias("_k"))
-    return visited
+        first = step.groupBy("dst").agg(F.min(F.struct("visit_order", "depth")).alias("_f"))
+        fresh = first.join(visited.select(F.col("url").alias("dst")), "dst", "left_anti")
+        frontier = fresh.select(F.col("dst").alias("url"), (F.col("_f.depth") + 1).alias("depth"), F.col("_f.visit_order").alias("_k"))
 
 
-def with_sitemap_seeds(seeds: DataFrame, sitemap_urls: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """With one start url and room for more, add the first `max_pages` sitemap urls at depth 1.
+def with_sitemap_seeds(seeds: DataFrame, sitemap_urls: DataFrame, max_pages: int = MAX_PAGES, accept: AcceptLinks | None = None) -> DataFrame:
+    """With one start url and room for more, add the first `max_pages` sitemap urls at depth 1; start urls keep coming first.
 
-    `sitemap_urls` has url and seq."""
+    `sitemap_urls` has url and seq; `accept` screens them like other links, start urls are not screened."""
     start = seeds.select("url", F.lit(0).alias("depth"), F.col("seq").cast("bigint").alias("seq"))
     if max_pages <= 1:
         return start
-    extra = sitemap_urls.orderBy("seq").limit(max_pages).join(start.select("url"), "url", "left_anti")
+    extra = sitemap_urls.select("url", "seq").orderBy("seq").limit(max_pages).join(start.select("url"), "url", "left_anti")
+    extra = accept(extra) if accept else extra
     lone = seeds.agg((F.count("*") == 1).alias("_lone")).where("_lone").select(F.lit(1).alias("_one"))
     extra = extra.withColumn("_one", F.lit(1)).join(lone, "_one", "left_semi")
-    return start.unionByName(extra.select("url", F.lit(1).alias("depth"), (F.col("seq") + 1_000_000).alias("seq")))
+    both = start.unionByName(extra.select("url", F.lit(1).alias("depth"), F.col("seq").cast("bigint").alias("seq")))
+    return number_rows(both, ["depth", "seq", "url"], "_n").select("url", "depth", F.col("_n").alias("seq"))
 
 
 def next_page_edges(pages: DataFrame) -> DataFrame:
@@ -85,26 +81,24 @@ def next_page_edges(pages: DataFrame) -> DataFrame:
 
 def pagination_chain(next_edges: DataFrame, start_url: str, max_pages: int = MAX_PAGES) -> DataFrame:
     """Follow next-page edges from `start_url` until none, a repeat, another host or `max_pages`."""
-    spark = next_edges.sparkSession
-    seed = spark.range(1).select(F.lit(start_url).alias("url"), F.lit(0).alias("depth"), F.lit(0).alias("seq"))
     home = urls.authority(F.lit(start_url))
-    budget = min(max_pages, PAGE_LIMIT)
-    wave = seed.select("url", F.lit(1).cast("bigint").alias("visit_order"))
-    chain = materialize(wave, "chain")
+    seed = next_edges.sparkSession.range(1).select(F.lit(start_url).alias("url"), F.lit(1).cast("bigint").alias("visit_order"))
+    chain = materialize(seed, "chain")
     # Each hop looks up one page; doubling (pages 2^k apart) keeps the rounds logarithmic.
     inside = (urls.authority(F.col("src")) == home) & (urls.authority(F.col("dst")) == home)
-    jump = next_edges.where(inside).groupBy("src").agg(F.min("dst").alias("dst"))
-    reach = 1
-    while reach < budget:
-        hops = F.broadcast(chain)          # at most PAGE_LIMIT rows
-        ahead = jump.join(hops.withColumnRenamed("url", "src"), "src").select(
+    jump = materialize(next_edges.where(inside).groupBy("src").agg(F.min("dst").alias("dst")), "jump")
+    reach, found = 1, 1
+    while reach < max_pages:
+        ahead = jump.join(chain.withColumnRenamed("url", "src"), "src").select(
             F.col("dst").alias("url"), (F.col("visit_order") + reach).alias("visit_order"))
         both = chain.unionByName(ahead).groupBy("url").agg(F.min("visit_order").alias("visit_order"))
-        chain = materialize(both.where(F.col("visit_order") <= budget), "chain")
-        reach *= 2
-        if reach < budget:
-            far = jump.withColumnsRenamed({"src": "_a", "dst": "_b"})
-            jump = materialize(jump.join(far, F.col("dst") == F.col("_a")).select("src", F.col("_b").alias("dst")), "jump")
+        chain = materialize(both.where(F.col("visit_order") <= max_pages), "chain")
+        now = chain.count()
+        if now == found:
+            break
+        reach, found = 2 * reach, now
+        far = jump.withColumnsRenamed({"src": "_a", "dst": "_b"})
+        jump = materialize(jump.join(far, F.col("dst") == F.col("_a")).select("src", F.col("_b").alias("dst")), "jump")
     return chain
 
 
@@ -136,10 +130,9 @@ def fetch_slots(requests: DataFrame, delay: float, domain: str = "domain", at: s
 
 
 def crawl_progress(visits: DataFrame, job: str, order_col: str, max_pages: int) -> DataFrame:
-    """Percent done after each visited page of a job.  A job ends at its page limit, which also bounds
-    its window (Spark drops later rows before the shuffle)."""
-    limit = min(max_pages, PAGE_LIMIT)
+    """Percent done after each visited page of a job, up to the job's own page budget (Spark drops later rows before the
+    shuffle)."""
     place = F.row_number().over(Window.partitionBy(job).orderBy(order_col))
-    numbered = visits.withColumn("current", place).where(F.col("current") <= limit)
+    numbered = visits.withColumn("current", place).where(F.col("current") <= max_pages)
     return numbered.withColumn("total", F.lit(max_pages)).withColumn(
         "percent", F.round(F.col("current") / max_pages * 100, 1))

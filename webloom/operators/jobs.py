@@ -60,35 +60,49 @@ def search_records(df: DataFrame, query: str | None, json: Column) -> DataFrame:
 
 
 def search_records_like(df: DataFrame, query: str, json: Column) -> DataFrame:
-    """LIKE search: `%` and `_` are wildcards, at most 200 characters, any case."""
-    return df.where(json.ilike(f"%{query[:200]}%"))
+    """LIKE search: `%` and `_` are wildcards, any case."""
+    return df.where(json.ilike(f"%{query}%"))
 
 
-def page_of(df: DataFrame, order_col: str, page: int = 1, per_page: int = 25, most: int = 200) -> DataFrame:
-    """One page of records in order: a bounded top-k, never a global sort."""
-    page, per_page = max(1, page), min(most, max(1, per_page))
+def _checked(page: int, per_page: int) -> None:
+    if page < 1 or per_page < 1:
+        raise ValueError("page and per_page start at 1")
+
+
+def page_of(df: DataFrame, order_col: str, page: int = 1, per_page: int = 25) -> DataFrame:
+    """One page of records in order: a top-k of the rows up to the page; `page_after` serves deep pages."""
+    _checked(page, per_page)
     return df.orderBy(order_col).offset((page - 1) * per_page).limit(per_page)
 
 
-def dense_page_of(df: DataFrame, index_col: str, page: int = 1, per_page: int = 25, most: int = 200) -> DataFrame:
-    """The same page when `index_col` numbers the records 0, 1, …: a pushed-down range filter, so deep
-    pages cost no more than the first."""
-    page, per_page = max(1, page), min(most, max(1, per_page))
+def page_after(df: DataFrame, key: str, last=None, per_page: int = 25) -> DataFrame:
+    """The page that follows the row with key `last` (the first without): a pushed-down filter and a top-k of one page."""
+    _checked(1, per_page)
+    rows = df if last is None else df.where(F.col(key) > F.lit(last))
+    return rows.orderBy(key).limit(per_page)
+
+
+def dense_page_of(df: DataFrame, index_col: str, page: int = 1, per_page: int = 25) -> DataFrame:
+    """The same page when `index_col` numbers the records 0, 1, … without gaps (as stored records are): a pushed-down range
+    filter, so deep pages cost no more than the first."""
+    _checked(page, per_page)
     low = (page - 1) * per_page
     return df.where(F.col(index_col).between(low, low + per_page - 1)).orderBy(index_col)
 
 
-def job_outcomes(results: DataFrame, job: str, data: Column, error: Column, cancelled: Column | None = None) -> DataFrame:
-    """Per job: pages visited, valid records, errors and both status rules."""
+def job_outcomes(results: DataFrame, job: str, data: Column, error: Column, cancelled: Column | None = None,
+                 fatal: Column | None = None) -> DataFrame:
+    """Per job: pages visited, valid records, errors and both status rules.  `fatal` marks rows of a job that broke off."""
     stop = F.bool_or(cancelled) if cancelled is not None else F.lit(False)
+    broke = F.bool_or(fatal) if fatal is not None else F.lit(False)
     rolled = results.groupBy(job).agg(
         F.count("*").alias("pages_scraped"), F.count_if(data).alias("records_count"),
-        F.count_if(error).alias("errors_count"), stop.alias("_stop"))
-    status = F.when(F.col("_stop"), "cancelled").otherwise("completed")
+        F.count_if(error).alias("errors_count"), stop.alias("_stop"), broke.alias("_broke"))
+    status = F.when(F.col("_broke"), "failed").when(F.col("_stop"), "cancelled").otherwise("completed")
     legacy = (F.when(F.col("_stop"), "Cancelled")
               .when((F.col("records_count") > 0) & (F.col("errors_count") > 0), "Partially Completed")
               .when(F.col("records_count") > 0, "Completed").otherwise("Failed"))
-    return rolled.withColumn("status", status).withColumn("legacy_status", legacy).drop("_stop")
+    return rolled.withColumn("status", status).withColumn("legacy_status", legacy).drop("_stop", "_broke")
 
 
 def fleet_kpis(jobs: DataFrame, status: str = "status", records: str = "records_count") -> DataFrame:

@@ -51,9 +51,9 @@ _WAVES_SQL = f"""WITH {_EDGES_SQL}, seed AS (SELECT 'http://g/s' || s_suppkey AS
   UNION ALL SELECT url, 2, visit_order FROM w2 WHERE visit_order <= {{limit}}"""
 
 
-@query("k02_bfs", _WAVES_SQL.format(limit=400))
+@query("k02_bfs", _WAVES_SQL.format(limit=900))
 def k02(spark, d):
-    return K.bfs(_edges(spark, d), _seeds(spark, d), max_depth=2, max_pages=400)
+    return K.bfs(_edges(spark, d), _seeds(spark, d), max_depth=2, max_pages=900)
 
 
 @query("k02_bfs_default_budget", _WAVES_SQL.format(limit=10))
@@ -68,7 +68,7 @@ def src4(spark, d):
 
 
 @query("k03_sitemap_seeds", """WITH p AS (SELECT url, page_id FROM pages ORDER BY page_id LIMIT 6), s AS (SELECT url FROM p ORDER BY page_id LIMIT 1)
-  SELECT url, 0 AS depth, 0 AS seq FROM s UNION ALL SELECT url, 1, page_id + 1000000 FROM p WHERE url NOT IN (SELECT url FROM s)""")
+  SELECT url, 0 AS depth, 0 AS seq FROM s UNION ALL SELECT url, 1, row_number() OVER (ORDER BY page_id) FROM p WHERE url NOT IN (SELECT url FROM s)""")
 def k03(spark, d):
     p = table(spark, d, "pages").select("url", F.col("page_id").alias("seq"))
     start = p.orderBy("seq").limit(1)

@@ -78,12 +78,17 @@ def j08(spark, d):
 
 
 @query("j09_job_outcomes", """WITH r AS (SELECT user_id AS job_id, count(*) AS pages_scraped, count(*) FILTER (event_type <> 'error') AS records_count, count(*) FILTER (event_type = 'error') AS errors_count,
-    bool_or(event_type = 'signup' AND value > 40) AS stop FROM events GROUP BY user_id)
-  SELECT job_id, pages_scraped, records_count, errors_count, CASE WHEN stop THEN 'cancelled' ELSE 'completed' END AS status,
+    bool_or(event_type = 'signup' AND value > 40) AS stop, bool_or(event_type = 'error' AND value > 80) AS broke FROM events GROUP BY user_id)
+  SELECT job_id, pages_scraped, records_count, errors_count, CASE WHEN broke THEN 'failed' WHEN stop THEN 'cancelled' ELSE 'completed' END AS status,
   CASE WHEN stop THEN 'Cancelled' WHEN records_count > 0 AND errors_count > 0 THEN 'Partially Completed' WHEN records_count > 0 THEN 'Completed' ELSE 'Failed' END AS legacy_status FROM r""")
 def j09(spark, d):
     r = derived.job_results(spark, d)
-    return J.job_outcomes(r, "job_id", ~F.col("is_error"), F.col("is_error"), F.col("is_stop") & (F.col("value") > 40))
+    return J.job_outcomes(r, "job_id", ~F.col("is_error"), F.col("is_error"), F.col("is_stop") & (F.col("value") > 40), F.col("is_error") & (F.col("value") > 80))
+
+
+@query("j07_page_after", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey > 300 ORDER BY o_orderkey LIMIT 25")
+def j07_after(spark, d):
+    return J.page_after(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 300)
 
 
 @query("j10_fleet_kpis", f"""SELECT count(*) AS total_jobs, CAST(sum(coalesce(records_count, 0)) AS BIGINT) AS total_records,

@@ -195,13 +195,13 @@ def u13(spark, d):
     return admission.accept_links(_links(spark, d), s.where("s_acctbal > 0").select(home.alias("url")), rules, s.select(home.alias("url")))
 
 
-@query("src8_admit_response", """SELECT page_id, CASE WHEN octet_length(encode(html)) > 5000 THEN 'Response size exceeds 5000 bytes' WHEN page_id % 10 = 0 THEN 'HTTP status 503'
-   WHEN page_id % 10 = 1 THEN 'The server response is not HTML' END AS error, CASE WHEN octet_length(encode(html)) <= 5000 AND page_id % 10 > 1 THEN html END AS html FROM pages""")
+@query("src8_admit_response", """SELECT page_id, CASE WHEN octet_length(encode(html)) > 10485760 THEN 'Response size exceeds 10485760 bytes' WHEN page_id % 10 = 0 THEN 'HTTP status 503'
+   WHEN page_id % 10 = 1 THEN 'The server response is not HTML' END AS error, CASE WHEN octet_length(encode(html)) <= 10485760 AND page_id % 10 > 1 THEN html END AS html FROM pages""")
 def src8(spark, d):
     k = F.col("page_id") % 10
     p = table(spark, d, "pages").withColumns({"status_code": F.when(k == 0, 503).otherwise(200),
                                               "content_type": F.when(k == 1, "application/pdf").otherwise("text/HTML; charset=utf-8")})
-    return admission.admit_response(p, 5000, require_html=True).select("page_id", "error", "html")
+    return admission.admit_response(p, require_html=True).select("page_id", "error", "html")
 
 
 @query("src4_sitemap_candidates", """SELECT 's' || s_suppkey || '.example.com' AS host, 0 AS seq, 'https://s' || s_suppkey || '.example.com/' || CASE WHEN s_suppkey % 3 = 0 THEN 'sitemap.xml' ELSE 'a.xml' END AS url FROM supplier

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 # Settings every entry point of this package relies on.  Sizes are per task, so they hold for any
 # number of executors; AQE merges or splits the shuffle partitions at run time.
@@ -18,9 +20,6 @@ DEFAULTS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
 
-# Inputs up to this size per core are spread over all cores before CPU-heavy expressions.
-SPREAD_BYTES = 16 * 1024 * 1024
-
 
 def build_session(app_name: str = "webloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the package defaults; `conf` uses `__` for dots in the option name."""
@@ -63,15 +62,14 @@ def release(*tables: DataFrame) -> None:
         folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a small input would arrive in fewer partitions than there are cores.
+def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """`df` with `name` = 0, 1, … in the given order, without sorting everything in one task.
 
-    Only inputs of at most `SPREAD_BYTES` per core (by the optimizer's size estimate) are moved; large
-    inputs keep the partitions of their scan, so nothing is shuffled at scale.
+    Rows are dealt by ranges of the order and stored with their range; a range is numbered by one task and starts where the
+    ranges before it end (one row per range).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if "Repartition" in plan.toString():       # spread before
-        return df
-    size = int(str(plan.stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SPREAD_BYTES * cores else df
+    dealt = materialize(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_own", own).join(starts, "_range").withColumn(name, (F.col("_own") + F.col("_start")).cast("bigint")).drop("_range", "_own", "_start")

@@ -42,17 +42,15 @@ def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
-SITEMAP_CANDIDATES = 3
-
-
-def sitemap_urls(candidates: DataFrame, site: str = "site", seq: str = "seq") -> DataFrame:
+def sitemap_urls(candidates: DataFrame, site: str = "site", seq: str = "seq", most: int | None = None) -> DataFrame:
     """(site, position, url) from fetched sitemap candidates (site, seq, status, content_type, body).
 
-    A candidate counts when its status is 200, it looks like XML and parses; the first three of a site
-    are tried in order and the first that counts is read.  Namespaces are ignored.
+    A candidate counts when its status is 200, it looks like XML and parses; those of a site (the first
+    `most`, if given) are tried in order and the first that counts is read.  Namespaces are ignored.
     """
     looks = (F.lower("content_type").contains("xml") | F.col("body").contains("<urlset") | F.col("body").contains("<sitemapindex"))
-    good = candidates.where((F.col(seq) < SITEMAP_CANDIDATES) & (F.col("status") == 200) & looks
+    tried = candidates if most is None else candidates.where(F.col(seq) < most)
+    good = tried.where((F.col("status") == 200) & looks
                             & _well_formed(F.col("body")))
     first = good.groupBy(site).agg(F.min_by("body", seq).alias("body"))
     read = F.regexp_replace("body", r"(?s)<!--.*?-->", "")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.session import number_rows
+
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -24,11 +26,11 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def json_array(df: DataFrame, order_col: str, most: int = 1000) -> DataFrame:
-    """One JSON array text of a small result (a report page); larger results are JSON lines."""
-    rows = df.orderBy(order_col).limit(most)
-    body = F.transform(F.array_sort(F.collect_list(F.struct(order_col, F.struct(*rows.columns).alias("_row")))), lambda x: x["_row"])
-    return rows.agg(F.to_json(body, _KEEP_NULLS).alias("json"))
+def json_arrays(df: DataFrame, order_col: str, per_array: int = 1000) -> DataFrame:
+    """All rows as JSON array texts (array_no, json) of `per_array` rows each, in order."""
+    rows = number_rows(df, [order_col], "_n")
+    body = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.struct(*[f"`{c}`" for c in df.columns]).alias("_row")))), lambda x: x["_row"])
+    return rows.groupBy(F.floor(F.col("_n") / per_array).alias("array_no")).agg(F.to_json(body, _KEEP_NULLS).alias("json"))
 
 
 def csv_rows(df: DataFrame, legacy: bool = False) -> DataFrame:
@@ -76,10 +78,9 @@ def new_records(batch: DataFrame, stored: DataFrame | None, keys: Sequence[str]
 def write_records(df: DataFrame, path: str, mode: str = "append") -> None:
     """Record table, one partition per dataset; rows sorted by index so range filters skip row groups.
 
-    A dataset may hold a third of all rows, so rows are spread by (dataset, block of indexes): a hot
-    dataset is written by many tasks, a small one by few."""
-    block = F.floor(F.col("record_index") / 1_000_000)
-    (df.repartition("dataset_id", block).sortWithinPartitions("dataset_id", "record_index")
+    A dataset may hold a third of all rows, so rows are rebalanced: AQE splits a hot dataset over many
+    tasks by its bytes and puts small ones together."""
+    (df.hint("rebalance", "dataset_id").sortWithinPartitions("dataset_id", "record_index")
      .write.mode(mode).partitionBy("dataset_id").parquet(path))
 
 
