@@ -7,9 +7,10 @@ within that distance.  At a similarity of 0.85 a pair differs in 6 values on ave
 pair in a million.  Every link is confirmed on the full sets.
 
 Work per bucket of an index stays linear in its rows.  Equal sets are one class from the start.  Then each class
-meets one leader of its bucket; classes already in one component need no further comparison.  Two more rounds
-compare what is still apart with other leaders of the largest component.  At the end the classes outside a bucket's largest
-component meet all classes of the bucket of other components, so no link between components is lost.
+meets one leader of its bucket; classes already in one component need no further comparison.  One more round
+compares what is still apart with another leader of the largest component.  At the end the classes outside a bucket's largest
+component meet the classes of other components, so no link between components is lost; classes with too many shingles
+that no other class here has are left out, and pairs are met by the rarest shingles they share (see `_across`).
 
 Edge cases: null, empty and wordless texts have empty sets, link with nothing and are kept; a text of fewer than five words is one
 shingle; null doc_ids come after all others as representatives; of rows with equal doc_id and equal sets one is kept; an
@@ -25,7 +26,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.tokens import slices
@@ -37,7 +38,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 5
 CHUNKS, VALUES = 10, 4          # chunks of a signature and 16-bit values in a chunk (one long)
 DISTANCE = 2 * CHUNKS - 1
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +173,6 @@ class _Join:
         texts = rows.join(needed.select("node", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")), same).select("node", "text")
         self.sets = materialize(texts.mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]), "sets")
         self.links: list[DataFrame] = []
-        self.tried: list[DataFrame] = []
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b) those within the signature distance whose sizes allow a link."""
@@ -193,7 +193,6 @@ class _Join:
         common = both.select("a", "b", F.size(F.array_intersect("i_a", "i_b")).cast("long").alias("k"), "n_a", "n_b")
         linked = common.where(100 * F.col("k") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("k"))).select("a", "b")
         self.links.append(materialize(linked, "found"))
-        self.tried.append(pairs)
 
     def labels(self) -> DataFrame:
         return connected_components(reduce(DataFrame.unionByName, self.links))
@@ -206,6 +205,17 @@ class _Join:
                  .where("parts > 1").select("key", "main"))
         return materialize(known.join(materialize(mixed, "mixed"), "key"), "apart")
 
+    def _linkable(self, rows: DataFrame) -> DataFrame:
+        """`rows` of classes that can still have a link, with n, chunks and `lone`: the shingles that no other class here has.
+
+        A pair shares at most the shingles of either side that are not lone, which bounds its similarity from above.
+        """
+        items = self.sets.join(rows.select("node").distinct(), "node").select("node", F.explode("items").alias("item"))
+        single = items.groupBy("item").agg(F.count("*").alias("k"), F.first("node").alias("node")).where("k = 1")
+        lone = materialize(single.groupBy("node").agg(F.count("*").alias("lone")), "lone")
+        known = rows.join(self.nodes.select("node", "n", "chunks"), "node").join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+        return materialize(known.where(100 * (F.col("n") - F.col("lone")) >= self.percent * F.col("n")), "linkable")
+
     def run(self) -> DataFrame:
         pairs = self.index.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         self.confirm(self.near(pairs))
@@ -213,26 +223,41 @@ class _Join:
             rows = self.apart(self.labels())
             leads = (rows.where("label = main").groupBy("key")
                      .agg(F.min_by("node", F.xxhash64("node", F.lit(number))).alias("a")))
-            pairs = rows.where("label <> main").join(materialize(leads, "leads"), "key").select("a", F.col("node").alias("b")).distinct()
-            self.confirm(self.near(self._new(pairs)))
-        rows = self.apart(self.labels())
-        small = self.nodes.select("node", "n", "chunks")
-        rows = materialize(rows.join(small, "node"), "rows")
-        minor = rows.where("label <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "chunks")])
-        every = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "main", "n", "chunks")])
-        # two minor classes meet once, from the smaller one
-        once = (F.col("label_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
-        met = minor.join(every, (minor["key"] == every["key"]) & (F.col("label_a") != F.col("label_b")) & once
-                         & self._possible("n_a", "n_b") & (_distance(F.col("chunks_a"), F.col("chunks_b")) <= DISTANCE))
-        pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
-        self.confirm(self._new(pairs))
+            pairs = rows.where("label <> main").join(leads, "key").select("a", F.col("node").alias("b")).distinct()
+            self.confirm(self.near(pairs))
+        rows = self._linkable(self.apart(self.labels()))
+        self.confirm(self._across(rows))
         return self.labels()
 
-    def _new(self, pairs: DataFrame) -> DataFrame:
-        """Without the pairs compared before, in either order."""
-        for old in self.tried:
-            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti").join(old.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        return pairs
+    def _across(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b, n_a, n_b) of classes of different components within the signature distance, at least one of them outside
+        the largest component of a bucket.
+
+        Buckets of a large group hold classes that are all near and mostly no links, so pairs are met by rare shingles: two
+        linked classes share one of their rarest (100 - percent) in a hundred, and at the first that they share, what follows
+        must still be enough on either side.  Both are necessary conditions, so no link is lost.
+        """
+        nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.first("chunks").alias("chunks"),
+                                         F.max(F.col("label") != F.col("main")).alias("minor"))
+        nodes = materialize(nodes, "apart-nodes")
+        items = materialize(self.sets.join(nodes.select("node", "n"), "node").select("node", "n", F.explode("items").alias("item")), "items")
+        often = items.groupBy("item").agg(F.count("*").alias("k")).where("k > 1")
+        # lone shingles come first in everybody's order and meet nobody, so only their number matters
+        met = items.join(materialize(often, "often"), "item")
+        order = Window.partitionBy("node").orderBy("k", "item")
+        lone = F.col("n") - F.count("*").over(Window.partitionBy("node"))
+        placed = met.withColumn("at", F.row_number().over(order) - 1 + lone)
+        first = placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100)).select("node", "item", "at")
+        first = materialize(first.join(nodes, "node"), "rarest")
+        minor = first.where("minor").select("item", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "chunks", "at")])
+        every = first.select("item", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "chunks", "at", "minor")])
+        # two minor classes meet once, from the smaller one
+        once = ~F.col("minor_b") | (F.col("node_a") < F.col("node_b"))
+        most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+        possible = 100 * most >= self.percent * (F.col("n_a") + F.col("n_b") - most)
+        pairs = minor.join(every, (minor["item"] == every["item"]) & (F.col("label_a") != F.col("label_b")) & once & possible
+                           & (_distance(F.col("chunks_a"), F.col("chunks_b")) <= DISTANCE))
+        return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
