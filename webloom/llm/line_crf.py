@@ -36,11 +36,12 @@ TRAIN_LINES = 64            # longer documents are several training sequences
 COMMON_LINE, COMMON_WORDS = 5, 20
 ITERATIONS, RATE, PENALTY = 400, 0.3, 1e-4
 CONTENT_SHARE = 0.5
+SLICE = 500_000             # characters measured at once, one text at least
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 
-_KIND = {name: np.zeros(256, np.int64) for name in ("symbol", "bang", "upper", "lower", "digit", "pipe", "space", "point")}
+_KIND = {name: np.zeros(256, np.int8) for name in ("symbol", "bang", "upper", "lower", "digit", "pipe", "space", "point")}
 for _b in range(256):
     _KIND["symbol"][_b] = _b in SYMBOLS
     _KIND["bang"][_b] = _b == 33
@@ -65,10 +66,10 @@ class Measured:
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         text_at = np.cumsum(sizes + 1) - sizes - 1
         data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-        sums = {name: np.concatenate([[0], np.cumsum(kind[data])]) for name, kind in _KIND.items()}
+        sums = {name: np.concatenate([np.zeros(1, np.int32), np.cumsum(kind[data], dtype=np.int32)]) for name, kind in _KIND.items()}
 
         def count(name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return sums[name][b] - sums[name][a]
+            return (sums[name][b] - sums[name][a]).astype(np.int64)
         self.word_chars = count("point", text_at, text_at + sizes) - count("space", text_at, text_at + sizes)
         self.n_symbols = count("symbol", text_at, text_at + sizes)
 
@@ -174,19 +175,26 @@ def train(texts: list[str], qualities: list[int]) -> tuple[np.ndarray, np.ndarra
     """Weights (features, labels) and steps (from, to) from whole labelled documents; None without both classes."""
     if len(set(qualities)) < 2:
         return None
-    failed = judge(Measured(texts), None)[0]       # the base rules decide these; their lines need not be boilerplate
-    texts, qualities = [t for t, f in zip(texts, failed, strict=True) if not f], [q for q, f in zip(qualities, failed, strict=True) if not f]
-    if len(set(qualities)) < 2:
+    x, document, keys, labels, texts_seen = [], [], [], [], 0
+    for a, b in slices(texts, SLICE):
+        m = Measured(texts[a:b])
+        # the base rules decide what fails them; lines of such a text need not be boilerplate
+        good = ~judge(m, None)[0][m.document]
+        x.append(m.x[good])
+        document.append(m.document[good] + texts_seen)
+        keys += [hash(k) if len(k.split()) <= COMMON_WORDS else None for k, g in zip(m.keys, good, strict=True) if g]
+        labels.append(np.array(qualities[a:b])[m.document[good]])
+        texts_seen += b - a
+    x, document, y = np.concatenate(x), np.concatenate(document), np.concatenate(labels)
+    if len(set(y.tolist())) < 2:
         return None
-    m = Measured(texts)
-    common = Counter(key for _, key in set(zip(m.document.tolist(), m.keys, strict=True)))
-    often = np.array([common[k] >= COMMON_LINE and len(k.split()) <= COMMON_WORDS for k in m.keys], bool)
-    y = np.where(often, 0, np.array(qualities)[m.document]).astype(int)
-    chains = Chains(m.document, TRAIN_LINES)
+    common = Counter(key for _, key in set(zip(document.tolist(), keys, strict=True)) if key is not None)
+    y = np.where(np.array([k is not None and common[k] >= COMMON_LINE for k in keys], bool), 0, y).astype(int)
+    chains = Chains(document, TRAIN_LINES)
     weights, step = np.zeros((FEATURES, 2)), np.zeros((2, 2))
     memory = [np.zeros_like(weights), np.zeros_like(step)]
     for _ in range(ITERATIONS):     # steps scaled by past gradients (AdaGrad)
-        for i, (p, g) in enumerate(zip((weights, step), _gradient(m.x, y, weights, step, chains), strict=True)):
+        for i, (p, g) in enumerate(zip((weights, step), _gradient(x, y, weights, step, chains), strict=True)):
             g = g / len(y) - PENALTY * p
             memory[i] += g * g
             p += RATE * g / np.sqrt(memory[i] + 1e-12)
@@ -228,7 +236,7 @@ def _label(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 m = Measured(texts[a:b])
                 failed, content, kept = judge(m, model)
                 columns = [m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, kept,
@@ -252,5 +260,5 @@ def keep_content(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS
     def verdict(texts):
         import pandas as pd
         own = texts.tolist()
-        return pd.Series(np.concatenate([judge(Measured(own[a:b]), model)[2] for a, b in slices(own)]) if own else [], dtype=bool)
+        return pd.Series(np.concatenate([judge(Measured(own[a:b]), model)[2] for a, b in slices(own, SLICE)]) if own else [], dtype=bool)
     return docs.where(F.pandas_udf(verdict, "boolean")(F.coalesce(F.col("text").cast("string"), F.lit(""))))
