@@ -100,3 +100,11 @@ def test_json_records_hash_by_sorted_keys(spark):
     a, b = json.dumps({"x": 1, "y": {"b": 2, "a": 1}}), json.dumps({"y": {"a": 1, "b": 2}, "x": 1})
     df = spark.createDataFrame([(a,), (b,)], "j string").select(json_hash(F.col("j")).alias("h"))
     assert df.distinct().count() == 1
+
+
+def test_numbers_become_whole_without_a_text_form(spark):
+    from webloom.functions.cleaning import apply_action
+    values = [12345678.9, -2.7e9, 1e19, float("nan"), None, 0.99]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.n for r in df.select(apply_action(F.col("v"), df.schema["v"].dataType, "to_int").alias("n")).collect()]
+    assert got == [12345678, -2700000000, None, None, None, 0]

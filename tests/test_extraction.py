@@ -113,6 +113,13 @@ def test_tree_rules_for_broken_markup(pages):
     assert markup == ["<div><p>one<b>two<p>three</p></b></p></div>", "<ul><li>a<li>b</li></li></ul>"]
 
 
+def test_broken_declarations_lose_nothing(spark):
+    rows = [("https://a.example/", "<p>1</p><![>a<p>2</p><!doctype html><h1>3</h1>"), ("https://b.example/", "<![if x]><p>4</p><![endif]><!-- <p>5</p> --><p>6</p>")]
+    found = X.with_nodes(spark.createDataFrame(rows, "url string, html string")).select(
+        "url", F.transform(S.css("p, h1", F.col("_nodes")), lambda n: S.node_text(F.col("_nodes"), n)).alias("v"))
+    assert {r.url[8]: r.v for r in found.collect()} == {"a": ["1", "2", "3"], "b": ["4", "6"]}
+
+
 def test_custom_fields(pages):
     got = X.custom_fields(pages, {"Fee": "[itemprop]", "Ports": "dt"}).where(F.col("url") == ROOM)
     row = got.select(X.single_or_list(F.col("Fee")).alias("Fee"), X.single_or_list(F.col("Ports")).alias("Ports")).first()

@@ -11,6 +11,7 @@ void elements never stay open.
 
 from __future__ import annotations
 
+import re
 import sys
 from html.parser import HTMLParser
 
@@ -132,6 +133,10 @@ class _Flattener(HTMLParser):
             self._close()
 
 
+# Declarations that are neither comments nor the document type: bogus comments, which end at the next ">".
+_BOGUS = re.compile(r"<!(?!--|doctype)[^>]*>", re.IGNORECASE)
+
+
 class _Batch:
     """Column lists of all documents of an Arrow batch."""
 
@@ -145,16 +150,25 @@ class _Batch:
         self.offsets = [0]
 
     def read(self, doc: str | None) -> None:
-        if doc:
-            flat = _Flattener(self)
-            try:
-                flat.feed(doc)
-                flat.close()
-            except (AssertionError, ValueError):   # malformed declarations: keep what was read
-                pass
-            flat.finish()
+        if doc and not self._flatten(doc):
+            self._flatten(_BOGUS.sub("", doc))
         self.offsets.append(len(self.rows))
 
+    def _flatten(self, doc: str) -> bool:
+        """Add the nodes of a document; nothing is added if a declaration stops the tokenizer."""
+        columns = (self.rows, self.last, self.shut, self.attr_name, self.attr_value, self.attr_end)
+        kept = [len(c) for c in columns]
+        flat = _Flattener(self)
+        try:
+            flat.feed(doc)
+            flat.close()
+        except (AssertionError, ValueError):
+            for column, n in zip(columns, kept, strict=True):
+                del column[n:]
+            return False
+        flat.finish()
+        return True
+
     def to_arrow(self) -> pa.Array:
         up, tag, nth, nth_type, text = zip(*self.rows) if self.rows else ((),) * 5
         starts = np.repeat(self.offsets[:-1], np.diff(self.offsets))

@@ -267,3 +267,9 @@ def ud4(spark, d):
     return clean_ops.clean(table(spark, d, "part"), [{"field_name": "p_name", "action": "mirror"}]).select("p_partkey", F.col("p_name").alias("v"))
 
 
+
+
+@query("c05_to_int_of_large_doubles", "SELECT o_orderkey, CAST(trunc(o_totalprice * 100000) AS BIGINT) AS whole FROM orders")
+def c05_doubles(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") * 100000).alias("v"))
+    return o.select("o_orderkey", C.apply_action(F.col("v"), o.schema["v"].dataType, "to_int").alias("whole"))
