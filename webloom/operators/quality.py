@@ -199,7 +199,7 @@ def quality_report_json(df: DataFrame, json_col: str, by: Sequence[str] = (),
         matched = reduce(lambda a, b: a & b, [totals[c].eqNullSafe(fields[c]) for c in scope])
         joined = totals.join(fields, matched, "left").drop(*[fields[c] for c in scope])
     else:
-        joined = totals.withColumn("_one", F.lit(1)).join(fields.withColumn("_one", F.lit(1)), "_one", "left")
+        joined = totals.withColumns({c: fields.select(c).scalar() for c in ("_fields", "_wanted")})      # one row: a scalar subquery
     joined = joined.withColumn("missing", F.col("total_records") * F.coalesce("_wanted", F.lit(0)) - F.col("missing"))
     names = F.coalesce("_fields", F.array().cast("array<string>"))
     return _report(joined, by, F.size(names), names)

@@ -79,12 +79,11 @@ def k03(spark, d):
   c(a, visit_order) AS (SELECT min(s_suppkey), 1 FROM supplier UNION ALL SELECT b, visit_order + 1 FROM c JOIN n USING (a) WHERE visit_order < 60)
   SELECT 'http://g/' || a AS url, min(visit_order) AS visit_order FROM c GROUP BY a HAVING min(visit_order) <= 60""")
 def k04(spark, d):
-    count = table(spark, d, "supplier").agg(F.count("*").alias("_n"), F.min("s_suppkey").alias("_first"))
-    nxt = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.max("l_partkey").alias("m")).withColumn("_one", F.lit(1))
-    nxt = nxt.join(count.withColumn("_one", F.lit(1)), "_one")
+    supplier = table(spark, d, "supplier")
+    nxt = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.max("l_partkey").alias("m"))
     link = lambda c: F.concat(F.lit("http://g/"), c.cast("string"))
-    edges = nxt.select(link(F.col("l_suppkey")).alias("src"), link(F.col("m") % F.col("_n") + 1).alias("dst"))
-    start = f"http://g/{count.first()['_first']}"
+    edges = nxt.select(link(F.col("l_suppkey")).alias("src"), link(F.col("m") % supplier.agg(F.count("*")).scalar() + 1).alias("dst"))
+    start = f"http://g/{supplier.agg(F.min('s_suppkey')).first()[0]}"
     return K.pagination_chain(edges, start, max_pages=60)
 
 
