@@ -178,12 +178,15 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
 
 
 def _verdict(known: list[tuple[int, str]], window: int):
+    made: list[Scanner] = []        # by the first batch of a task
+
     def run(texts):
-        scanner = Scanner(known, window)
+        if not made:
+            made.append(Scanner(known, window))
 
         def contaminated(text: str | None) -> bool:
             plain, n = normal(text)
-            hit = sum(b - a for a, b in scanner.hits(plain)[0]) if n else 0
+            hit = sum(b - a for a, b in made[0].hits(plain)[0]) if n else 0
             return hit > 0 and 20 * hit >= n
         return texts.map(contaminated).astype(bool)
     return run
