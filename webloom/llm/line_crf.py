@@ -31,7 +31,7 @@ from webloom.llm.wordhash import constants, hash_words
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TRAIN_DOCUMENTS = 1000
-TRAIN_CHARS = 200_000
+TRAIN_CHARS = 20_000
 TRAIN_LINES = 64            # longer documents are several training sequences
 COMMON_LINE, COMMON_WORDS = 5, 20
 ITERATIONS, RATE, PENALTY = 400, 0.3, 1e-4
