@@ -33,20 +33,27 @@ def _has_word(line: Column) -> Column:
     return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
-def _units(docs: DataFrame) -> DataFrame:
-    """`docs` (with doc_id and text) and `_document` (the place before its first line), `_units` and `_lead` (units before the first word)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    order = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
-    tie = (F.crc32(text.cast("binary")) * F.lit(1 << _LINE_BITS)).cast("decimal(17,0)")
-    document = (order * F.lit(1 << (32 + _LINE_BITS)).cast("decimal(17,0)") + tie).cast(_PLACE)
-    units = docs.withColumns({"_document": document, "_units": F.split(text, _UNIT)})
+def _text(of: str = "") -> Column:
+    return F.coalesce(F.col(f"{of}text").cast("string"), F.lit(""))
+
+
+def _document(of: str = "") -> Column:
+    """The place before a document's first line."""
+    order = F.coalesce(F.col(f"{of}doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
+    tie = (F.crc32(_text(of).cast("binary")) * F.lit(1 << _LINE_BITS)).cast("decimal(17,0)")
+    return (order * F.lit(1 << (32 + _LINE_BITS)).cast("decimal(17,0)") + tie).cast(_PLACE)
+
+
+def _units(rows: DataFrame, of: str = "") -> DataFrame:
+    """`rows` with `_units` and `_lead` (units before the first word)."""
+    units = rows.withColumn("_units", F.split(_text(of), _UNIT))
     return units.withColumn("_lead", F.when(_has_word(F.col("_units")[0]), 0).otherwise(1))
 
 
 def _places(docs: DataFrame) -> DataFrame:
     """place and line id (128 bits) of every line with a word."""
     lines = F.transform(F.expr("slice(_units, _lead + 1, size(_units))"), lambda u: F.substring_index(u, "\n", 1))
-    rows = _units(docs.select("doc_id", "text")).select("_document", F.posexplode(lines).alias("at", "line"))
+    rows = _units(docs.select("doc_id", "text", _document().alias("_document"))).select("_document", F.posexplode(lines).alias("at", "line"))
     return rows.select((F.col("_document") + F.col("at")).cast(_PLACE).alias("place"), F.xxhash64("line").alias("a"),
                        F.xxhash64(F.lit(17), "line").alias("b"))
 
@@ -117,8 +124,9 @@ def delete_later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     stretches = (runs.withColumn("opens", opens).withColumn("stretch", F.sum("opens").over(along))
                  .groupBy("_document", "stretch").agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("length")).alias("b"), F.max("length").alias("scale"))
                  .groupBy("_document").agg(F.collect_list(F.struct("a", "b")).alias("_gone"), F.max("scale").alias("_scale")))
-    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "doc_id", "text")
-    joined = _units(rows).join(materialize(stretches, "stretches"), "_document", "left")
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")).select("row", _document("row.").alias("_document"))
+    # The stretches grow with the corpus, so they are never broadcast; each text moves once.
+    joined = _units(rows.join(materialize(stretches, "stretches").hint("merge"), "_document", "left"), "row.")
     none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
     joined = joined.withColumn("_gone", F.coalesce("_gone", none))
     kept = F.filter("_units", lambda u, i: ~F.exists("_gone", lambda g: (i - F.col("_lead") >= g["a"]) & (i - F.col("_lead") < g["b"])))
