@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on tokens of known encodings.
 
 Patterns (kinds `assign`, `access`, `hex`) match leftmost and without overlap, each kind for itself.  The battery looks at
-tokens of `MIN_TOKEN` characters or more that hold a digit and a letter, lie outside the pattern spans, and fit an encoding:
-hex, base32, base64 (also url-safe) or lower-case base36.  On the values of the token's characters in that alphabet
-it computes
+tokens of `MIN_TOKEN` characters or more that hold a digit and a letter and lie outside the pattern spans.  `=` parts a name from
+its value and so ends a token; only at the end of a token it is padding.  Each token has an encoding: hex, base32, or the
+letters of one case or both with digits and those of `+/` and `-_` that occur.  On the values of the token's characters in that
+alphabet it computes
  * chi-squared uniformity over eight equal parts of the alphabet (Wilson-Hilferty approximation),
  * the runs test about the middle of the alphabet,
  * the serial correlation at lag one,
@@ -13,7 +14,7 @@ over the whole corpus: in each stratum of encoding and length class (doubling le
 length, however many tokens of other lengths there are.  What is not rejected is reported as kind `random`.
 
 p-values are compared in steps of a twentieth of a decade, rounded up, so the procedure needs only a table of counts of
-bounded size (5 encodings x 32 length classes x 401 steps), from which at most 160 thresholds reach the driver.
+bounded size (13 encodings x 32 length classes x 401 steps), from which at most 416 thresholds reach the driver.
 
 Edge cases: null and empty texts have no spans; rows with equal doc_ids are scanned on their own; a token without any
 variation has p = 0; an empty table gives no rows; other columns are ignored.
@@ -36,7 +37,7 @@ HEX = "[0-9a-f]{16,}"
 MIN_VALUE = 12
 
 MIN_TOKEN = 20
-TOKEN = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}={{0,6}}(?![A-Za-z0-9+/_=-])"
+TOKEN = f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}(?![A-Za-z0-9+/_-])(?:={{1,6}}(?![A-Za-z0-9+/_=-]))?"
 FALSE_DISCOVERIES = 0.05
 STEPS, LAST_STEP = 20, 400      # p-value steps per decade; the last holds all smaller values
 
@@ -45,11 +46,19 @@ LOWER = UPPER.lower()
 DIGITS = "0123456789"
 # encoding -> (shape, alphabet); the first that fits is taken
 ENCODINGS = {
-    "hex": ("^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
+    "hex": ("^([0-9a-f]+|[0-9A-F]+)=*$", DIGITS + "abcdef"),
     "base32": ("^[A-Z2-7]+=*$", UPPER + "234567"),
-    "base36": ("^[a-z0-9]+$", DIGITS + LOWER),
+    "base36": ("^[a-z0-9]+=*$", DIGITS + LOWER),
+    "base36upper": ("^[A-Z0-9]+=*$", DIGITS + UPPER),
+    "lowerurl": ("^[a-z0-9_-]+=*$", DIGITS + LOWER + "-_"),
+    "upperurl": ("^[A-Z0-9_-]+=*$", DIGITS + UPPER + "-_"),
+    "lower64": ("^[a-z0-9+/]+=*$", DIGITS + LOWER + "+/"),
+    "upper64": ("^[A-Z0-9+/]+=*$", DIGITS + UPPER + "+/"),
+    "lowerall": ("^[a-z0-9+/_-]+=*$", DIGITS + LOWER + "+/-_"),
+    "upperall": ("^[A-Z0-9+/_-]+=*$", DIGITS + UPPER + "+/-_"),
     "base64": ("^[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
     "base64url": ("^[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
+    "all": ("^[A-Za-z0-9+/_-]+=*$", UPPER + LOWER + DIGITS + "+/-_"),
 }
 
 
@@ -133,11 +142,9 @@ def _by_encoding(encoding: Column, of: dict[str, object]) -> Column:
 
 def _encoding(token: Column) -> Column:
     mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-    cased = token.rlike("[A-Z]") & token.rlike("[a-z]")
     out = F.lit(None).cast("string")
     for name, (shape, _) in reversed(ENCODINGS.items()):
-        fits = token.rlike(shape) & mixed
-        out = F.when(fits & cased if name.startswith("base64") else fits, name).otherwise(out)
+        out = F.when(token.rlike(shape) & mixed, name).otherwise(out)
     return out
 
 
