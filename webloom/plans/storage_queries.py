@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from webloom.operators import chunks as G
+from webloom.plans.dataset_queries import _CHUNKS_SQL
 from webloom.plans.registry import query, table
 from webloom.session import scratch_path
 from webloom.sources import readers, writers
@@ -54,17 +55,28 @@ def snk4(spark, d):
     return writers.csv_rows(e, legacy=True)
 
 
-@query("snk5_chunk_documents", """SELECT sha256('docs/' || doc_id || '/0') AS id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 20) AS head, source AS source_url, 'docs' AS pipeline_id
-  FROM documents WHERE regexp_matches(text, '\\S')""")
-def snk5(spark, d):
+def _written_chunks(spark, d):
     made = G.chunk(table(spark, d, "documents"), F.col("text"), F.col("doc_id"), F.col("source"), set_id="docs")
     path = scratch_path(spark, "chunks")
     rows = writers.chunk_documents(made)
     writers.write_jsonl(rows, path)
-    back = spark.read.schema(rows.schema).json(path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("snk5_chunk_documents", """SELECT sha256('docs/' || doc_id || '/0') AS id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 20) AS head, source AS source_url, 'docs' AS pipeline_id
+  FROM documents WHERE regexp_matches(text, '\\S')""")
+def snk5(spark, d):
+    back = _written_chunks(spark, d)
     return back.where("metadata.chunk_index = 0").select("id", F.substring("text", 1, 20).alias("head"), "metadata.source_url", "metadata.pipeline_id")
 
 
+@query("snk5_all_chunks", f"""WITH {_CHUNKS_SQL} SELECT sha256('docs/' || chunk_id) AS id, chunk_index, source AS source_url, 'docs' AS pipeline_id,
+  sha256(text_content) AS content_hash, sha256(text_content) AS text_sha256 FROM c""")
+def snk5_all(spark, d):
+    return _written_chunks(spark, d).select("id", "metadata.chunk_index", "metadata.source_url", "metadata.pipeline_id", "metadata.content_hash",
+                                            F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 @query("snk6_insert_or_ignore", """WITH o AS (SELECT DISTINCT user_id, event_type FROM events WHERE value < 20)
   SELECT min(event_id) AS event_id, user_id, event_type FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM o) GROUP BY user_id, event_type""")
 def snk6(spark, d):
