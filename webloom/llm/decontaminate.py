@@ -8,8 +8,8 @@ The items travel to the tasks in blocks whose size is bounded by `BLOCK_BYTES`;
 one block, and each block scans the documents.
 
 Edge cases: null and wordless texts have no words and are clean; null and wordless items match nothing; items with
-equal windows are all counted; null item_ids are ignored; repeated rows are documents of their own; an empty benchmark
-leaves every document clean; other columns are ignored.
+equal windows are all counted; item_ids are strings of any form, and an item without one is matched but not listed;
+repeated rows are documents of their own; an empty benchmark leaves every document clean; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,20 +49,20 @@ def normal(text: str | None) -> tuple[str, int]:
 
 
 class Scanner:
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         import ahocorasick
-        self.items: dict[str, set[int]] = defaultdict(set)
+        self.items: dict[str, set[str]] = defaultdict(set)
         for name, text in items:
             words = [w for w in words_of(text) if w]
             for i in range(max(1, len(words) - window + 1) if words else 0):
-                self.items[f" {' '.join(words[i:i + window])} "].add(name)
+                self.items[f" {' '.join(words[i:i + window])} "].update([] if name is None else [name])
         self.automaton = ahocorasick.Automaton()
         for pattern in self.items:
             self.automaton.add_word(pattern, pattern)
         if self.items:
             self.automaton.make_automaton()
 
-    def hits(self, plain: str) -> tuple[list[tuple[int, int]], set[int]]:
+    def hits(self, plain: str) -> tuple[list[tuple[int, int]], set[str]]:
         """Word ranges [first, last) of a normalised text that windows cover, joined where they overlap; their items."""
         spans, found = [], set()
         if self.items:
@@ -90,7 +90,7 @@ class Scanner:
 _SCHEMA = "row long, doc_id long, n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, items array<string>"
 
 
-def _scan(items: list[tuple[int, str]], window: int):
+def _scan(items: list[tuple[str | None, str]], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(items, window)
         kinds = (pa.int64(), pa.int64(), pa.int64(),
@@ -104,7 +104,7 @@ def _scan(items: list[tuple[int, str]], window: int):
                 if spans:           # only a hit document is read again for its offsets
                     places = [m.span() for m in _WORD.finditer(text)]
                     spans = [{"first": a, "last": b, "start": places[a][0], "end": places[b - 1][1]} for a, b in spans]
-                out.append((row, name, n, spans, sorted(map(str, found))))
+                out.append((row, name, n, spans, sorted(found)))
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
                                              names=["row", "doc_id", "n_words", "spans", "items"])
@@ -133,7 +133,7 @@ def _merge(batches):
 
 def _item_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The items, cut by a hash into blocks of about `block_bytes`."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"])
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items for b in range(blocks)]
@@ -177,7 +177,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     return rows.join(hit.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select("row"), "row", "left_anti").select("own.*")
 
 
-def _verdict(known: list[tuple[int, str]], window: int):
+def _verdict(known: list[tuple[str | None, str]], window: int):
     made: list[Scanner] = []        # by the first batch of a task
 
     def run(texts):
