@@ -1,6 +1,7 @@
 """Quality, change radar, chunking and retrieval queries."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.operators import chunks as G
 from webloom.operators import quality as Q
@@ -8,6 +9,7 @@ from webloom.operators import radar as R
 from webloom.operators import retrieval as S
 from webloom.plans import derived
 from webloom.plans.registry import RE2_SPACE, RE2_TOKEN, query, table
+from webloom.session import scratch_path
 
 
 # Customers under field names that carry hints, with gaps: some urls relative, some names empty.
@@ -267,7 +269,11 @@ def g08(spark, d):
   qt AS (SELECT unnest(regexp_extract_all(lower('{_QUESTION}'), '{RE2_TOKEN}')) AS term), qk AS (SELECT term, count(*) AS n FROM qt GROUP BY term), qv AS (SELECT term, n / sqrt(sum(n * n) OVER ()) AS w FROM qk)
   SELECT doc_id, round(sum(v.w * qv.w), 4) AS similarity_score FROM v JOIN qv USING (term) GROUP BY doc_id HAVING sum(v.w * qv.w) > 0.01 ORDER BY 2 DESC, 1 LIMIT 5""")
 def g08_terms(spark, d):
-    return S.search_terms(S.term_vectors(table(spark, d, "documents"), "doc_id", "text"), _QUESTION, id_col="doc_id")
+    path = scratch_path(spark, "terms")
+    vectors = S.term_vectors(table(spark, d, "documents"), "doc_id", "text")
+    S.write_term_index(vectors, path, id_col="doc_id")
+    stored = T.StructType([*vectors.schema.fields, T.StructField("term_bucket", T.IntegerType())])
+    return S.search_terms(spark.read.schema(stored).parquet(path), _QUESTION, id_col="doc_id")
 
 
 @query("g09_search_batch", f"""WITH {_CHUNKS_SQL}, {_SCORES_SQL}, r AS (SELECT item_id AS query_id, chunk_id, round(score, 4) AS similarity_score,
