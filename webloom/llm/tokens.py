@@ -2,11 +2,15 @@
 
 A pretokenizer never joins characters across certain spaces, so the ids of a text are the ids of the units
 between them, one after the other.  A unit is encoded by the tokenizers library the first time a worker
-meets it; the cache is bounded (`CACHE_UNITS`, `CACHE_IDS`) and starts anew when it is full.
+meets it; an `IdStore` keeps it while it is met again.
+
+Strings of special tokens in a text are ordinary text (`encode_special_tokens`), as the vocabularies' own description
+states: a document may quote an end marker, but only the writer of a file sets one.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import sys
@@ -18,14 +22,17 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE_UNITS = 400_000
-CACHE_IDS = 4_000_000
+CACHE_UNITS = 250_000      # units of one generation of a store
+CACHE_IDS = 2_500_000
 LONG_UNIT = 64          # characters; longer units are encoded one by one
 
-_SPACED = re.compile("\n| ?[^ \n]+")
 _WORDS = re.compile("[^ \\t-\\r]+")
-# A Latin word and the punctuation after it are encoded apart by either pretokenizer.
-_STEM = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?%*&$#|()]+)")
+# A break, a Latin word and the punctuation after it are encoded apart by either pretokenizer.
+_STEM = re.compile("([\t\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?%*&$#|()]*)")
+_BARE = "\t"            # before a unit of kind "bytes": no space belongs to it
+# How byte-level vocabularies spell bytes that are no visible Latin-1 character, 256 and up in order.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - _VISIBLE))}
 
 
 def public_path(name: str) -> str:
@@ -49,11 +56,76 @@ class _Numbers(dict):
         return n
 
 
+class IdStore:
+    """Id lists of units, in two generations.
+
+    A full generation (`CACHE_UNITS` units or `CACHE_IDS` ids) becomes the older one and a new one starts; units of the
+    older one that are met again move over, and those that are not go with it.
+    """
+
+    def __init__(self, most_units: int = CACHE_UNITS, most_ids: int = CACHE_IDS) -> None:
+        self.most_units, self.most_ids, self.older = most_units, most_ids, None
+        self._begin()
+
+    def _begin(self) -> None:
+        self.known = _Numbers()
+        self.start = np.zeros(1024, np.int64)
+        self.length = np.zeros(1024, np.int64)
+        self.ids = np.zeros(4096, np.uint32)
+        self.used = 0
+
+    def turn(self) -> None:
+        """Between two batches: start a new generation if this one is full."""
+        if len(self.known) > self.most_units or self.used > self.most_ids:
+            self.older = types.SimpleNamespace(known=dict(self.known), start=self.start, length=self.length, ids=self.ids)
+            self._begin()
+
+    def numbers(self, units: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+
+    def asked(self) -> tuple[list[str], np.ndarray]:
+        """Units asked for since the last time that neither generation knows, and their numbers."""
+        units, self.known.new = self.known.new, []
+        numbers = np.arange(len(self.known) - len(units), len(self.known))
+        if self.older is None or not units:
+            return units, numbers
+        places = np.fromiter(map(self.older.known.get, units, itertools.repeat(-1)), np.int64, len(units))
+        again = places >= 0
+        self.put(numbers[again], *_gathered(self.older, places[again]))
+        left = np.flatnonzero(~again)
+        return [units[i] for i in left.tolist()], numbers[left]
+
+    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered units one after the other, and how many each has."""
+        return _gathered(self, index)
+
+    def put(self, numbers: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        total = len(ids)
+        while len(self.known) > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        while self.used + total > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used:self.used + total] = ids
+        self.start[numbers] = self.used + np.cumsum(lens) - lens
+        self.length[numbers] = lens
+        self.used += total
+
+    def put_lists(self, numbers: np.ndarray, found: list[list[int]]) -> None:
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        self.put(numbers, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lens.sum())), lens)
+
+
+def _gathered(store, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lens = store.length[index]
+    ends = np.cumsum(lens)
+    return store.ids[np.repeat(store.start[index] - (ends - lens), lens) + np.arange(int(lens.sum()))], lens
+
+
 class Encoder:
     """`encode(texts)` gives all ids of a list of texts and how many each has.
 
     `kind` "words": white space only separates (it leaves no id).  `kind` "bytes": white space has ids; a single
-    space belongs to the word after it.  None is encoded like the empty text, which has no ids.
+    space belongs to the word after it, so such units are stored without it and others behind `_BARE`.  None is encoded like the empty text, which has no ids.
     """
 
     def __init__(self, path: str, kind: str):
@@ -61,81 +133,95 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(public_path(path))
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.kind = kind
         self.mark = "|" if kind == "words" else "\n"
         self.mark_id = self._raw([self.mark])[0][0]
-        self._forget()
+        self.store = IdStore()
 
     def _raw(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _forget(self) -> None:
-        self.known = _Numbers()
-        self.start = np.zeros(1024, np.int64)
-        self.length = np.zeros(1024, np.int64)
-        self.ids = np.zeros(4096, np.uint32)
-        self.used = 0
-
-    def _many(self, units: list[str]) -> None:
+    def _many(self, units: list[str], numbers: np.ndarray) -> None:
         """Learn units, encoded as long lines of units with the mark between them."""
         mark, plain, odd = self.mark, [], []
-        for u in units:
-            if mark in u or len(u) > LONG_UNIT or self.kind == "bytes" and not (u[-1] != " " and u.isprintable()):
-                odd.append(u)       # white space at an end would join the mark
+        for i, u in enumerate(units):
+            if not u or mark in u or len(u) > LONG_UNIT or self.kind == "bytes" and not (u[-1] != " " and u.isprintable()):
+                odd.append(i)       # white space at an end would join the mark
             else:
-                plain.append(u)
+                plain.append(i)
         glue = f" {mark} " if self.kind == "words" else mark
         lines = [plain[i:i + 256] for i in range(0, len(plain), 256)]
-        for line, ids in zip(lines, self._raw([glue.join(x) for x in lines]), strict=True):
+        for line, ids in zip(lines, self._raw([glue.join([units[i] for i in x]) for x in lines]), strict=True):
             got = np.array(ids, np.uint32)
             cuts = np.flatnonzero(got == self.mark_id)
             if len(cuts) == len(line) - 1:
-                self._put(line, got[got != self.mark_id], np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1)
+                self.store.put(numbers[line], got[got != self.mark_id], np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1)
             else:
                 odd += line
         for first in range(0, len(odd), 1000):
-            found = self._raw(odd[first:first + 1000])
-            self._put(odd[first:first + 1000], np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
+            part = odd[first:first + 1000]
+            self.store.put_lists(numbers[part], self._raw([units[i] for i in part]))
 
-    def _learn(self) -> None:
-        """Encode all units asked for since the last time; the parts of compound units first."""
-        units, self.known.new = self.known.new, []
-        number, stems, single = self.known.__getitem__, {}, []
+    def _letters(self, units: list[str], numbers: list[int]) -> None:
+        """Learn units of Latin letters alone: each is one pretoken, so the library's merges are all it needs."""
+        merge, words, found = self.model.tokenize, self.kind == "words", []
         for u in units:
-            if m := _STEM.fullmatch(u):
-                stems[u] = m.groups()
+            u = u.lower() if words else u[1:] if u[0] == _BARE else " " + u
+            if not (words and u.isascii()):
+                u = u.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            found.append([t.id for t in merge(u)])
+        self.store.put_lists(np.array(numbers, np.int64), found)
+
+    def _learn(self) -> None:
+        """Encode all units asked for since the last time.
+
+        A unit of a break, letters and punctuation is put together from these parts, which either pretokenizer keeps apart.
+        """
+        letters, letter_numbers, others, other_numbers, whole, parts = [], [], [], [], [], []
+        match, words = _STEM.match, self.kind == "words"
+        units, numbers = self.store.asked()
+        for u, n in zip(units, numbers.tolist(), strict=True):
+            m = match(u)
+            if m is None or m.end() < len(u) or len(u) > LONG_UNIT:
+                others.append(u)
+                other_numbers.append(n)
+            elif m.end(2) == len(u) and m[1] != "\n":
+                letters.append(u)
+                letter_numbers.append(n)
             else:
-                single.append(u)
-        pairs = np.array([(number(a), number(b)) for a, b in stems.values()], np.int64).reshape(-1, 2)
-        self._many(single + [u for u in self.known.new if u not in stems])
-        self.known.new = []
-        if stems:
-            ids, lens = self._gather(pairs.ravel())
-            self._put(list(stems), ids, lens.reshape(-1, 2).sum(1))
-
-    def _gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lens = self.length[index]
-        ends = np.cumsum(lens)
-        return self.ids[np.repeat(self.start[index] - (ends - lens), lens) + np.arange(int(lens.sum()))], lens
-
-    def _put(self, units: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
-        total = len(ids)
-        while len(self.known) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.used + total > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used:self.used + total] = ids
-        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        self.start[at] = self.used + np.cumsum(lens) - lens
-        self.length[at] = lens
-        self.used += total
+                whole.append(n)
+                parts += m.group(2, 3) if words else (_BARE + m[1].strip(_BARE), _BARE * bool(m[1]) + m[2], _BARE + m[3])
+        index = self.store.numbers(parts)
+        units, numbers = self.store.asked()
+        for u, n in zip(units, numbers.tolist(), strict=True):
+            mine, its = (letters, letter_numbers) if u[-1].isalpha() else (others, other_numbers)
+            mine.append(u)
+            its.append(n)
+        self._letters(letters, letter_numbers)
+        self._many([self._text(u) for u in others], np.array(other_numbers, np.int64))
+        if whole:
+            ids, lens = self.store.gather(index)
+            self.store.put(np.array(whole, np.int64), ids, lens.reshape(len(whole), -1).sum(1))
+
+    def _text(self, unit: str) -> str:
+        """The text that a unit stands for."""
+        if self.kind == "words" or unit[0] == "\n":
+            return unit
+        return unit[1:] if unit[0] == _BARE else " " + unit
 
     def units(self, text: str) -> list[str]:
         if self.kind == "words":
             return text.split() if text.replace("\n", " ").isprintable() else _WORDS.findall(text)
         plain = text.replace("\n", " ")
         if plain.isprintable() and "  " not in plain and plain[:1] != " " and plain[-1:] != " ":
-            return _SPACED.findall(text)
+            own = text.replace("\n", " \n").split(" ")
+            own[0] = _BARE + own[0]
+            return own
+        return [u[1:] if u[0] == " " and len(u) > 1 and u[1] not in " \t\n" else _BARE + u for u in self._spaced(text)]
+
+    def _spaced(self, text: str) -> list[str]:
+        """Cut any text at the spaces and line breaks beside which pretokens end."""
         out: list[str] = []
         for line_no, line in enumerate(text.split("\n")):
             pieces = line.split(" ")
@@ -158,8 +244,7 @@ class Encoder:
         return out if out != [""] else []
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > CACHE_UNITS or self.used > CACHE_IDS:
-            self._forget()
+        self.store.turn()
         flat: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -167,9 +252,9 @@ class Encoder:
                 own = self.units(text)
                 counts[i] = len(own)
                 flat += own
-        index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        index = self.store.numbers(flat)
         self._learn()
-        out, lens = self._gather(index)
+        out, lens = self.store.gather(index)
         edges = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
         return out, np.diff(edges)
 
@@ -184,7 +269,7 @@ def encoder(path: str, kind: str) -> Encoder:
     return store.made[path, kind]
 
 
-def slices(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch with at most `most` characters each, one text at least."""
     first, size = 0, 0
     for i, text in enumerate(texts):
