@@ -15,5 +15,5 @@ def test_query(name, spark, folder, con):
         assert result.count() > 0
 
 
-def test_all_ten_are_there():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+def test_all_operators_are_there():
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bitpack, debruijn, decontaminate, hash_tree, line_crf, line_runs, near_duplicates, packing, secrets, warc
+from webloom.llm import bitpack, debruijn, decontaminate, hash_tree, line_crf, line_runs, near_duplicates, packing, rank_bpe, secrets, vafile, warc, whitening
 from webloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from webloom.session import scratch_path
 
@@ -147,3 +147,21 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 @query("op1_line_crf_quality")
 def op1(spark: SparkSession, d: str) -> DataFrame:
     return line_crf.label_documents(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op11_polar_whitening")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
+@query("op12_rank_bpe_matrices")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    coded = rank_bpe.encode_texts(table(spark, d, "documents").select("doc_id", "text"))
+    ids = F.col("ids")
+    return coded.select("row.doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(rank_bpe.decode_ids(ids), 256).alias("decoded_sha256"))
+
+
+@query("op13_va_file_clusters")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return vafile.cluster(table(spark, d, "embeddings"))
