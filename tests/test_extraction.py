@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import selectors as S
 from webloom.functions.html import parse_html
+from webloom.functions.xpath import xpath
 from webloom.model import RuleError, SelectorRule
 from webloom.operators import extraction as X
 
@@ -54,13 +55,61 @@ def test_xpath(pages, path, want):
     assert values(pages, HOME, X.rule_value(rule)) == want
 
 
-@pytest.mark.parametrize("path", ["//h1/following-sibling::p", "//p/ancestor::div", "//child::p"])
-def test_axes_are_refused(path):
+
+LEDGER = """<html><body><div id="a" class="x"><p>one</p><p lang="en">two <b>bold</b></p><!-- note --><p>three</p><ul><li>1</li><li>2</li><li>3</li><li>4</li><li>5</li></ul></div>
+<div id="b"><p> four  4 </p><span>s</span><ul><li>10</li><li>20</li></ul><i></i><i> </i></div><a href="/k" title="T(a,b)">L</a></body></html>"""
+
+
+def on_ledger(spark, kind, selectors):
+    page = X.with_nodes(spark.createDataFrame([("http://h.example/x", LEDGER)], "url string, html string"))
+    row = page.select(*[X.rule_value(SelectorRule("v", s, kind, is_multiple=True)).alias(f"v{i}") for i, s in enumerate(selectors)]).first()
+    return dict(zip(selectors, row, strict=True))
+
+
+XPATHS = {
+    "//p/following-sibling::p": ["two bold", "three"], "//li/ancestor::div/@id": ["a", "b"], "//div[@id='b']/preceding-sibling::div/p[1]": ["one"], "//b/..": ["two bold"],
+    "//p[last()]": ["three", "four  4"], "//p[position()<3]": ["one", "two bold", "four  4"], "//ul/li[position()=last()-1]": ["4", "10"], "//p[contains(text(),'t')]": ["two bold", "three"],
+    "//p[text()='one' or @lang='en']": ["one", "two bold"], "//p[text()='one' and @lang]": [], "//span | //b | //a": ["bold", "s", "L"], "//li[.>4]": ["5", "10", "20"],
+    "//li[number(.)*2=20]": ["10"], "(//li)[6]": ["10"], "(//li)[last()]": ["20"], "//div[ul/li='20']/@id": ["b"], "//div[count(ul/li)>2]/@id": ["a"], "//a/@*": ["/k", "T(a,b)"],
+    "//div[@id='b']//text()": ["four  4", "s", "10", "20", ""], "//li[preceding-sibling::li[1]='2']": ["3"], "//span/following::li": ["10", "20"], "//span/preceding::p[1]": ["four  4"],
+    "//b/ancestor::*[1]": ["two bold"], "//b/ancestor-or-self::*[2]": ["two bold"], "//div/descendant::li[2]": ["2", "20"], "/html/body/div[2]/ul/li[2]": ["20"], "body/div/span": ["s"],
+    "//li[position() mod 2 = 0]": ["2", "4", "20"], "//a/@href | //div/@id": ["a", "b", "/k"], "//p[@lang='en']/node()": ["two", "bold"], "//div[.//b]/@class": ["x"], "//comment()": ["note"],
+    "//li[not(following-sibling::*)]": ["5", "20"], "//a[@href='/k']/self::a": ["L"], "//li[3][.='3']": ["3"], "//li[.='3'][1]": ["3"], "//p[2]/preceding-sibling::*": ["one"]}
+SCALARS = {
+    "count(//li)": ["7.0"], "string(//p[2])": ["two bold"], "normalize-space(//div[@id='b']/p)": ["four 4"], "name(//*[@title])": ["a"], "sum(//li)": ["45.0"], "concat('a','-',//b)": ["a-bold"],
+    "substring('12345',2,3)": ["234"], "substring('12345', 1.5, 2.6)": ["234"], "substring-before('a=b','=')": ["a"], "substring-after('a=b=c','=')": ["b=c"], "translate('bar','abc','AB')": ["BAr"],
+    "boolean(//zzz)": ["False"], "count(//li) > 4": ["True"], "7 div 2": ["3.5"], "-(1) + 2 * 3": ["5.0"], "string-length(//b)": ["4.0"], "round(2.5)": ["3.0"], "//zzz = 'a'": ["False"],
+    "not(//b)": ["False"], "starts-with(//span, 's')": ["True"]}
+
+
+def test_xpath_axes_predicates_and_unions(spark):
+    assert on_ledger(spark, "xpath", list(XPATHS)) == XPATHS
+
+
+def test_xpath_scalars_are_one_item_lists(spark):
+    assert on_ledger(spark, "xpath", list(SCALARS)) == SCALARS
+
+
+@pytest.mark.parametrize("path", ["//p[", "//p/@x/y", "id('a')", "//p[position(]", "", "//", "count()", "//p[foo::a]", "count('a')", "position()", "'a' | //b", "//p)", "//@x[1]"])
+def test_bad_xpaths_are_reported(path):
     with pytest.raises(RuleError):
-        S.xpath(path, F.col("n"))
+        xpath(path, F.col("n"))
+
+
+CSS_MORE = {
+    "li:nth-child(2n+1)": ["1", "3", "5", "10"], "li:nth-child(even)": ["2", "4", "20"], "li:nth-child(-n+2)": ["1", "2", "10", "20"], "li:nth-child(n+4)": ["4", "5"], "li:nth-child(3n - 1)": ["2", "5", "20"],
+    "li:nth-child(-2)": [], "li:nth-of-type(0n+3)": ["3"], "li:nth-last-child(-n+2)": ["4", "5", "10", "20"], "p:last-of-type": ["three", "four  4"], "p:nth-last-of-type(2)": ["two bold"],
+    "span:only-of-type": ["s"], "div:has(> b) p": [], "div:has(> p > b) b": ["bold"], "div:has(span, b) > p:first-child": ["one", "four  4"], "p:has(+ p)": ["one", "two bold"], "p:has(~ span)": ["four  4"],
+    "div:has(li:nth-child(3)) > p": ["one", "two bold", "three"], "p:is(:first-child, [lang])": ["one", "two bold", "four  4"], "p:not(div#a p)": ["four  4"], "p:not([lang], :first-child)": ["three"],
+    "p:not(:has(b))": ["one", "three", "four  4"], "i:empty": ["", ""], ":root > body > div:first-child p[lang]": ["two bold"], "p:-soup-contains('bold')": ["two bold"], "a:is([title='T(a,b)'])": ["L"],
+    "li:where(#b li)": ["10", "20"], "p:is(div > p + p)": ["two bold", "three"], "body:has(a, zzz) > a": ["L"]}
+
+
+def test_css_relative_counted_and_listed(spark):
+    assert on_ledger(spark, "css", list(CSS_MORE)) == CSS_MORE
 
 
-@pytest.mark.parametrize("selector", ["[", "a[href=", "a >", "", "a,,b", "a::before", "a:hover"])
+@pytest.mark.parametrize("selector", ["[", "a[href=", "a >", "", "a,,b", "a::before", "a:hover", "p:has()", "p:nth-child(x)", "p:not(", "li:nth-child(1 of p)", "p:is(a,,b)"])
 def test_bad_selectors_are_reported(selector):
     with pytest.raises(RuleError):
         S.css(selector, F.col("n"))

@@ -1,4 +1,4 @@
-"""CSS and XPath selectors compiled to Column expressions over a node array (`functions.html`).
+"""CSS selectors compiled to Column expressions over a node array (`functions.html`), and what is read from a match.
 
 A selector becomes one `filter` per compound; the nodes matched on the left of a combinator are
 bound once with `let`.  Nothing here runs on executors.
@@ -24,7 +24,8 @@ _IDENT = r"-?[\w -
 _PIECE = re.compile(
     rf"(?P<tag>\*|{_IDENT})|\#(?P<id>{_IDENT})|\.(?P<cls>{_IDENT})"
     rf"|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*!]?=)\s*(?P<val>\"[^\"]*\"|'[^']*'|[^\s\]]+)\s*(?P<flag>[iIsS])?\s*)?\]"
-    rf"|:(?P<pseudo>first-child|last-child|only-child|first-of-type|nth-child\(\s*\d+\s*\)|nth-of-type\(\s*\d+\s*\)|not\([^()]*\))")
+    rf"|:(?P<pseudo>-?[a-z][a-z-]*)(?P<open>\()?")
+_AN_B = re.compile(r"(?P<word>odd|even)|(?P<step>[+-]?\d*)n(?:\s*(?P<sign>[+-])\s*(?P<rest>\d+))?|(?P<only>[+-]?\d+)", re.IGNORECASE)
 
 
 def attr(node: Column, name: str) -> Column:
@@ -60,21 +61,94 @@ def _attr_test(name: str, op: str | None, raw: str | None, flag: str | None) ->
     return test
 
 
-def _pseudo_test(name: str, nodes: Column) -> Test:
-    number = re.search(r"\((?:\s*)(\d+)", name)
-    if name.startswith("not("):
-        inner, rest = _compound(name[4:-1].strip(), nodes)
-        if rest:
-            raise RuleError(f"unsupported selector: {name}")
-        return lambda n: ~inner(n)
-    if name in ("last-child", "only-child"):
-        later = lambda n: F.exists(nodes, lambda m: (m["up"] == n["up"]) & (m["nth"] > n["nth"]))
-        if name == "last-child":
-            return lambda n: ~F.coalesce(later(n), F.lit(False))
-        return lambda n: (n["nth"] == 1) & ~F.coalesce(later(n), F.lit(False))
-    field = "nth_type" if "type" in name else "nth"
-    wanted = int(number.group(1)) if number else 1
-    return lambda n: n[field] == wanted
+def _counted(argument: str) -> Callable[[Column], Column]:
+    """`an+b`, `odd`, `even` or a number as a test of a place that counts from 1."""
+    m = _AN_B.fullmatch(argument.strip())
+    if not m:
+        raise RuleError(f"unsupported selector argument {argument!r}")
+    if m["only"]:
+        return lambda place: place == int(m["only"])
+    if m["word"]:
+        step, first = 2, int(m["word"].lower() == "odd")
+    else:
+        step = int(m["step"] + "1") if m["step"] in ("", "+", "-") else int(m["step"])
+        first = int((m["sign"] or "+") + (m["rest"] or "0"))
+    if step == 0:
+        return lambda place: place == first
+    beyond = (lambda place: place >= first) if step > 0 else (lambda place: place <= first)
+    return lambda place: beyond(place) & (F.pmod(place - first, F.lit(abs(step))) == 0)
+
+
+def _from_end(nodes: Column, n: Column, same_type: bool) -> Column:
+    """The place of an element among its siblings, counted from the last."""
+    like = lambda m: (m["up"] == n["up"]) & (m["nth"] >= n["nth"])
+    return F.size(F.filter(nodes, (lambda m: like(m) & (m["tag"] == n["tag"])) if same_type else like))
+
+
+def _matches(steps: list[tuple[str, Test]], n: Column, nodes: Column) -> Column:
+    """Whether a node is one that a selector finds, looked up from its right end."""
+    (combinator, test), before = steps[-1], steps[:-1]
+    if not before:
+        return test(n)
+    return test(n) & F.exists(nodes, lambda a: _joined(combinator, a, n) & _matches(before, a, nodes))
+
+
+def _leads(steps: list[tuple[str, Test]], anchor: Column, m: Column, nodes: Column) -> Column:
+    """Whether a relative selector leads from `anchor` to `m`."""
+    (combinator, test), before = steps[-1], steps[:-1]
+    if not before:
+        return test(m) & _joined(combinator, anchor, m)
+    return test(m) & F.exists(nodes, lambda a: _joined(combinator, a, m) & _leads(before, anchor, a, nodes))
+
+
+def _has(argument: str, nodes: Column) -> Test:
+    tests: list[Test] = []
+    for group in _split_groups(argument):
+        m = re.match(r"\s*([>+~])\s*", group)
+        steps = _complex(group[m.end():] if m else group, nodes)
+        steps[0] = (m.group(1) if m else " ", steps[0][1])
+        inside = all(c in " >" for c, _ in steps)
+
+        def test(n: Column, steps=steps, inside=inside) -> Column:
+            base = F.get(nodes, F.lit(0))["i"]
+            where = F.slice(nodes, F.greatest(F.lit(1), n["i"] - base + 2), n["last"] - n["i"]) if inside else nodes
+            return F.exists(where, lambda m: _leads(steps, n, m, nodes))
+        tests.append(test)
+    return lambda n: F.coalesce(reduce(lambda a, b: a | b, [t(n) for t in tests]), F.lit(False))
+
+
+def _pseudo_test(name: str, argument: str | None, nodes: Column) -> Test:
+    if name in ("is", "where", "matches", "any", "not") and argument is not None:
+        groups = [_complex(group, nodes) for group in _split_groups(argument)]
+        some = lambda n: F.coalesce(reduce(lambda a, b: a | b, [_matches(steps, n, nodes) for steps in groups]), F.lit(False))
+        return (lambda n: ~some(n)) if name == "not" else some
+    if name == "has" and argument is not None:
+        return _has(argument, nodes)
+    counted = re.fullmatch(r"nth-(last-)?(child|of-type)", name)
+    if counted and argument is not None:
+        test, same_type = _counted(argument), counted.group(2) == "of-type"
+        if counted.group(1):
+            return lambda n: test(_from_end(nodes, n, same_type))
+        return lambda n: test(n["nth_type" if same_type else "nth"])
+    if name in ("contains", "-soup-contains") and argument is not None and re.fullmatch(r"\s*(\"[^\"]*\"|'[^']*')\s*", argument):
+        return lambda n: node_content(nodes, n, False).contains(argument.strip()[1:-1])
+    if argument is not None:
+        raise RuleError(f"unsupported selector :{name}({argument})")
+    same_type = name.endswith("-of-type")
+    first = lambda n: n["nth_type" if same_type else "nth"] == 1
+    last = lambda n: _from_end(nodes, n, same_type) == 1
+    if name in ("first-child", "first-of-type"):
+        return first
+    if name in ("last-child", "last-of-type"):
+        return last
+    if name in ("only-child", "only-of-type"):
+        return lambda n: first(n) & last(n)
+    if name == "root":
+        return lambda n: (n["up"] == -1) & (n["nth"] == 1)
+    if name == "empty":
+        return lambda n: ~F.exists(subtree(nodes, n), lambda m: (m["up"] == n["i"]) & (
+            _is_element(m) | (m["tag"].startswith("#") & (m["tag"] != "#comment") & (F.trim(m["text"], F.lit(" \t\r\n\f")) != ""))))
+    raise RuleError(f"unsupported selector :{name}")
 
 
 def _all(tests: list[Test]) -> Test:
@@ -99,26 +173,51 @@ def _compound(selector: str, nodes: Column) -> tuple[Test, str]:
         elif m["attr"]:
             tests.append(_attr_test(m["attr"].lower(), m["op"], m["val"], m["flag"]))
         else:
-            tests.append(_pseudo_test(m["pseudo"], nodes))
+            end = _closing(selector, m.end()) if m["open"] else m.end()
+            tests.append(_pseudo_test(m["pseudo"], selector[m.end():end - 1] if m["open"] else None, nodes))
+            selector = selector[end:]
+            continue
         selector = selector[m.end():]
     if not tests:
         raise RuleError(f"unsupported selector near {selector!r}")
     return _all(tests), selector
 
 
-def _related(combinator: str, left: Column, n: Column, nodes: Column) -> Column:
+def _joined(combinator: str, a: Column, n: Column) -> Column:
+    """How `n` has to lie to `a` for a combinator between them."""
     if combinator == ">":
-        return F.exists(left, lambda a: a["i"] == n["up"])
+        return a["i"] == n["up"]
     if combinator == "+":
-        return F.exists(left, lambda a: (a["up"] == n["up"]) & (a["nth"] + 1 == n["nth"]))
+        return (a["up"] == n["up"]) & (a["nth"] + 1 == n["nth"])
     if combinator == "~":
-        return F.exists(left, lambda a: (a["up"] == n["up"]) & (a["nth"] < n["nth"]))
-    return F.exists(left, lambda a: (a["i"] < n["i"]) & (n["i"] <= a["last"]))
+        return (a["up"] == n["up"]) & (a["nth"] < n["nth"])
+    return (a["i"] < n["i"]) & (n["i"] <= a["last"])
+
+
+def _related(combinator: str, left: Column, n: Column, nodes: Column) -> Column:
+    return F.exists(left, lambda a: _joined(combinator, a, n))
+
+
+def _closing(selector: str, at: int) -> int:
+    """The place after the parenthesis that closes the one before `at`; quotes and brackets are skipped."""
+    depth = 1
+    for m in re.finditer(r"\"[^\"]*\"|'[^']*'|\[[^\]]*\]|[()]", selector[at:]):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if not depth:
+            return at + m.end()
+    raise RuleError(f"invalid selector {selector!r}")
 
 
 def _split_groups(selector: str) -> list[str]:
-    groups = re.findall(r"(?:\[[^\]]*\]|\([^)]*\)|[^,])+", selector)
-    if not selector.strip() or selector.count(",") and any(not g.strip() for g in selector.split(",")):
+    """The parts between commas that lie outside parentheses, brackets and quotes."""
+    groups, start, depth = [], 0, 0
+    for m in re.finditer(r"\"[^\"]*\"|'[^']*'|\[[^\]]*\]|[(),]", selector):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if m[0] == "," and not depth:
+            groups.append(selector[start:m.start()])
+            start = m.end()
+    groups.append(selector[start:])
+    if depth or any(not g.strip() for g in groups):
         raise RuleError(f"invalid selector {selector!r}")
     return [g.strip() for g in groups]
 
@@ -177,63 +276,6 @@ def css(selector: str, nodes: Column) -> Column:
     return found_by(plans[0]) if len(plans) == 1 else any_of(plans, [])
 
 
-_STEP = re.compile(r"(//|/)(text\(\)|@?[\w:*-]+)((?:\[[^\]]*\])*)")
-
-
-def xpath(path: str, nodes: Column) -> tuple[Column, str | None]:
-    """Nodes matched by an XPath of element steps, and what to read off them: None for the element,
-    `@name` for an attribute, `text()` for its direct text."""
-    expr = path.strip()
-    expr = re.sub(r"^\.(?=/)", "", expr)
-    if not expr.startswith("/"):
-        expr = "/" + expr
-    pos, found, leaf = 0, None, None
-    while pos < len(expr):
-        m = _STEP.match(expr, pos)
-        if not m or leaf:
-            raise RuleError(f"unsupported XPath near {expr[pos:]!r}")
-        axis, name, predicates = m.groups()
-        if "::" in name:
-            raise RuleError(f"XPath axes are not supported: {name!r}")
-        pos = m.end()
-        if name.startswith("@") or name == "text()":
-            leaf = name
-            if axis == "//":
-                found = _xpath_step(found, "//", "*", "", nodes)
-            continue
-        found = _xpath_step(found, axis, name.lower(), predicates, nodes)
-    if found is None:
-        raise RuleError(f"unsupported XPath {path!r}")
-    return found, leaf
-
-
-def _xpath_step(left: Column | None, axis: str, name: str, predicates: str, nodes: Column) -> Column:
-    tests: list[Test] = [] if name == "*" else [lambda n: n["tag"] == name]
-    for p in re.findall(r"\[([^\]]*)\]", predicates):
-        p = p.strip()
-        equal = re.fullmatch(r"@([\w:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'))?", p)
-        within = re.fullmatch(r"(contains|starts-with)\(\s*@([\w:-]+)\s*,\s*(\"[^\"]*\"|'[^']*')\s*\)", p)
-        if p.isdigit():
-            field = "nth" if name == "*" else "nth_type"
-            tests.append(lambda n, k=int(p), field=field: n[field] == k)
-        elif equal:
-            key, value = equal.group(1).lower(), equal.group(2)
-            tests.append(lambda n, key=key, value=value: F.coalesce(
-                attr(n, key).isNotNull() if value is None else attr(n, key) == value[1:-1], F.lit(False)))
-        elif within:
-            fn, key, value = within.group(1), within.group(2).lower(), within.group(3)[1:-1]
-            tests.append(lambda n, fn=fn, key=key, value=value: F.coalesce(
-                attr(n, key).contains(value) if fn == "contains" else attr(n, key).startswith(value), F.lit(False)))
-        else:
-            raise RuleError(f"unsupported XPath predicate [{p}]")
-    test = _all(tests)
-    if left is None:
-        return F.filter(nodes, test if axis == "//" else (lambda n: test(n) & (n["up"] == -1)))
-    if axis == "//":
-        return _below(left, test, nodes)
-    return text.let(left, lambda found: F.filter(nodes, lambda n: test(n) & _related(">", found, n, nodes)))
-
-
 def subtree(nodes: Column, n: Column) -> Column:
     """All nodes below `n` (not `n` itself); `nodes` must be the whole document."""
     return F.slice(nodes, n["i"] + 2, n["last"] - n["i"])
@@ -250,10 +292,11 @@ def node_text(nodes: Column, n: Column, separator: str = " ") -> Column:
     return F.array_join(_pieces(nodes, n), separator)
 
 
-def node_content(nodes: Column, n: Column) -> Column:
+def node_content(nodes: Column, n: Column, stripped: bool = True) -> Column:
     """All character data below `n` (scripts and styles too), stripped as a whole."""
     data = F.filter(subtree(nodes, n), lambda m: m["tag"].startswith("#") & (m["tag"] != "#comment"))
-    return text.strip(F.array_join(F.transform(data, lambda m: m["text"]), ""))
+    whole = F.array_join(F.transform(data, lambda m: m["text"]), "")
+    return text.strip(whole) if stripped else whole
 
 
 def own_string(nodes: Column, n: Column) -> Column:

@@ -117,12 +117,12 @@ def robots_sitemaps(files: DataFrame, host_col: str = "host", body_col: str = "b
 
 
 def sitemap_candidates(files: DataFrame, scheme: str = "https", host_col: str = "host", body_col: str = "body",
-                       most: int = 3) -> DataFrame:
-    """Sitemap urls to try per host, in order: those its robots file names, then the default place."""
+                       most: int | None = None) -> DataFrame:
+    """Sitemap urls to try per host, in order: those its robots file names, then the default place; the first `most` if given."""
     default = F.concat(F.lit(f"{scheme}://"), F.col(host_col), F.lit("/sitemap.xml"))
     listed = _sitemap_lines(F.col(body_col))
     tries = F.when(F.array_contains(listed, default), listed).otherwise(F.array_append(listed, default))
-    return files.select(host_col, F.posexplode_outer(F.slice(tries, 1, most)).alias("seq", "url"))
+    return files.select(host_col, F.posexplode_outer(tries if most is None else F.slice(tries, 1, most)).alias("seq", "url"))
 
 
 def _robots_path(url: Column) -> Column:

@@ -1,36 +1,22 @@
 """Term-frequency cosine retrieval over chunks.
 
 A chunk's term counts come from sorting its tokens inside the row, so building vectors needs no
-shuffle.  One query is a projection plus top-k.  Many queries are scored block-wise: each task keeps
-only its best k per query, so at most k rows per query and task are shuffled, never all pairs.
+shuffle.  One query is a projection plus top-k.  Many queries, or queries over a stored index, take the
+posting lists of `operators.postings`.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 from collections import Counter
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from webloom.functions import text
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 MIN_SCORE = 0.01
 TOP_K = 5
-# Limits of a query block: queries, and cells (terms x queries) of the matrix a task holds.
-QUERY_BLOCK = 1000
-_CELLS = 4_000_000
-TERM_BUCKETS = 256
-_BUCKET_PARTS = 16
 
 
 def term_counts(body: Column) -> Column:
@@ -89,143 +75,3 @@ def search(chunks: DataFrame, query: str, k: int = TOP_K, id_col: str = "chunk_i
     scored = chunks.withColumn("similarity_score", text.let(term_counts(F.col(body)), score))
     best = scored.orderBy(F.desc_nulls_last("similarity_score"), id_col).limit(k)
     return best.where(F.col("similarity_score").isNotNull())
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k best: score descending, then id ascending."""
-    if len(scores) > k:
-        limit = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= limit)
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
-
-
-def _block_scorer(query_ids: list, vocabulary: list[str], cells: tuple[np.ndarray, np.ndarray, np.ndarray],
-                  id_type: pa.DataType, query_type: pa.DataType, k: int):
-    """Task function: Arrow batches (id, terms, ns, norm) -> best k rows per query of the task.
-
-    `cells` are the (term, query, weight) entries of the block; tasks lay them out as a matrix."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = pa.array(vocabulary, pa.string())
-        matrix = np.zeros((len(vocabulary), len(query_ids)))
-        matrix[cells[0], cells[1]] = cells[2]
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, object), np.empty(0))] * len(query_ids)
-        rows_at_once = max(1, _CELLS // max(1, len(vocabulary)))
-        for whole in batches:
-            for start in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(start, rows_at_once)
-                terms = batch.column(1)
-                at = pc.index_in(terms.flatten(), value_set=lookup)
-                rows = pc.list_parent_indices(terms).to_numpy()
-                hit = at.is_valid().to_numpy(zero_copy_only=False)
-                counts = batch.column(2).flatten().to_numpy()
-                dense = np.zeros((batch.num_rows, len(vocabulary)))
-                dense[rows[hit], at.drop_null().to_numpy()] = counts[hit]
-                norms = batch.column(3).to_numpy(zero_copy_only=False)
-                scores = np.minimum(1.0, (dense @ matrix) / np.where(norms > 0, norms, 1.0)[:, None])
-                ids = np.array(batch.column(0).to_pylist(), dtype=object)
-                for q in range(len(query_ids)):
-                    good = np.flatnonzero(scores[:, q] > MIN_SCORE)
-                    if len(good):
-                        # Ranking is by the rounded score (half up), ties by id.
-                        all_ids = np.concatenate([best[q][0], ids[good]])
-                        all_scores = np.concatenate([best[q][1], np.floor(scores[good, q] * 1e4 + 0.5) / 1e4])
-                        top = _best(all_ids, all_scores, k)
-                        best[q] = (all_ids[top], all_scores[top])
-        out_q = [query_ids[q] for q in range(len(query_ids)) for _ in best[q][0]]
-        out_ids = [i for ids, _ in best for i in ids]
-        out_scores = np.concatenate([s for _, s in best]) if best else np.empty(0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out_q, query_type), pa.array(out_ids, id_type), pa.array(out_scores, pa.float64())],
-            names=["query_id", "chunk_id", "similarity_score"])
-    return run
-
-
-def search_batch(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "chunk_id",
-                 body: str = "text_content", query_id: str = "query_id", query_text: str = "query_text",
-                 block: int = QUERY_BLOCK) -> DataFrame:
-    """Best k chunks for every query: (query_id, chunk_id, similarity_score, rank).
-
-    Queries are taken in blocks of at most `block`; a block's weights travel with the task closure,
-    the chunk table is scanned once per block and never moved.
-    """
-    id_type = _arrow_type(chunks.schema[id_col].dataType)
-    query_type = _arrow_type(queries.schema[query_id].dataType)
-    vectors = chunks.select(F.col(id_col), term_counts(F.col(body)).alias("_t"))
-    vectors = vectors.select(id_col, F.col("_t.term").alias("terms"), F.col("_t.n").alias("ns"),
-                             vector_norm(F.col("_t")).alias("norm"))
-    kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, " \
-            f"chunk_id {chunks.schema[id_col].dataType.simpleString()}, similarity_score double"
-    weighted = term_vectors(queries, query_id, query_text).select(query_id, "term", "weight")
-    parts = []
-    for ids, vocabulary, cells in _query_blocks(weighted, block):
-        scorer = _block_scorer(ids, vocabulary, cells, id_type, query_type, k)
-        parts.append(vectors.mapInArrow(scorer, kinds))
-    if not parts:
-        empty = vectors.sparkSession.createDataFrame([], kinds)
-        return empty.withColumn("rank", F.lit(0))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity_score"), "chunk_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k)
-
-
-def _query_blocks(weighted: DataFrame, block: int) -> Iterator[tuple]:
-    """Pack queries into blocks of at most `block` queries and `_CELLS` matrix cells.
-
-    The rows of a query follow each other (they come from one row), so they are read as a stream and
-    the driver holds one block at a time."""
-    ids: dict = {}
-    vocabulary: dict[str, int] = {}
-    cells: list[tuple[int, int, float]] = []
-
-    def packed() -> tuple:
-        lines, columns, weights = zip(*cells)
-        return list(ids), list(vocabulary), (np.array(lines), np.array(columns), np.array(weights))
-    for query, term, weight in weighted.toLocalIterator():
-        if query not in ids:
-            if ids and (len(ids) >= block or len(vocabulary) * (len(ids) + 1) > _CELLS):
-                yield packed()
-                ids, vocabulary, cells = {}, {}, []
-            ids[query] = len(ids)
-        cells.append((vocabulary.setdefault(term, len(vocabulary)), ids[query], weight))
-    if cells:
-        yield packed()
-
-
-def _arrow_type(dtype) -> pa.DataType:
-    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[dtype.simpleString()]
-
-
-def write_term_index(vectors: DataFrame, path: str, id_col: str = "chunk_id", mode: str = "errorifexists") -> None:
-    """Store a long-form index by term bucket, sorted by term.  A frequent term fills its bucket from
-    several tasks, split by chunk id."""
-    laid = vectors.withColumn("term_bucket", _term_bucket())
-    part = F.pmod(F.xxhash64(id_col), F.lit(_BUCKET_PARTS))
-    (laid.repartition("term_bucket", part).sortWithinPartitions("term_bucket", "term")
-     .write.mode(mode).partitionBy("term_bucket").parquet(path))
-
-
-def _term_bucket() -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
-
-
-def search_terms(index: DataFrame, query: str, k: int = TOP_K, id_col: str = "chunk_id") -> DataFrame:
-    """One query against a long-form index (`term_vectors`).  Of a stored one (`write_term_index`) only
-    the buckets and row groups of the query's terms are read."""
-    counts = Counter(text.tokenize(query))
-    norm = math.sqrt(sum(n * n for n in counts.values()))
-    if not counts:
-        return index.sparkSession.createDataFrame([], f"{id_col} string, similarity_score double")
-    weights = F.create_map(*[F.lit(x) for term, n in sorted(counts.items()) for x in (term, n / norm)])
-    hits = index.where(F.col("term").isin(*sorted(counts)))
-    if "term_bucket" in index.columns:
-        wanted = index.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in sorted(counts)])).alias("term"))
-        buckets = [r[0] for r in wanted.select(_term_bucket()).collect()]     # one per query term
-        hits = hits.where(F.col("term_bucket").isin(*buckets))
-    dots = hits.groupBy(id_col).agg(F.sum(F.col("weight") * F.element_at(weights, F.col("term"))).alias("_s"))
-    return (dots.where(F.col("_s") > MIN_SCORE)
-            .select(id_col, F.round(F.least(F.lit(1.0), F.col("_s")), 4).alias("similarity_score"))
-            .orderBy(F.desc("similarity_score"), id_col).limit(k))

@@ -1,9 +1,9 @@
 """Quality, change radar, chunking and retrieval queries."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from webloom.operators import chunks as G
+from webloom.operators import postings
 from webloom.operators import quality as Q
 from webloom.operators import radar as R
 from webloom.operators import retrieval as S
@@ -270,14 +270,12 @@ def g08(spark, d):
   SELECT doc_id, round(sum(v.w * qv.w), 4) AS similarity_score FROM v JOIN qv USING (term) GROUP BY doc_id HAVING sum(v.w * qv.w) > 0.01 ORDER BY 2 DESC, 1 LIMIT 5""")
 def g08_terms(spark, d):
     path = scratch_path(spark, "terms")
-    vectors = S.term_vectors(table(spark, d, "documents"), "doc_id", "text")
-    S.write_term_index(vectors, path, id_col="doc_id")
-    stored = T.StructType([*vectors.schema.fields, T.StructField("term_bucket", T.IntegerType())])
-    return S.search_terms(spark.read.schema(stored).parquet(path), _QUESTION, id_col="doc_id")
+    postings.write_index(table(spark, d, "documents"), path, id_col="doc_id", body="text")
+    return postings.search_index(spark, path, _QUESTION, id_kind="bigint").withColumnRenamed("chunk_id", "doc_id")
 
 
 @query("g09_search_batch", f"""WITH {_CHUNKS_SQL}, {_SCORES_SQL}, r AS (SELECT item_id AS query_id, chunk_id, round(score, 4) AS similarity_score,
   row_number() OVER (PARTITION BY item_id ORDER BY round(score, 4) DESC, chunk_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
 def g09(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    return S.search_batch(_chunks(spark, d), asked)
+    return postings.search_batch(_chunks(spark, d), asked)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from webloom.model import SelectorRule
+from webloom.operators import admission
 from webloom.operators import extraction as X
 from webloom.plans import derived
 from webloom.plans.registry import query, sql_origin, sql_unescape, table
@@ -153,6 +154,61 @@ def x16_attr(spark, d):
     return _rule(SelectorRule("v", "//li[@class='offer'][1]/a/@href", "xpath", attribute_name="href"), spark, d)
 
 
+_DEEP = {"after": "//h1/following-sibling::p[1]/b/text()", "above": "//b/ancestor::*[2]/@id", "back": "//table/preceding::time[1]/@datetime", "cells": "count(//tr/*)",
+         "joined": "concat(//b, ' / ', //tr[2]/td)", "last_offer": "//li[last()]/a", "second_back": "//li[2]/preceding-sibling::li/i", "none": "//li[3] | //ul/parent::nav",
+         "many": "//li[number(substring-before(i, ' ')) > 60 and not(a[contains(@href, 'zzz')])]/i", "brand": "normalize-space(//tr[th = 'Brand' or th[text()='Make']]/td[position() = last()])",
+         "is_new": "boolean(//span[@class='new'])", "wide": "string-length(//h1) > 20", "after_table": "name(//table[1]/following::*[. = 'more'])"}
+_DEEP_SQL = """SELECT p_partkey, p_brand AS after, 'content' AS above, '2024-01-05' AS back, '4.0' AS cells, p_brand || ' / ' || p_size AS joined,
+  'Seller ' || (p_partkey % 5) AS last_offer, (p_size * 3) || ' pieces' AS second_back, NULL::VARCHAR AS none, CASE WHEN p_size * 3 > 60 THEN (p_size * 3) || ' pieces' END AS many,
+  trim(p_brand) AS brand, 'False' AS is_new, CASE WHEN length(p_name) > 20 THEN 'True' ELSE 'False' END AS wide, 'a' AS after_table FROM part"""
+
+
+@query("x16_xpath_axes_and_scalars", _DEEP_SQL)
+def x16_axes(spark, d):
+    return _products(spark, d).select("p_partkey", *[X.rule_value(SelectorRule(name, path, "xpath")).alias(name) for name, path in _DEEP.items()])
+
+
+@query("x16_xpath_unions", """SELECT p_partkey, p_brand || '|' || p_size AS cells,
+  'https://shop.example.com/img/' || p_partkey || '.png|https://cdn.example.com/logo.gif|https://shop.example.com/s/' || (p_partkey % 7) || '?p=1|https://shop.example.com/p/s/' || (p_partkey % 5) AS addresses,
+  p_name || '|' || p_brand || '|more' AS texts FROM part""")
+def x16_unions(spark, d):
+    rules = [SelectorRule("cells", "//th[.='Size']/following-sibling::td | //th[text()='Brand']/../td", "xpath", is_multiple=True),
+             SelectorRule("addresses", "//li/a/@href | //img/@src", "xpath", attribute_name="href", is_multiple=True),
+             SelectorRule("texts", "//a[@rel]/text() | //h1 | (//b)[1]", "xpath", is_multiple=True)]
+    return _products(spark, d).select("p_partkey", *[F.array_join(X.rule_value(r), "|").alias(r.name) for r in rules])
+
+
+@query("x16_corpus_xpath", f"""SELECT page_id, trim(regexp_replace({_H1}, '[ \t\r\n]+', ' ', 'g')) AS heading, len(regexp_extract_all(html, '<a href=')) || '.0' AS links,
+  {sql_unescape("regexp_extract(html, '<nav><ul><li><a href=.([^>]*).>', 1)")} AS first_link, 'nav' AS first_before FROM pages""")
+def x16_corpus(spark, d):
+    rules = [SelectorRule("heading", "normalize-space(//article/h1)", "xpath"), SelectorRule("links", "count(//a[@href])", "xpath"),
+             SelectorRule("first_link", "(//nav//a)[1]/@href", "xpath"), SelectorRule("first_before", "name((//article)[1]/preceding-sibling::*[last()])", "xpath")]
+    return X.with_nodes(_pages(spark, d)).select("page_id", *[X.rule_value(r).alias(r.name) for r in rules])
+
+
+_CSS = {"has": "ul:has(> li > a.go) li:has(i) a", "has_next": "p:has(+ span.price) b", "has_later": "h1:has(~ ul li)", "some": "main > :is(h1, .price, ul:has(b))", "where": ":where(table, ul) :where(td, i)",
+        "no_link": "li:not(:has(a[rel], b)) i", "odd": "tr:nth-child(2n+1) td", "from": "li:nth-child(n+2) a", "until": "li:nth-child(-n+1) a", "back": "li:nth-last-child(2) a", "last_type": "main > p:last-of-type",
+        "back_type": "main > p:nth-last-of-type(2) b", "only": "main > h1:only-of-type", "vacant": "table:empty ~ ul li:first-of-type a", "says": "a:-soup-contains('mor')", "top": ":root > body nav a"}
+_CSS_SQL = """SELECT p_partkey, 'Seller ' || (p_partkey % 7) || '|Seller ' || (p_partkey % 5) AS has, p_brand AS has_next, p_name AS has_later, p_name || '|$ ' || p_retailprice || ' USD' AS some,
+  p_brand || '|' || p_size || '|' || (p_size * 3) || ' pieces|none' AS "where", (p_size * 3) || ' pieces|none' AS no_link, p_brand AS odd, 'Seller ' || (p_partkey % 5) AS "from", 'Seller ' || (p_partkey % 7) AS until,
+  'Seller ' || (p_partkey % 7) AS back, 'x' AS last_type, p_brand AS back_type, p_name AS only, 'Seller ' || (p_partkey % 7) AS vacant, 'more' AS says, 'top' AS top FROM part"""
+
+
+@query("x14_css_relative_and_counted", _CSS_SQL)
+def x14_relative(spark, d):
+    return _products(spark, d).select("p_partkey", *[F.array_join(X.rule_value(SelectorRule(name, css, is_multiple=True)), "|").alias(name) for name, css in _CSS.items()])
+
+
+_ITEMS = "len(regexp_extract_all(html, '<li><a href='))"
+
+
+@query("x14_corpus_css", f"SELECT page_id, trim({_H1}) AS heading, CAST(greatest({_ITEMS} - 1, 0) AS INTEGER) AS but_last, CAST(ceil({_ITEMS} / 2.0) AS INTEGER) AS odd FROM pages")
+def x14_corpus_css(spark, d):
+    count = lambda css: F.size(X.rule_value(SelectorRule("v", css, is_multiple=True)))
+    return X.with_nodes(_pages(spark, d)).select("page_id", X.rule_value(SelectorRule("v", "body:has(nav) > article > h1:is(:first-child)")).alias("heading"),
+                                                 count("nav li:not(:nth-last-child(1)) > a").alias("but_last"), count("nav li:nth-child(odd):has(> a)").alias("odd"))
+
+
 @query("x17_json_ld_field", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS v FROM part")
 def x17(spark, d):
     return _rule(SelectorRule("v", "size", "jsonld"), spark, d)
@@ -202,19 +258,54 @@ def x23(spark, d):
     return X.rule_coverage(tried).select("field_name", "selector", "match_count", "pages_hit", "is_valid", "hit_rate")
 
 
-@query("x24_inspect", f"""SELECT url, trim({_TITLE}) AS title, length(substr(html, 1, 15000)) AS preview_length,
-  CAST(least(50, len(list_distinct({_HREFS}))) AS INTEGER) AS n_links, 0 AS n_meta, 0 AS n_json FROM pages""")
+@query("x24_inspect", f"""SELECT url, 200 AS status_code, trim({_TITLE}) AS title, sha256(html) AS preview_sha256,
+  array_to_string(list_sort(list_distinct({_HREFS})), ' ') AS links, len(regexp_extract_all(html, '<meta (name|property)=')) AS n_meta,
+  len(regexp_extract_all(html, 'application/ld.json')) AS n_json, true AS robots_allowed FROM pages""")
 def x24(spark, d):
     seen = X.inspect_pages(_pages(spark, d))
-    return seen.select("url", "title", F.length("html_preview").alias("preview_length"), F.size("discovered_links").alias("n_links"),
-                       F.size("meta_tags").alias("n_meta"), F.size("json_ld_schemas").alias("n_json"))
+    return seen.select("url", "status_code", "title", F.sha2(F.col("html_preview").cast("binary"), 256).alias("preview_sha256"),
+                       F.array_join(F.array_sort("discovered_links"), " ").alias("links"), F.size("meta_tags").alias("n_meta"),
+                       F.size("json_ld_schemas").alias("n_json"), "robots_allowed")
+
+
+# Product pages at supplier hosts, so that the robots files and sitemaps of these hosts apply.
+_HOST = "'s' || (p_partkey % 20) || '.example.com'"
+_SEEN_SQL = f"""SELECT url, CASE WHEN p_partkey % 50 = 0 THEN 404 ELSE 200 END AS status_code, trim(p_name) || ' ' || p_partkey AS title, p_name || ' by ' || p_brand AS description,
+  array_to_string(list_sort(list_distinct(['https://' || host || '/s/' || (p_partkey % 7) || '?p=1', 'https://' || host || '/p/s/' || (p_partkey % 5), url || '?page=' || (p_size + 1)])), ' ') AS links, 3 AS n_json,
+  s_suppkey IS NULL OR s_suppkey % 3 = 0 OR NOT starts_with('' || p_partkey, '' || s_suppkey) AS robots_allowed,
+  CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_nationkey AS INTEGER) END AS robots_crawl_delay,
+  CASE WHEN s_suppkey % 3 <> 0 THEN 'https://' || host || '/a.xml' ELSE 'https://' || host || '/sitemap.xml' END AS sitemaps
+  FROM (SELECT *, {_HOST} AS host, 'https://' || {_HOST} || '/p/' || p_partkey AS url FROM part) LEFT JOIN supplier ON s_suppkey = p_partkey % 20"""
+
+
+@query("x24_inspect_with_robots", _SEEN_SQL)
+def x24_robots(spark, d):
+    pages = derived.product_pages(spark, d).withColumn("url", F.concat(F.lit("https://s"), F.col("p_partkey") % 20, F.lit(".example.com/p/"), "p_partkey"))
+    files = derived.robots_files(spark, d)
+    seen = X.inspect_pages(pages, robots=admission.robots_rules(files, "WebLoom/1.0"), robots_files=files)
+    return seen.select("url", "status_code", "title", F.element_at("meta_tags", F.lit("description")).alias("description"), F.array_join(F.array_sort("discovered_links"), " ").alias("links"),
+                       F.size("json_ld_schemas").alias("n_json"), "robots_allowed", "robots_crawl_delay", F.array_join("sitemaps_found", " ").alias("sitemaps"))
+
+
+_WANTED = "Get the title, author, date, price and link"
 
 
 @query("x25_suggest_schema", """SELECT 'title' AS field_name, 'h1' AS selector, 'text' AS data_type, 0.92 AS confidence, count(*) AS pages_hit, 1.0 AS hit_rate FROM part
   UNION ALL SELECT 'author', 'meta[name=''author'']', 'text', 0.88, count(*), 1.0 FROM part UNION ALL SELECT 'publication_date', 'time', 'date', 0.9, count(*), 1.0 FROM part
   UNION ALL SELECT 'url', 'link[rel=''canonical'']', 'url', 0.95, count(*), 1.0 FROM part UNION ALL SELECT 'price', '.price', 'number', 0.85, count(*), 1.0 FROM part""")
 def x25(spark, d):
-    return X.schema_consensus(X.suggest_schema(derived.product_pages(spark, d), "Get the title, author, date, price and link"))
+    return X.schema_consensus(X.suggest_schema(derived.product_pages(spark, d), _WANTED))
+
+
+@query("x25_page_proposals", """SELECT p_partkey, x.* FROM part, LATERAL (
+  SELECT 'title' AS field_name, 'h1' AS selector, substr(p_name, 1, 120) AS sample_value, 'Detected primary header matching <h1>' AS reasoning UNION ALL
+  SELECT 'author', 'meta[name=''author'']', substr(p_brand, 1, 100), 'Matched author metadata or class selector ''meta[name=''author'']''' UNION ALL
+  SELECT 'publication_date', 'time', '2024-01-05', 'Matched semantic date element ''time''' UNION ALL
+  SELECT 'url', 'link[rel=''canonical'']', 'https://shop.example.com/p/' || p_partkey, 'Extracted canonical page URL reference' UNION ALL
+  SELECT 'price', '.price', substr('$ ' || p_retailprice || ' USD', 1, 50), 'Found price indicator ''.price''') AS x""")
+def x25_proposals(spark, d):
+    found = X.suggest_schema(derived.product_pages(spark, d), _WANTED, "p_partkey")
+    return found.select("p_partkey", F.inline("proposed_fields")).select("p_partkey", "field_name", "selector", "sample_value", "reasoning")
 
 
 @query("x26_entity_type", """SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'price|product|sku') THEN 'E-commerce Product' WHEN regexp_matches(lower(text), 'job|salary|role') THEN 'Job Listing'

@@ -33,9 +33,17 @@ def build_session(app_name: str = "webloom", master: str | None = None, **conf:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: `spark.checkpoint.dir`, else a folder below the warehouse."""
+    """Shared folder for intermediate tables: `spark.checkpoint.dir`, else a folder below a warehouse that was set.
+
+    The default warehouse lies on one machine: it serves a local session, and a cluster with neither setting is refused.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/webloom-scratch"
+    if configured:
+        return configured
+    context = spark.sparkContext
+    if not context.master.startswith("local") and not (hasattr(context, "getConf") and context.getConf().contains("spark.sql.warehouse.dir")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/webloom-scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
