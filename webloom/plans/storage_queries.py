@@ -22,11 +22,26 @@ def src3(spark, d):
     return both.select("event_id", "data.k", (F.try_variant_get("free", "$.k", "bigint") == F.col("data.k")).alias("same"))
 
 
-@query("src6_exported_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")
+_LINES = "regexp_replace(text, '[.] ', chr(10), 'g')"
+
+
+@query("src6_exported_csv", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256({_LINES}) AS text_sha256, lang FROM documents")
 def src6(spark, d):
+    """Texts with line breaks, commas and quotes inside the quotes."""
     path = scratch_path(spark, "csv")
-    writers.write_csv(table(spark, d, "documents").select("doc_id", "text", "lang"), path, legacy=True)
-    return readers.read_exported_csv(spark, path)
+    doc = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[.] ", "\n").alias("text"), "lang")
+    writers.write_csv(doc, path, legacy=True)
+    back = readers.read_exported_csv(spark, path)
+    return back.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "lang")
+
+
+@query("src7_json_array_file", "SELECT doc_id, sha256(text) AS text_sha256, lang, n_chars FROM documents")
+def src7(spark, d):
+    """Each task's rows become one array file; the arrays are cut again by splits of the files."""
+    doc, path = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars"), scratch_path(spark, "arrays")
+    writers.write_json_arrays(doc, path)
+    back = readers.read_page_json(spark, path, doc.schema)
+    return back.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "lang", "n_chars")
 
 
 @query("snk1_jsonl_export", "SELECT doc_id, lang, text, source AS _source_url FROM documents")
@@ -63,13 +78,6 @@ def _written_chunks(spark, d):
     return spark.read.schema(rows.schema).json(path)
 
 
-@query("snk5_chunk_documents", """SELECT sha256('docs/' || doc_id || '/0') AS id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 20) AS head, source AS source_url, 'docs' AS pipeline_id
-  FROM documents WHERE regexp_matches(text, '\\S')""")
-def snk5(spark, d):
-    back = _written_chunks(spark, d)
-    return back.where("metadata.chunk_index = 0").select("id", F.substring("text", 1, 20).alias("head"), "metadata.source_url", "metadata.pipeline_id")
-
-
 @query("snk5_all_chunks", f"""WITH {_CHUNKS_SQL} SELECT sha256('docs/' || chunk_id) AS id, chunk_index, source AS source_url, 'docs' AS pipeline_id,
   sha256(text_content) AS content_hash, sha256(text_content) AS text_sha256 FROM c""")
 def snk5_all(spark, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,24 @@ def json_arrays(df: DataFrame, order_col: str, per_array: int = 1000) -> DataFra
     return rows.groupBy(F.floor(F.col("_n") / per_array).alias("array_no")).agg(F.to_json(body, _KEEP_NULLS).alias("json"))
 
 
+def write_json_arrays(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One JSON array file per task, of any size: rows are streamed, with a comma before all but the first of a task."""
+    rows = df.select(F.to_json(F.struct(*[f"`{c}`" for c in df.columns]), _KEEP_NULLS).alias("value"))
+
+    def bracketed(batches):
+        last, before = None, "["
+        for batch in batches:
+            ready = []
+            for value in batch.column(0).to_pylist():
+                if last is not None:
+                    ready.append(before + last)
+                    before = ","
+                last = value
+            yield pa.RecordBatch.from_pydict({"value": pa.array(ready, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if last is None else before + last + "]"]})
+    rows.mapInArrow(bracketed, "value string").write.mode(mode).text(path)
+
+
 def csv_rows(df: DataFrame, legacy: bool = False) -> DataFrame:
     """Flat text columns: lists joined with `; ` and objects as JSON; the legacy layout writes both as
     JSON text."""
