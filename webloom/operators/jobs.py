@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import text
+from webloom.operators import identity
 
 # Limits of a job request.
 MAX_FIELDS, MAX_NAME, MAX_SELECTOR = 20, 100, 500
@@ -203,6 +204,26 @@ def grid_columns(df: DataFrame, most: int = 6) -> DataFrame:
     return df.select(*df.columns[:most])
 
 
+def _cell(value: Column) -> Column:
+    """A VARIANT as the text of a table cell: lists joined with `; `, objects as JSON, nulls as nulls."""
+    kind = F.schema_of_variant(value)
+    plain = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT") | F.schema_of_variant(v).startswith("ARRAY"), F.to_json(v)).otherwise(
+        F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("None")))
+    items = F.array_join(F.transform(F.try_variant_get(value, "$", "array<variant>"), plain), "; ")
+    return F.when(value.isNull() | F.is_variant_null(value), F.lit(None).cast("string")).when(kind.startswith("ARRAY"), items).otherwise(plain(value))
+
+
+def record_grid(records: DataFrame, json_col: str, order_col: str, most: int | None = None) -> DataFrame:
+    """JSON records as a table: order_col and one text column per field that any record has, in the order first seen.
+
+    A first pass finds the names (one row per name reaches the driver, as many as the table has columns), a second one lays
+    out every record; `most` keeps the first columns only."""
+    names = identity.json_keys(records, json_col, order_col).orderBy("first_record", "first_place", "field").select("field")
+    names = [r["field"] for r in (names if most is None else names.limit(most)).collect()]
+    held = records.select(F.col(order_col), F.try_parse_json(json_col).try_cast("map<string,variant>").alias("_r"))
+    return held.select(order_col, *[_cell(F.element_at("_r", F.lit(n))).alias(n) for n in names])
+
+
 def dataset_label(name: Column, at: Column) -> Column:
     return F.concat(F.lit("Dataset - "), F.coalesce(name, F.lit("Ad-hoc")), F.lit(" ("),
                     F.date_format(at, "yyyy-MM-dd HH:mm"), F.lit(")"))

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from webloom.functions.hashing import canonical_json, compact_hash
 from webloom.operators.identity import require_column
+from webloom.session import materialize
 
 PREVIEW_ROWS = 50
 
@@ -48,6 +49,17 @@ def _last(value: Column, is_new: bool) -> Column:
     return F.max_by(F.when(mine, value), F.when(mine, F.col("_at")))
 
 
+def _differences(fields: Sequence[str], types: dict[str, T.DataType]) -> Column:
+    """MAP field -> (old, new) of the fields in which `old` and `new` differ."""
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("field"), (~F.col("old")[c].eqNullSafe(F.col("new")[c])).alias("differs"),
+                 F.struct(_as_text(F.col("old")[c], types[c]).alias("old"),
+                          _as_text(F.col("new")[c], types[c]).alias("new")).alias("change"))
+        for c in fields])
+    return F.map_from_entries(F.transform(F.filter(cells, lambda x: x["differs"]),
+                                            lambda x: F.struct(x["field"], x["change"])))
+
+
 def changes(old: DataFrame, new: DataFrame, keys: Sequence[str] | None = None,
             order_col: str = "record_index") -> DataFrame:
     """Every key with change_type (added, removed, modified, unchanged), both records and, for
@@ -60,13 +72,7 @@ def changes(old: DataFrame, new: DataFrame, keys: Sequence[str] | None = None,
     paired = stacked.groupBy("key_id").agg(
         _last(record, False).alias("old"), _last(record, True).alias("new"),
         first(~F.col("_is_new")).alias("_old_at"), first(F.col("_is_new")).alias("_new_at"))
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("field"), (~F.col("old")[c].eqNullSafe(F.col("new")[c])).alias("differs"),
-                 F.struct(_as_text(F.col("old")[c], types[c]).alias("old"),
-                          _as_text(F.col("new")[c], types[c]).alias("new")).alias("change"))
-        for c in fields])
-    diffs = F.map_from_entries(F.transform(F.filter(cells, lambda x: x["differs"]),
-                                           lambda x: F.struct(x["field"], x["change"])))
+    diffs = _differences(fields, types)
     both = F.col("_old_at").isNotNull() & F.col("_new_at").isNotNull()
     kind = (F.when(F.col("_old_at").isNull(), "added").when(F.col("_new_at").isNull(), "removed")
             .when(F.size("changes") > 0, "modified").otherwise("unchanged"))
@@ -75,6 +81,68 @@ def changes(old: DataFrame, new: DataFrame, keys: Sequence[str] | None = None,
                     F.coalesce("_new_at", "_old_at").alias("position"), "old", "new", "changes"))
 
 
+def _prints(stacked: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """A record as two numbers of 64 bits, so that an aggregate holds it in place."""
+    whole = F.sha2(canonical_json(fields), 256)
+    return stacked.select("key_id", "_at", "_is_new", F.xxhash64(whole).alias("_a"), F.xxhash64(F.lit("second"), whole).alias("_b"))
+
+
+def fingerprints(rows: DataFrame, keys: Sequence[str] | None, fields: Sequence[str], order_col: str, snapshot: str) -> DataFrame:
+    """(key_id, at, a, b, snapshot): what a comparison needs of records of several snapshots; the order is a number or a time."""
+    made = _prints(rows.select(compact_hash([k for k in keys if k in fields] if keys else fields).alias("key_id"), F.col(order_col).alias("_at"),
+                               F.col(snapshot).cast("long").alias("_is_new"), *[F.col(f"`{c}`") for c in fields]), fields)
+    return made.select("key_id", F.col("_at").cast("decimal(38,9)").alias("at"), F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("_is_new").alias("snapshot"))
+
+
+def change_kinds(old: DataFrame, new: DataFrame, keys: Sequence[str] | None = None, order_col: str = "record_index") -> DataFrame:
+    """Every key (key_id) with change_type, the order of its last record on either side (old_at, new_at) and `position`.
+
+    Only fingerprints and orders are grouped, in a hash aggregate."""
+    rows = _prints(_stack(old, new, keys, order_col), _fields(old, new, order_col))
+    at = lambda mine, pick: pick(F.when(mine, F.col("_at")))
+    is_new, is_old = F.col("_is_new"), ~F.col("_is_new")
+    paired = rows.groupBy("key_id").agg(
+        *[_last(F.col(c), side).alias(f"{c}_{side}") for c in ("_a", "_b") for side in (False, True)],
+        at(is_old, F.max).alias("old_at"), at(is_new, F.max).alias("new_at"), at(is_old, F.min).alias("_old_first"), at(is_new, F.min).alias("_new_first"))
+    same = (F.col("_a_False") == F.col("_a_True")) & (F.col("_b_False") == F.col("_b_True"))
+    kind = (F.when(F.col("old_at").isNull(), "added").when(F.col("new_at").isNull(), "removed")
+            .when(same, "unchanged").otherwise("modified"))
+    return paired.select("key_id", kind.alias("change_type"), "old_at", "new_at", F.coalesce("_new_first", "_old_first").alias("position"))
+
+
+def changed(old: DataFrame, new: DataFrame, keys: Sequence[str] | None = None, order_col: str = "record_index") -> DataFrame:
+    """`changes` without the unchanged keys, whose records are not moved.
+
+    The changed keys are stored first, so their size is known when the records are fetched: few of them travel to the
+    records, and only where there are many the records are shuffled."""
+    fields = _fields(old, new, order_col)
+    kinds = materialize(change_kinds(old, new, keys, order_col).where(F.col("change_type") != "unchanged"), "changed-keys")
+    stacked = _stack(old, new, keys, order_col)
+    types = {f.name: f.dataType for f in stacked.schema.fields}
+
+    def records(is_new: bool) -> DataFrame:
+        name, at = ("new", "new_at") if is_new else ("old", "old_at")
+        own = stacked.where(F.col("_is_new") == is_new).select("key_id", F.col("_at").alias(at), F.struct(*[F.col(f"`{c}`") for c in fields]).alias(name))
+        found = own.join(kinds.where(F.col(at).isNotNull()).select("key_id", at), ["key_id", at])
+        place = F.row_number().over(Window.partitionBy("key_id").orderBy(F.lit(0)))     # of records at one place, one
+        return found.withColumn("_n", place).where(F.col("_n") == 1).select("key_id", name)
+    both = kinds.join(records(False), "key_id", "left").join(records(True), "key_id", "left")
+    diffs = F.when(F.col("change_type") == "modified", _differences(fields, types))
+    return both.select(F.lower(F.hex("key_id")).alias("key_id"), "change_type", "position", "old", "new", diffs.alias("changes"))
+
+
+def compare_datasets(stored: DataFrame, old_id: object, new_id: object, json_col: str = "cleaned_data", keys: Sequence[str] | None = None,
+                     rows: int = PREVIEW_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Two datasets of a record table: their counts in one row, and the first changed records of each class with their fields."""
+    side = lambda name: stored.where(F.col("dataset_id") == F.lit(name)).select("record_index", json_col)
+    kinds = changes_json(side(old_id), side(new_id), json_col, keys)
+    count = lambda kind: F.count_if(F.col("change_type") == kind).alias(f"{kind}_count")
+    n = lambda name: F.count_if(F.col("dataset_id") == F.lit(name))
+    totals = stored.where(F.col("dataset_id").isin(old_id, new_id)).agg(n(old_id).alias("total_old"), n(new_id).alias("total_new"))
+    counts = totals.crossJoin(kinds.agg(*map(count, ("added", "removed", "modified", "unchanged"))))      # one row and one row
+    return counts, preview(kinds, rows)
+
+
 def _json_fields(json: Column) -> Column:
     """MAP field -> canonical JSON text of the value, from record JSON; JSON nulls are nulls."""
     values = F.try_parse_json(json).try_cast("map<string,variant>")

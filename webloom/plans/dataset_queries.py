@@ -10,6 +10,7 @@ from webloom.operators import retrieval as S
 from webloom.plans import derived
 from webloom.plans.registry import RE2_SPACE, RE2_TOKEN, query, table
 from webloom.session import scratch_path
+from webloom.sources.writers import write_records
 
 
 # Customers under field names that carry hints, with gaps: some urls relative, some names empty.
@@ -173,20 +174,41 @@ def r04_keyless(spark, d):
 @query("r05_previews", _COMPARE + """, r AS (SELECT *, row_number() OVER (PARTITION BY change_type ORDER BY o_orderkey) AS preview_rank FROM j WHERE change_type <> 'unchanged')
   SELECT o_orderkey, change_type, preview_rank FROM r WHERE preview_rank <= 50""")
 def r05(spark, d):
-    return R.preview(_changes(spark, d)).select("o_orderkey", "change_type", "preview_rank")
+    shown = R.preview(R.changed(*derived.order_snapshots(spark, d), ["o_orderkey"]))
+    return shown.select(F.coalesce("new.o_orderkey", "old.o_orderkey").alias("o_orderkey"), "change_type", "preview_rank")
 
 
-@query("r06_compare_stored_datasets", """WITH a AS (SELECT c_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders JOIN customer ON o_custkey = c_custkey
-    WHERE c_mktsegment = 'BUILDING' AND o_orderstatus IN ('F', 'O') GROUP BY c_custkey)
-  SELECT CAST(sum(f) AS BIGINT) AS total_old, CAST(sum(o) AS BIGINT) AS total_new, count(*) FILTER (f = 0) AS added_count, count(*) FILTER (o = 0) AS removed_count,
-  count(*) FILTER (f > 0 AND o > 0) AS unchanged_count FROM a""")
+@query("r03_changed_records", _COMPARE + """ SELECT o_orderkey, change_type, CASE WHEN change_type = 'modified' THEN old_status || '>' || new_status END AS status_change,
+  old_status, new_status FROM j WHERE change_type <> 'unchanged'""")
+def r03_changed(spark, d):
+    c = R.changed(*derived.order_snapshots(spark, d), ["o_orderkey"])
+    status = F.element_at("changes", F.lit("o_orderstatus"))
+    return c.select(F.coalesce("new.o_orderkey", "old.o_orderkey").alias("o_orderkey"), "change_type", F.concat(status["old"], F.lit(">"), status["new"]).alias("status_change"),
+                    F.col("old.o_orderstatus").alias("old_status"), F.col("new.o_orderstatus").alias("new_status"))
+
+
+def _snapshot_records(spark, d):
+    """Both snapshots in one record table."""
+    old, new = derived.order_snapshots(spark, d)
+    rows = lambda df, name: df.select(F.lit(name).alias("dataset_id"), "record_index", F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")).alias("cleaned_data"))
+    path = scratch_path(spark, "records")
+    write_records(rows(old, "old").unionByName(rows(new, "new")), path)
+    return spark.read.parquet(path)
+
+
+@query("r06_compare_stored_datasets", _COMPARE + """ SELECT (SELECT count(*) FROM old_s) AS total_old, (SELECT count(*) FROM new_s) AS total_new, count(*) FILTER (change_type = 'added') AS added_count,
+  count(*) FILTER (change_type = 'removed') AS removed_count, count(*) FILTER (change_type = 'modified') AS modified_count, count(*) FILTER (change_type = 'unchanged') AS unchanged_count FROM j""")
 def r06(spark, d):
-    from webloom.operators.jobs import owned
-    from webloom.sources.readers import read_records
-    mine = owned(table(spark, d, "orders"), table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "BUILDING", "o_custkey", "c_mktsegment")
-    stored = mine.select(F.col("o_orderstatus").alias("dataset_id"), F.col("o_orderkey").alias("record_index"), "o_custkey")
-    side = lambda name: read_records(stored, name, ordered=False).drop("dataset_id")
-    return R.change_summary(side("F"), side("O"), ["o_custkey"]).drop("modified_count")
+    return R.compare_datasets(_snapshot_records(spark, d), "old", "new", keys=["o_orderkey"])[0]
+
+
+@query("r06_stored_previews", _COMPARE + """, r AS (SELECT *, row_number() OVER (PARTITION BY change_type ORDER BY o_orderkey) AS preview_rank FROM j WHERE change_type <> 'unchanged')
+  SELECT o_orderkey, change_type, preview_rank, CASE WHEN change_type = 'modified' THEN 'o_orderstatus: "' || old_status || '" > "' || new_status || '"' ELSE '' END AS fields FROM r WHERE preview_rank <= 50""")
+def r06_previews(spark, d):
+    shown = R.compare_datasets(_snapshot_records(spark, d), "old", "new", keys=["o_orderkey"])[1]
+    said = F.transform(F.map_entries("changes"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]["old"], F.lit(" > "), e["value"]["new"]))
+    return shown.select(F.get_json_object(F.coalesce("new", "old"), "$.o_orderkey").cast("bigint").alias("o_orderkey"), "change_type", "preview_rank",
+                        F.when(F.col("change_type") == "modified", F.array_join(said, ", ")).otherwise("").alias("fields"))
 
 
 _CHUNKS_SQL = f"""w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '{RE2_SPACE}+'), lambda x: x <> '') AS ws FROM documents),

@@ -6,6 +6,8 @@ from webloom.operators import jobs as J
 from webloom.plans import derived
 from webloom.plans.derived import JOBS_SQL
 from webloom.plans.registry import query, table
+from webloom.session import scratch_path
+from webloom.sources import readers, writers
 
 
 def _projects(spark, d):
@@ -170,3 +172,29 @@ def j17(spark, d):
 @query("j18_result_grid", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem")
 def j18(spark, d):
     return J.grid_columns(table(spark, d, "lineitem"))
+
+
+_VARIED = """'{"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || CASE WHEN event_id % 2 = 0 THEN ',"even":' || event_id ELSE '' END || CASE WHEN event_id % 3 = 0 THEN ',"list":["a",' || user_id || ']' ELSE '' END
+  || CASE WHEN event_id % 5 = 0 THEN ',"deep":{"t":"' || event_type || '"}' ELSE '' END || ',"last":null}'"""
+
+
+def _varied_records(spark, d):
+    some = lambda k, *parts: F.when(F.col("event_id") % k == 0, F.concat(*[F.lit(p) if p[0] in ',"]}' else F.col(p).cast("string") for p in parts])).otherwise("")
+    data = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), some(2, ',"even":', "event_id"), some(3, ',"list":["a",', "user_id", "]"),
+                    some(5, ',"deep":{"t":"', "event_type", '"}'), F.lit(',"last":null}'))
+    return table(spark, d, "events").select("event_id", data.alias("data"))
+
+
+@query("j18_record_grid", """SELECT event_id, CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) AS k, CASE WHEN event_id % 2 = 0 THEN '' || event_id END AS even,
+  CASE WHEN event_id % 3 = 0 THEN 'a; ' || user_id END AS list, CASE WHEN event_id % 5 = 0 THEN '{"t":"' || event_type || '"}' END AS deep, NULL::VARCHAR AS last FROM events""")
+def j18_records(spark, d):
+    return J.record_grid(_varied_records(spark, d), "data", "event_id")
+
+
+@query("snk3_csv_of_records", """SELECT '' || event_id AS event_id, CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) AS k, CASE WHEN event_id % 2 = 0 THEN '' || event_id END AS even,
+  CASE WHEN event_id % 3 = 0 THEN 'a; ' || user_id END AS list, CASE WHEN event_id % 5 = 0 THEN '{"t":"' || event_type || '"}' END AS deep, NULL::VARCHAR AS last FROM events""")
+def snk3_records(spark, d):
+    """The grid written as CSV, its header the union of the records' fields, and read again."""
+    path = scratch_path(spark, "grid")
+    writers.write_csv(J.record_grid(_varied_records(spark, d), "data", "event_id"), path)
+    return readers.read_exported_csv(spark, path)

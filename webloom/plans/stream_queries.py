@@ -1,5 +1,8 @@
 """Streaming queries over the event table, run to completion with an available-now trigger."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.plans.registry import query, table
@@ -42,7 +45,7 @@ def s01(spark, d):
     e = event_stream(spark, d).select("event_id", F.col("user_id").alias("job_id"), F.col("event_type").alias("content_hash"))
     _finish(streams.ingest_records(e, path, mark, order_col="event_id"))
     _finish(streams.ingest_records(e, path, scratch_path(spark, "mark"), order_col="event_id"))     # a replay adds nothing
-    return spark.read.parquet(path)
+    return streams.ingested(spark, path)
 
 
 @query("s01_distinct_within_watermark", "SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
@@ -84,6 +87,43 @@ def s03(spark, d):
     return spark.read.parquet(events).select("batch_id", "total_old", "total_new", "added_count", "removed_count", "modified_count", "unchanged_count")
 
 
+_SNAPSHOTS_SQL = """WITH c AS (SELECT count(*) AS n, count(*) FILTER (o_orderpriority = '5-LOW') AS low, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders)
+  SELECT 1 AS snapshot, 0 AS total_old, n AS total_new, n AS added_count, 0 AS removed_count, 0 AS modified_count, 0 AS unchanged_count FROM c
+  UNION ALL SELECT 2, n, n, 0, 0, low, n - low FROM c UNION ALL SELECT 3, n, n - urgent, 0, urgent, low, n - urgent - low FROM c"""
+
+
+def _marked_snapshots(spark, d):
+    """Three snapshots of the orders with their end marks; the third lacks the urgent ones and has the first's status again."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_index"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+    changed = o.withColumn("o_orderstatus", F.when(F.col("o_orderpriority") == "5-LOW", "X").otherwise(F.col("o_orderstatus")))
+    rows = [df.withColumns({"snapshot_id": F.lit(k), "ended": F.lit(False)}) for k, df in enumerate((o, changed, o.where("o_orderpriority <> '1-URGENT'")), 1)]
+    marks = [spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in o.schema], F.lit(k).alias("snapshot_id"), F.lit(True).alias("ended")) for k in (1, 2, 3)]
+    return rows, marks
+
+
+def _watched(spark, arrivals):
+    source, path, mark = (scratch_path(spark, n) for n in ("feed", "watched", "mark"))
+    for arrival in arrivals:
+        arrival.write.mode("append").parquet(source)
+        _finish(streams.watch_snapshots(spark.readStream.schema(arrival.schema).parquet(source), path, mark, ["o_orderkey"]))
+    return streams.snapshot_events(spark, path)
+
+
+@query("s03_snapshots_in_one_arrival", _SNAPSHOTS_SQL)
+def s03_one(spark, d):
+    rows, marks = _marked_snapshots(spark, d)
+    return _watched(spark, [reduce(DataFrame.unionByName, [*rows, *marks])])
+
+
+@query("s03_snapshots_over_arrivals", _SNAPSHOTS_SQL)
+def s03_many(spark, d):
+    """The rows of the first two snapshots come mixed in two arrivals, the third's over three; marks come with the last rows."""
+    (a, b, c), (end_a, end_b, end_c) = _marked_snapshots(spark, d)
+    part = lambda df, k: df.where(F.col("o_orderkey") % 3 == k)
+    both = lambda *frames: reduce(DataFrame.unionByName, frames)
+    return _watched(spark, [both(part(a, 0), part(b, 0), part(c, 0)), both(part(a, 1), part(a, 2), end_a, part(c, 1)), both(part(b, 1), part(b, 2), end_b, part(c, 2), end_c)])
+
+
 @query("s04_windowed_quality", """SELECT date_trunc('day', ts) AS window_start, count(*) AS records, CAST(sum(2 - (event_type = 'error')::INT) AS BIGINT) AS filled,
   CAST(sum((event_type <> 'error')::INT) AS BIGINT) AS valid, 2 * count(*) AS cells FROM events GROUP BY 1""")
 def s04(spark, d):

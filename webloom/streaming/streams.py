@@ -29,17 +29,36 @@ def _once(df: DataFrame, checkpoint: str, body: Callable[[DataFrame, int], None]
             .trigger(availableNow=True).start())
 
 
+BUCKETS = 256
+
+
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(f"`{k}`").cast("string") for k in keys]), F.lit(BUCKETS)).cast("int").alias("_bucket")
+
+
 def ingest_records(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("job_id", "content_hash"),
                    order_col: str | None = None) -> StreamingQuery:
     """Insert-or-ignore into the table at `path`, exact over all time.
 
-    Replaying a batch after a failure finds its keys stored and adds nothing."""
+    The table lies in hash buckets of the key, and a batch reads the keys of its own buckets only.  Replaying a batch after
+    a failure finds its keys stored and adds nothing."""
     def body(batch: DataFrame, batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, path, batch)
-        new_records(batch, stored, keys, order_col).write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        batch = batch.withColumn("_bucket", _bucket(keys))
+        stored = _stored(spark, path, batch)
+        if stored is not None:
+            touched = [r["_bucket"] for r in batch.select("_bucket").distinct().collect()]      # at most BUCKETS
+            stored = stored.where(F.col("_bucket").isin(*touched))
+        new = new_records(batch, stored, keys, order_col)
+        new.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
     return _once(stream, checkpoint, body)
 
 
+def ingested(spark: SparkSession, path: str) -> DataFrame:
+    """The table that `ingest_records` fills."""
+    return spark.read.parquet(path).drop("_bucket")
+
+
 def distinct_within(stream: DataFrame, keys: Sequence[str], time_col: str, delay: str) -> DataFrame:
     """Bounded-state form: repeats are dropped as long as they come within `delay` of each other."""
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(list(keys))
@@ -77,6 +96,55 @@ def watch_changes(snapshots: DataFrame, snapshot_path: str, events_path: str, ch
     return _once(snapshots, checkpoint, body)
 
 
+def watch_snapshots(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] | None, snapshot: str = "snapshot_id",
+                    ended: str = "ended", order_col: str = "record_index") -> StreamingQuery:
+    """Change counts between snapshots that a column tells apart; rows of one may come in any number of micro-batches.
+
+    A row with `ended` set marks the end of its snapshot and is no record.  A batch stores the fingerprints of its rows; the
+    end of a snapshot closes it: the last record of each key becomes its state, which is compared with the state of the
+    closed snapshot before it.  Work follows the batch, and on an end mark the two states.  Every write replaces what a
+    replay of the batch would write.  Rows that come after the mark of their snapshot do not count.  Events lie in
+    `path`/events, one row a snapshot."""
+    def body(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            fields = [c for c in batch.columns if c not in (snapshot, ended, order_col)]
+            rows = radar.fingerprints(batch.where(~F.coalesce(ended, F.lit(False))), keys, fields, order_col, snapshot)
+            rows.write.mode("overwrite").partitionBy("snapshot").parquet(f"{path}/rows/batch={batch_id}")
+            marks = sorted(r[0] for r in batch.where(ended).select(F.col(snapshot).cast("long")).distinct().collect())      # control rows
+        finally:
+            batch.unpersist()
+        for number in marks:
+            _close_snapshot(spark, path, number, batch_id)
+    return _once(stream, checkpoint, body)
+
+
+_STATE = "key_id binary, n long, a long, b long, snapshot long"
+_EVENTS = "total_old long, total_new long, added_count long, removed_count long, modified_count long, unchanged_count long, snapshot long"
+
+
+def _close_snapshot(spark: SparkSession, path: str, number: int, batch_id: int) -> None:
+    held = spark.read.schema("key_id binary, at decimal(38,9), a long, b long, batch long, snapshot long").parquet(f"{path}/rows")
+    mine = held.where((F.col("snapshot") == number) & (F.col("batch") <= batch_id))
+    last = lambda c: F.max_by(c, "at")
+    state = mine.groupBy("key_id").agg(F.count("*").alias("n"), last("a").alias("a"), last("b").alias("b"))
+    state.write.mode("overwrite").parquet(f"{path}/states/snapshot={number}")
+    states = spark.read.schema(_STATE).parquet(f"{path}/states")
+    before = states.where(F.col("snapshot") < number).agg(F.max("snapshot")).first()[0]
+    side = lambda k, name: states.where(F.col("snapshot") == k).select("key_id", *[F.col(c).alias(f"{c}_{name}") for c in ("n", "a", "b")])
+    both = side(-1 if before is None else before, "old").join(side(number, "new"), "key_id", "full")
+    old, new = F.col("n_old").isNotNull(), F.col("n_new").isNotNull()
+    same = (F.col("a_old") == F.col("a_new")) & (F.col("b_old") == F.col("b_new"))
+    both.agg(F.coalesce(F.sum("n_old"), F.lit(0)).alias("total_old"), F.coalesce(F.sum("n_new"), F.lit(0)).alias("total_new"), F.count_if(~old).alias("added_count"),
+             F.count_if(~new).alias("removed_count"), F.count_if(old & new & ~same).alias("modified_count"), F.count_if(old & new & same).alias("unchanged_count")
+             ).write.mode("overwrite").parquet(f"{path}/events/snapshot={number}")
+
+
+def snapshot_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_EVENTS).parquet(f"{path}/events")
+
+
 def clean_stream(stream: DataFrame, fields: Sequence[str], rules: Iterable[CleanerRule | dict] | None = None) -> DataFrame:
     """Clean and fingerprint arriving records; stateless."""
     return clean(stream, rules).withColumn("content_hash", content_hash(fields))
