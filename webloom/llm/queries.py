@@ -156,10 +156,9 @@ def op11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op12_rank_bpe_matrices")
 def op12(spark: SparkSession, d: str) -> DataFrame:
-    coded = rank_bpe.encode_texts(table(spark, d, "documents").select("doc_id", "text"))
-    ids = F.col("ids")
-    return coded.select("row.doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("ids_sha256"),
-                        F.sha2(rank_bpe.decode_ids(ids), 256).alias("decoded_sha256"))
+    coded = rank_bpe.encode_texts(table(spark, d, "documents").select("doc_id", "text"), spelled=True)
+    return coded.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op13_va_file_clusters")
