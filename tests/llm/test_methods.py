@@ -20,14 +20,36 @@ TRICKY = ["", None, "a  b\n\n c\t d \n", " lead", "trail ", "don't I'll 12345 6.
           "\n\n\n", "  ", "é ́x", "字漢 かな🙂 ok", "x" * 3000, "a\r\nb\r\n c", "foo\x85bar \x0bq", "it's\n's", "word%%% WORD!! word"]
 
 
+def fresh_tokenizer(name):
+    """As the description of the vocabularies has it: strings of special tokens in a text are ordinary text."""
+    from tokenizers import Tokenizer
+    own = Tokenizer.from_file(tokens.public_path(name))
+    own.encode_special_tokens = True
+    return own
+
+
+MARKED = ["<|endoftext|>", "a <|endoftext|> b", "<|startoftext|>a<|endoftext|><|endoftext|>", "Word<|endoftext|>", "<|endoftext|>\nword", "x <|startoftext|> <|endoftext|> y"]
+
+
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_old_units_move_to_the_next_generation(name, kind, rng):
+    encoder, tokenizer = tokens.Encoder(name, kind), fresh_tokenizer(name)
+    encoder.store = tokens.IdStore(300, 1500)
+    some = [f"w{rng.randrange(40)}ord" if i % 3 else "".join(rng.choices("abcdeéßŸ", k=rng.randrange(1, 9))) for i in range(6000)]
+    texts = [" ".join(some[i:i + 60]).replace("w7ord ", "Éw7,\n") for i in range(0, len(some), 60)]
+    for text in [*texts, *texts]:
+        assert encoder.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.store.older is not None and len(encoder.store.known) < 1000
+
+
 @pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
 def test_cached_encoding_equals_the_tokenizer(name, kind, spark, folder):
-    texts = TRICKY + [r[0] for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").limit(60).collect()]
-    encoder = tokens.Encoder(name, kind)
+    texts = TRICKY + MARKED + [r[0] for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").limit(60).collect()]
+    encoder, tokenizer = tokens.Encoder(name, kind), fresh_tokenizer(name)
     for _ in range(2):          # also from the cache
         ids, counts = encoder.encode(texts)
         for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-            assert list(own) == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+            assert list(own) == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("bits", [1, 5, 13, 16, 17, 20])
@@ -42,10 +64,10 @@ def test_packed_files(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     path = scratch_path(spark, "packed")
     bitpack.write_packed(docs, path)
-    encoder, at, all_ids = tokens.Encoder("word_bpe_49k.json", "words"), 0, []
+    tokenizer, at, all_ids = fresh_tokenizer("word_bpe_49k.json"), 0, []
     got = {r.doc_id: r for r in bitpack.read_documents(spark, path).collect()}
     for r in docs.orderBy("doc_id").collect():
-        ids = [*encoder.tokenizer.encode(r.text, add_special_tokens=False).ids, 2]
+        ids = [*tokenizer.encode(r.text, add_special_tokens=False).ids, 2]
         g = got[r.doc_id]
         assert (g.start, g.n_tokens, g.ids_crc32) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         at, all_ids = at + len(ids), all_ids + ids
@@ -55,8 +77,8 @@ def test_packed_files(spark, folder):
 
 def test_packing(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    encoder = tokens.Encoder("byte_bpe_50k.json", "bytes")
-    ids = {r.doc_id: [*encoder.tokenizer.encode(r.text, add_special_tokens=False).ids, 2] for r in docs.collect()}
+    tokenizer = fresh_tokenizer("byte_bpe_50k.json")
+    ids = {r.doc_id: [*tokenizer.encode(r.text, add_special_tokens=False).ids, 2] for r in docs.collect()}
     got = packing.pack_documents(docs, with_ids=True).collect()
     sequences, pieces = collections.defaultdict(list), collections.defaultdict(list)
     for g in got:
