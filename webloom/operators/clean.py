@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from webloom.functions.cleaning import apply_action
 from webloom.functions.hashing import content_hash
 from webloom.model import CleanerRule, as_rules
+from webloom.operators import quality
 
 _RESULT_TYPE = {"to_int": T.LongType(), "to_float": T.DoubleType(), "to_date": T.StringType()}
 
@@ -53,3 +54,11 @@ def clean_and_fingerprint(df: DataFrame, fields: Sequence[str], rules: Iterable[
         if not rules:
             return df.withColumn("content_hash", content_hash(fields, keys))
     return clean(df, rules).withColumn("content_hash", content_hash(fields, keys))
+
+
+def reclean_datasets(records: DataFrame, fields: Sequence[str], rules: Iterable[CleanerRule | dict] | None = None,
+                     keys: Sequence[str] | None = None, dataset_col: str = "dataset_id") -> tuple[DataFrame, DataFrame]:
+    """Records cleaned and fingerprinted anew, and the refreshed header of each dataset: records, quality_score, grade."""
+    cleaned = clean_and_fingerprint(records, fields, rules, keys)
+    report = quality.quality_report(cleaned, by=[dataset_col], fields=fields)
+    return cleaned, report.select(dataset_col, F.col("total_records").alias("records"), F.col("overall_score").alias("quality_score"), "grade")

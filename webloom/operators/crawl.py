@@ -136,3 +136,20 @@ def crawl_progress(visits: DataFrame, job: str, order_col: str, max_pages: int)
     numbered = visits.withColumn("current", place).where(F.col("current") <= max_pages)
     return numbered.withColumn("total", F.lit(max_pages)).withColumn(
         "percent", F.round(F.col("current") / max_pages * 100, 1))
+
+
+def request_activity(requests: DataFrame, domain: str = "domain", at: str = "at", failed: str = "failed") -> DataFrame:
+    """Requests, failures and pauses (in seconds) per domain and hour of a whole request log.
+
+    `longest_pause` is between requests of the hour, `pause_before` since the last request before it.  Order is local to an
+    hour of a domain; hours are chained by their first and last request, one row each.
+    """
+    hour = Window.partitionBy(domain, "hour")
+    seconds = lambda a, b: F.timestamp_diff("MICROSECOND", a, b) / 1e6
+    own = requests.select(domain, F.date_trunc("HOUR", at).alias("hour"), F.col(at).alias("_at"), F.col(failed).alias("_failed"))
+    paused = own.withColumn("_pause", seconds(F.lag("_at").over(hour.orderBy("_at")), F.col("_at")))
+    rolled = paused.groupBy(domain, "hour").agg(
+        F.count("*").alias("requests"), F.count_if("_failed").alias("failures"), F.max("_pause").alias("longest_pause"),
+        F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(domain).orderBy("hour"))
+    return rolled.withColumn("pause_before", seconds(before, F.col("_first"))).drop("_first", "_last")

@@ -31,6 +31,7 @@ GROUP = 512             # queries whose scores a task holds beside a segment
 SPAN = 16               # segments that go to one task together, so that its best scores so far save work
 SALTS = 8               # parts of a frequent term's blocks in the join
 BUCKETS = 256
+HOT = 10_000            # chunks times queries of a block from which it goes into the matrix product
 CATALOGUE = -1          # the bucket of the rows that name the chunks of a segment
 
 _NARROW = np.dtype([("gap", "<u2"), ("n", "<u2"), ("square", "<u4")])
@@ -152,12 +153,23 @@ def _score(k: int):
             return
         column = np.cumsum(open_slots) - 1
         scores = np.zeros((SEGMENT, int(open_slots.sum())))
+        hot: list[tuple] = []
         for _, wide, postings, slots, weights in blocks:
             alive = open_slots[slots]
             if alive.any():
                 posts = np.frombuffer(postings, _WIDE if wide else _NARROW)
                 own = posts["n"] / np.sqrt(posts["square"].astype(np.float64))
-                scores[np.ix_(np.cumsum(posts["gap"].astype(np.int64)), column[slots[alive]])] += own[:, None] * weights[alive]
+                chunks, mine = np.cumsum(posts["gap"].astype(np.int64)), column[slots[alive]]
+                if len(chunks) * len(mine) < HOT:
+                    scores[np.ix_(chunks, mine)] += own[:, None] * weights[alive]
+                else:
+                    hot.append((chunks, own, mine, weights[alive]))
+        for first in range(0, len(hot), 256):       # terms of many chunks and many queries: one matrix product
+            part = hot[first:first + 256]
+            left, right = np.zeros((SEGMENT, len(part))), np.zeros((len(part), scores.shape[1]))
+            for i, (chunks, own, mine, weights) in enumerate(part):
+                left[chunks, i], right[i, mine] = own, weights
+            scores += left @ right
         for slot in np.flatnonzero(open_slots):
             mine = scores[:, column[slot]]
             good = np.flatnonzero(mine > MIN_SCORE)

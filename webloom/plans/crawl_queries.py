@@ -112,3 +112,12 @@ def k06(spark, d):
 def k05_sites(spark, d):
     asked = table(spark, d, "pages").select("page_id", U.authority(F.col("url")).alias("domain"), F.lit(0.0).alias("arrival"))
     return K.fetch_slots(asked, 1.0, tie="page_id").select("page_id", "domain", "slot")
+
+
+@query("k05_request_activity", """WITH e AS (SELECT user_id % 5 AS domain, date_trunc('hour', ts) AS hour, ts, event_type = 'error' AS failed,
+    lag(ts) OVER (PARTITION BY user_id % 5, date_trunc('hour', ts) ORDER BY ts) AS before FROM events),
+  r AS (SELECT domain, hour, count(*) AS requests, count(*) FILTER (failed) AS failures, max(epoch_us(ts) - epoch_us(before)) / 1e6 AS longest_pause, min(ts) AS a, max(ts) AS b FROM e GROUP BY domain, hour)
+  SELECT domain, CAST(hour AS TIMESTAMP) AS hour, requests, failures, longest_pause, (epoch_us(a) - epoch_us(lag(b) OVER (PARTITION BY domain ORDER BY hour))) / 1e6 AS pause_before FROM r""")
+def k05_activity(spark, d):
+    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("domain"), "ts", (F.col("event_type") == "error").alias("failed"))
+    return K.request_activity(e, at="ts").withColumn("hour", F.col("hour").cast("timestamp_ntz"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from webloom.operators import chunks as G
+from webloom.operators import clean as clean_ops
 from webloom.operators import postings
 from webloom.operators import quality as Q
 from webloom.operators import radar as R
@@ -106,6 +107,14 @@ def q08(spark, d):
     return _flat(report, "c_nationkey").withColumn("grade", Q.grade_of(F.col("overall_score")))
 
 
+@query("c11_recleaned_headers", "SELECT c_nationkey, total_records AS records, overall_score AS quality_score, grade FROM (" + _GRADED.format(_quality_sql(_HINTED_SQL, "c_nationkey")) + ")")
+def c11_headers(spark, d):
+    """Texts with blanks around them, cleaned, hashed and scored again per dataset."""
+    raw = _hinted(spark, d).withColumns({c: F.concat(F.lit("  "), F.col(c), F.lit(" \t")) for c in ("home_url", "segment", "price", "order_date")})
+    _, headers = clean_ops.reclean_datasets(raw, _FIELDS, keys=["home_url"], dataset_col="c_nationkey")
+    return headers.withColumn("grade", Q.grade_of(F.col("quality_score")))
+
+
 @query("q08_score_of_json_records", """WITH t AS (SELECT event_type, count(*) AS n, count(DISTINCT props) AS u FROM events GROUP BY event_type)
   SELECT event_type, round((0.4 * 0.5 + 0.35 + 0.25 * u / n) * 100, 1) AS overall_score, n AS missing, 'k,tags' AS fields FROM t""")
 def q08_json(spark, d):
