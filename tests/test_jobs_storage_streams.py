@@ -140,6 +140,18 @@ def _feed(spark, path, rows, schema):
     spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
 
 
+def test_bucketed_ingestion_reads_the_buckets_of_the_batch(spark, tmp_path):
+    schema = "job_id string, content_hash string, n int"
+    src, sink, mark = (str(tmp_path / p) for p in ("src", "sink", "mark"))
+    for rows in ([(f"j{i}", "1", i) for i in range(200)] + [("j1", "1", 900)], [("j7", "1", 901), ("j7", "2", 902), ("j7", "2", 903)]):
+        _feed(spark, src, rows, schema)
+        streams.ingest_records(spark.readStream.schema(schema).parquet(src), sink, mark, order_col="n", buckets=32).awaitTermination()
+    streams.ingest_records(spark.readStream.schema(schema).parquet(src), sink, str(tmp_path / "mark2"), order_col="n", buckets=32).awaitTermination()
+    want = [(f"j{i}", "1", i) for i in range(200)] + [("j7", "2", 902)]
+    assert sorted(tuple(r) for r in streams.ingested(spark, sink).select("job_id", "content_hash", "n").collect()) == sorted(want)
+    assert spark.read.parquet(sink).select("_bucket").distinct().count() == 32
+
+
 def test_streamed_ingestion_is_exact_over_batches_and_replays(spark, tmp_path):
     schema = "job_id string, content_hash string, n int"
     src, sink, mark = (str(tmp_path / p) for p in ("src", "sink", "mark"))

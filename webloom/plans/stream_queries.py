@@ -39,15 +39,27 @@ def _latest(spark, path, key):
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "batch").alias("_row")).select("_row.*")
 
 
-@query("s01_streamed_insert_or_ignore", "SELECT min(event_id) AS event_id, user_id AS job_id, event_type AS content_hash FROM events GROUP BY user_id, event_type")
-def s01(spark, d):
-    path, mark = scratch_path(spark, "sink"), scratch_path(spark, "mark")
+_FIRST_SQL = "SELECT min(event_id) AS event_id, user_id AS job_id, event_type AS content_hash FROM events GROUP BY user_id, event_type"
+
+
+def _ingested_twice(spark, d, buckets):
+    path = scratch_path(spark, "sink")
     e = event_stream(spark, d).select("event_id", F.col("user_id").alias("job_id"), F.col("event_type").alias("content_hash"))
-    _finish(streams.ingest_records(e, path, mark, order_col="event_id"))
-    _finish(streams.ingest_records(e, path, scratch_path(spark, "mark"), order_col="event_id"))     # a replay adds nothing
+    for _ in range(2):      # a replay adds nothing
+        _finish(streams.ingest_records(e, path, scratch_path(spark, "mark"), order_col="event_id", buckets=buckets))
     return streams.ingested(spark, path)
 
 
+@query("s01_streamed_insert_or_ignore", _FIRST_SQL)
+def s01(spark, d):
+    return _ingested_twice(spark, d, None)
+
+
+@query("s01_bucketed_insert_or_ignore", _FIRST_SQL)
+def s01_buckets(spark, d):
+    return _ingested_twice(spark, d, 16)
+
+
 @query("s01_distinct_within_watermark", "SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
 def s01_bounded(spark, d):
     path = scratch_path(spark, "within")

@@ -29,25 +29,23 @@ def _once(df: DataFrame, checkpoint: str, body: Callable[[DataFrame, int], None]
             .trigger(availableNow=True).start())
 
 
-BUCKETS = 256
-
-
-def _bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(f"`{k}`").cast("string") for k in keys]), F.lit(BUCKETS)).cast("int").alias("_bucket")
-
-
 def ingest_records(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("job_id", "content_hash"),
-                   order_col: str | None = None) -> StreamingQuery:
+                   order_col: str | None = None, buckets: int | None = None) -> StreamingQuery:
     """Insert-or-ignore into the table at `path`, exact over all time.
 
-    The table lies in hash buckets of the key, and a batch reads the keys of its own buckets only.  Replaying a batch after
-    a failure finds its keys stored and adds nothing."""
+    With `buckets` the table lies in that many hash buckets of the key (`ingested` reads it), and a batch reads the stored keys
+    of its own buckets only; without, those of the whole table.  Replaying a batch after a failure finds its keys stored and
+    adds nothing."""
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.withColumn("_bucket", _bucket(keys))
+        if buckets is None:
+            new_records(batch, _stored(spark, path, batch), keys, order_col).write.mode("append").parquet(path)
+            return
+        own = F.pmod(F.xxhash64(*[F.col(f"`{k}`").cast("string") for k in keys]), F.lit(buckets)).cast("int")
+        batch = batch.withColumn("_bucket", own)
         stored = _stored(spark, path, batch)
         if stored is not None:
-            touched = [r["_bucket"] for r in batch.select("_bucket").distinct().collect()]      # at most BUCKETS
+            touched = [r["_bucket"] for r in batch.select("_bucket").distinct().collect()]      # at most `buckets`
             stored = stored.where(F.col("_bucket").isin(*touched))
         new = new_records(batch, stored, keys, order_col)
         new.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
@@ -55,7 +53,7 @@ def ingest_records(stream: DataFrame, path: str, checkpoint: str, keys: Sequence
 
 
 def ingested(spark: SparkSession, path: str) -> DataFrame:
-    """The table that `ingest_records` fills."""
+    """The table that `ingest_records` fills, without its layout."""
     return spark.read.parquet(path).drop("_bucket")
 
 
