@@ -171,26 +171,34 @@ def test_gradient_of_the_field():
             assert abs((high - low) / 2e-5 - g[at]) < 1e-4
 
 
-@pytest.mark.parametrize("least", [2, 3, 4, 5])
-def test_line_runs(spark, rng, least):
-    pool = [f"line {i}" for i in range(6)]
+@pytest.mark.parametrize(("least", "least_words"), [(1, 99), (2, 99), (3, 99), (4, 99), (5, 99), (3, 5), (3, 4), (5, 6), (3, 1)])
+def test_line_runs(spark, rng, least, least_words):
+    pool = [f"line {i}" for i in range(4)] + ["}", "one line with five words", " three words\there"]
     rows = [(i, "\n".join(rng.choice([*pool, "", " "]) for _ in range(rng.randrange(1, 25)))) for i in range(30)]
-    got = {r.row.doc_id: r for r in line_runs.delete_later_runs(documents(spark, rows), least).collect()}
+    got = {r.row.doc_id: r for r in line_runs.delete_later_runs(documents(spark, rows), least, least_words).collect()}
     seen = set()
     for i, text in rows:
         lines = text.split("\n")
         places = [n for n, x in enumerate(lines) if x.strip()]
         gone = set()
-        for k in range(len(places) - least + 1):
-            run = tuple(lines[p] for p in places[k:k + least])
-            if run in seen:
-                gone.update(range(k, k + least))
-            seen.add(run)
+        for n in [x for x in (1, 2, 4) if x < least] + [least]:
+            for k in range(len(places) - n + 1):
+                run = tuple(lines[p] for p in places[k:k + n])
+                if run in seen and (n == least or len(" ".join(run).split()) >= least_words):
+                    gone.update(range(k, k + n))
+                seen.add(run)
         owner = [sum(p <= n for p in places) - 1 for n in range(len(lines))]
         assert got[i].kept_text == "\n".join(x for n, x in enumerate(lines) if owner[n] not in gone), (i, text)
         assert (got[i].n_lines, got[i].n_removed) == (len(places), len(gone))
 
 
+def test_places_of_large_numbers(spark):
+    line = "a line of six words here"
+    rows = [(2**63 - 1, f"x\n{line}"), (-(2**63), f"{line}\ny"), (None, f"{line}\nz"), (None, f"{line}\nz\nand five more words here")]
+    got = {r.row.text: r.n_removed for r in line_runs.delete_later_runs(documents(spark, rows)).collect()}
+    assert [got[t] for _, t in rows] == [1, 0, 1, 2]
+
+
 def test_key_law(spark):
     keys = spark.range(20_000).withColumnRenamed("id", "doc_id")
     before = hash_tree.place(keys, "doc_id", hash_tree.even_tree(40))

@@ -6,7 +6,10 @@ share a rank, and the rank is the first place of the class; level k + 1 ranks th
 lines on.  A class of two or more suffixes is an interval of the suffix array whose longest common prefix has 2^k
 lines at least; suffixes alone in their class have left all longer intervals and are not carried on, so the levels
 end with the longest repeated run.  A suffix whose rank lies before its own place repeats an earlier run: its
-lines are a later copy.  Runs of fewer than `min_lines` lines stay.
+lines are a later copy.  A run counts from `min_lines` lines on, or with fewer lines (1, 2, 4, …) if they have
+`min_words` words together, so a long line or a footer line counts by itself and a brace or a short heading does not.
+
+A place has 31 bits for the line, more than the lines any string can hold.
 
 Edge cases: lines without a word are never counted nor deleted; null and empty texts have no lines and stay as they are
 (kept text: empty); rows equal in doc_id and text are one document; null doc_ids come last in the order of copies; an empty
@@ -20,9 +23,10 @@ from pyspark.sql import functions as F
 
 from webloom.session import materialize, release
 
-MIN_LINES = 3
+MIN_LINES, MIN_WORDS = 3, 5
 _PLACE = "decimal(38,0)"
-_LINE_BITS = 24         # lines of one document: below 16 million
+_LINE_BITS = 31         # a string has fewer than 2^31 bytes
+_WORD = "[^\\x20\\x09-\\x0D]"
 
 
 # A unit is a line with a word and the lines without one that follow it; the first unit may hold leading ones alone.
@@ -30,7 +34,7 @@ _UNIT = "\\n(?=[\\x20\\x09\\x0B-\\x0D]*[^\\x20\\x09-\\x0D])"
 
 
 def _has_word(line: Column) -> Column:
-    return line.rlike("[^\\x20\\x09-\\x0D]")
+    return line.rlike(_WORD)
 
 
 def _text(of: str = "") -> Column:
@@ -40,8 +44,8 @@ def _text(of: str = "") -> Column:
 def _document(of: str = "") -> Column:
     """The place before a document's first line."""
     order = F.coalesce(F.col(f"{of}doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
-    tie = (F.crc32(_text(of).cast("binary")) * F.lit(1 << _LINE_BITS)).cast("decimal(17,0)")
-    return (order * F.lit(1 << (32 + _LINE_BITS)).cast("decimal(17,0)") + tie).cast(_PLACE)
+    tie = (F.crc32(_text(of).cast("binary")) * F.lit(1 << _LINE_BITS)).cast("decimal(19,0)")
+    return (order * F.lit(str(1 << (32 + _LINE_BITS))).cast("decimal(19,0)") + tie).cast(_PLACE)
 
 
 def _units(rows: DataFrame, of: str = "") -> DataFrame:
@@ -51,41 +55,45 @@ def _units(rows: DataFrame, of: str = "") -> DataFrame:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """place and line id (128 bits) of every line with a word."""
+    """place, line id (128 bits) and number of words of every line with a word."""
     lines = F.transform(F.expr("slice(_units, _lead + 1, size(_units))"), lambda u: F.substring_index(u, "\n", 1))
     rows = _units(docs.select("doc_id", "text", _document().alias("_document"))).select("_document", F.posexplode(lines).alias("at", "line"))
     return rows.select((F.col("_document") + F.col("at")).cast(_PLACE).alias("place"), F.xxhash64("line").alias("a"),
-                       F.xxhash64(F.lit(17), "line").alias("b"))
+                       F.xxhash64(F.lit(17), "line").alias("b"), F.regexp_count("line", F.lit(f"{_WORD}+")).alias("words"))
 
 
 def _ranked(keyed: DataFrame, keys: list[str]) -> DataFrame:
-    """(place, rank) of the rows of `keyed` (place, *keys) whose keys occur more than once.
+    """(place, rank, words) of the rows of `keyed` (place, words, *keys) whose keys occur more than once.
 
     The classes are counted with partial aggregates and stored, so the join back has a plain table on either side and can
     split a class that holds a large part of all rows.
     """
     classes = materialize(keyed.groupBy(*keys).agg(F.min("place").alias("rank"), F.max("place").alias("last")).where("rank < last").drop("last"), "classes")
-    found = materialize(keyed.join(classes, keys).select("place", "rank"), "ranks")
+    found = materialize(keyed.join(classes, keys).select("place", "rank", "words"), "ranks")
     release(classes)
     return found
 
 
 def _pairs(ranks: DataFrame, step: int) -> DataFrame:
-    """Ranks at a place and `step` lines on, where both are repeated."""
-    later = ranks.select((F.col("place") - step).cast(_PLACE).alias("place"), F.col("rank").alias("rank_b"))
-    return ranks.withColumnRenamed("rank", "rank_a").join(later, "place")
+    """Ranks at a place and `step` lines on, where both are repeated, with the words of both."""
+    later = ranks.select((F.col("place") - step).cast(_PLACE).alias("place"), F.col("rank").alias("rank_b"), F.col("words").alias("words_b"))
+    own = ranks.select("place", F.col("rank").alias("rank_a"), F.col("words").alias("words_a"))
+    return own.join(later, "place").select("place", "rank_a", "rank_b", (F.col("words_a") + F.col("words_b")).alias("words"))
 
 
-def repeated_suffixes(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_suffixes(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(place, length): a run of `length` lines at `place` has a copy that starts at an earlier place.
 
-    Each place comes once per level that it reaches, from `min_lines` on.
+    Each place comes once per level that it reaches: 1, 2, 4, … lines with `min_words` words below `min_lines`,
+    `min_lines` itself, and the powers of two above it.
     """
     lines = materialize(_places(docs), "lines")
     ranks = _ranked(lines, ["a", "b"])
     release(lines)
     length, levels, done = 1, [], False
     while not done:
+        if length < min_lines:
+            levels.append(ranks.where("rank < place").where(F.col("words") >= min_words).select("place", F.lit(length).alias("length")))
         if length <= min_lines < 2 * length:
             # a run of min_lines lines is two runs of 2^k lines that may overlap
             shift = min_lines - length
@@ -109,14 +117,14 @@ def repeated_suffixes(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return out
 
 
-def delete_later_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def delete_later_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """`row` (all columns of `docs`, as a struct), `kept_text`, `n_lines`, `n_removed` and `run_scale`.
 
-    `run_scale` is the longest level (min_lines or a larger power of two) at which a run of this document copies an
-    earlier one; 0 if none does.
+    `run_scale` is the longest level (see `repeated_suffixes`) at which a run of this document copies an earlier one; 0 if
+    none does.
     """
     one = F.lit(1 << _LINE_BITS).cast("decimal(17,0)")
-    runs = repeated_suffixes(docs, min_lines).withColumn("at", F.pmod("place", one).cast("int"))
+    runs = repeated_suffixes(docs, min_lines, min_words).withColumn("at", F.pmod("place", one).cast("int"))
     runs = runs.withColumn("_document", (F.col("place") - F.col("at")).cast(_PLACE)).drop("place")
     # Overlapping runs become one stretch.  What a document gathers is bounded by its own lines.
     along = Window.partitionBy("_document").orderBy("at", "length")

@@ -71,18 +71,20 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     return warc.read_archives(spark, path)
 
 
-_SCALES = [3, *(2**k for k in range(2, 16))]
+_SCALES = [1, 2, 3, *(2**k for k in range(2, 16))]
 OP2_SQL = r"""
 WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 lines AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS word,
                  sum(regexp_matches(line, '[^\x20\x09-\x0D]')::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM raw),
-ids AS (SELECT doc_id, list(md5(line) ORDER BY k) AS w FROM lines WHERE word GROUP BY doc_id),
-wins AS (SELECT doc_id, i - 1 AS k, n, md5(array_to_string(w[i:i + n - 1], ',')) AS win
+ids AS (SELECT doc_id, list(md5(line) ORDER BY k) AS w, list(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) ORDER BY k) AS c
+        FROM lines WHERE word GROUP BY doc_id),
+wins AS (SELECT doc_id, i - 1 AS k, n, md5(array_to_string(w[i:i + n - 1], ',')) AS win,
+                n >= 3 OR list_sum(c[i:i + n - 1]) >= 5 AS counts
          FROM ids, (SELECT unnest(SCALES) AS n) AS s, unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(i)),
 firsts AS (SELECT n, win, min((doc_id, k)) AS f FROM wins GROUP BY n, win),
-later AS (SELECT doc_id, k, n FROM wins JOIN firsts USING (n, win) WHERE (doc_id, k) <> f),
-gone AS (SELECT DISTINCT doc_id, p AS k FROM later, unnest(range(k, k + 3)) AS t(p) WHERE n = 3),
+later AS (SELECT doc_id, k, n FROM wins JOIN firsts USING (n, win) WHERE counts AND (doc_id, k) <> f),
+gone AS (SELECT DISTINCT doc_id, p AS k FROM later, unnest(range(k, k + n)) AS t(p) WHERE n <= 3),
 scale AS (SELECT doc_id, max(n) AS run_scale FROM later GROUP BY doc_id)
 SELECT l.doc_id, count(*) FILTER (word)::BIGINT AS n_lines, count(*) FILTER (word AND g.k IS NOT NULL)::BIGINT AS n_removed,
        coalesce(any_value(run_scale), 0)::INT AS run_scale,
