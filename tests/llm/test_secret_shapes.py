@@ -54,3 +54,27 @@ def test_random_tokens_of_every_shape_are_reported(spark, rng):
     for k, name in enumerate(secrets.ENCODINGS):
         assert sum(got[100 * k + i] == f"random:5:{len(dict(rows)[100 * k + i])}" for i in range(20)) >= 16, name
     assert all(got[10_000 + i] == "" for i in range(20)) and got[10_100] == "random:0:32"
+
+
+ORDINARY = ["iso-8859-1-encoding-utf8", "node_modules_cache_v12", "x86_64-unknown-linux-gnu", "com/example/service/v2/users", "requirements-dev-2024-03-01",
+            "user_profile_picture_large_2x", "chapter-12-introduction-to-geometry", "ubuntu-22-04-server-amd64", "images/products/summer-sale-banner-03",
+            "getElementsByClassName2", "ThirdQuarterReport2023Final", "python3-setuptools-scm-git", "windows_10_professional_edition", "test_user_login_with_2_factors"]
+
+
+def test_ordinary_identifiers_are_no_secrets(spark, rng):
+    rows = list(enumerate(f"see {x} there" for x in ORDINARY))
+    rows += [(1000 + i, f"{rng.choice(ORDINARY[:8])}-{rng.choice(ORDINARY)}-{i}") for i in range(100)]
+    rows += [(2000 + i, "key " + token(rng, "base64", rng.randrange(24, 60))) for i in range(40)]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    false, true = sum("random" in got[i] for i, _ in rows if i < 2000), sum("random" in got[i] for i, _ in rows if i >= 2000)
+    assert true >= 36 and false <= 0.1 * true, [x for i, x in rows if i < 2000 and got[i]]
+
+
+def test_pair_probabilities(spark):
+    docs = spark.createDataFrame([(1, "ab AB ab1 " * 50), (2, "ba"), (3, None), (4, "q" * 30)], "doc_id long, text string")
+    got = secrets.word_pairs(docs)
+    prior = [secrets.PRIOR_PAIRS * 0.98 * x / sum(secrets.LETTERS) for x in secrets.LETTERS]
+    assert all(abs(sum(row) - 1) < 1e-9 for row in got)
+    # distinct words: ab, ab1, ba
+    assert abs(got[0][1] - (prior[1] + 2) / (secrets.PRIOR_PAIRS + 2)) < 1e-12 and abs(got[16][16] - prior[16] / secrets.PRIOR_PAIRS) < 1e-12
+    assert abs(got[1][26] - (secrets.PRIOR_PAIRS * 0.02 + 1) / (secrets.PRIOR_PAIRS + 2)) < 1e-12

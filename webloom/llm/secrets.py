@@ -10,10 +10,17 @@ alphabet it computes
  * the serial correlation at lag one,
 and takes three times the smallest of the three p-values.  Whether a token is too regular to be random is a family of tests
 over the whole corpus: in each stratum of encoding and length class (doubling lengths) the Benjamini-Hochberg procedure at
-`FALSE_DISCOVERIES` rejects the ordinary ones, so that the rate of random tokens lost among them is controlled at every
-length, however many tokens of other lengths there are.  What is not rejected is reported as kind `random`.
+`FALSE_DISCOVERIES` rejects the regular ones, so that the rate of random tokens lost among them is controlled at every
+length, however many tokens of other lengths there are.
 
-p-values are compared in steps of a twentieth of a decade, rounded up, so the procedure needs only a table of counts of
+Short tokens pass such tests whatever they say, so what is left must also differ from ordinary words.  The null is a chain of
+letter pairs: 26 letters without case, and one state for all digits; `-_/+` part a token.  Its 729 probabilities come
+from the distinct words of 2 to 19 such characters of all documents, beside a fixed prior of letter frequencies.
+Under the null the sum of a token's pair costs, less its mean and over its deviation, is about normal; its upper tail is the
+p-value of an ordinary token.  The same procedure per stratum rejects the null at `FALSE_DISCOVERIES`, which controls the rate of
+ordinary tokens among those reported as kind `random`.
+
+p-values are compared in steps of a twentieth of a decade, rounded up, so each procedure needs only a table of counts of
 bounded size (13 encodings x 32 length classes x 401 steps), from which at most 416 thresholds reach the driver.
 
 Edge cases: null and empty texts have no spans; rows with equal doc_ids are scanned on their own; a token without any
@@ -22,6 +29,7 @@ variation has p = 0; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +47,9 @@ MIN_VALUE = 12
 MIN_TOKEN = 20
 TOKEN = f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}(?![A-Za-z0-9+/_-])(?:={{1,6}}(?![A-Za-z0-9+/_=-]))?"
 FALSE_DISCOVERIES = 0.05
+# Usual letter frequencies of English text, in percent, a to z.
+LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.15, 2.0, 0.07)
+DIGIT_AFTER_LETTER, DIGIT_AFTER_DIGIT, PRIOR_PAIRS = 0.02, 0.8, 200      # the prior and its weight per state
 STEPS, LAST_STEP = 20, 400      # p-value steps per decade; the last holds all smaller values
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -148,8 +159,51 @@ def _encoding(token: Column) -> Column:
     return out
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans (`base`: kind number, a, b) and tested tokens (`tokens`: a, b, stratum, step).  No shuffle."""
+def _state(character: Column) -> Column:
+    """0 to 25 for the letters a to z, 26 for digits, -1 for all else."""
+    return F.when(character.between("0", "9"), F.lit(26)).otherwise(F.instr(F.lit(LOWER), character) - 1)
+
+
+def word_pairs(docs: DataFrame) -> list[list[float]]:
+    """The 27 x 27 probabilities of the state after a state, from the distinct words of `docs`; 729 counts reach the driver."""
+    # a long token is no word and must not fall into several, so words end where tokens do
+    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "[^a-z0-9+/_-]+")).alias("word"))
+    words = words.where(F.length("word").between(2, MIN_TOKEN - 1)).distinct()
+    pairs = words.select(F.transform(F.split("word", ""), _state).alias("x"))
+    both = F.zip_with(F.slice("x", F.lit(1), F.size("x") - 1), F.slice("x", F.lit(2), F.size("x") - 1), lambda a, b: F.when((a >= 0) & (b >= 0), 27 * a + b))
+    pairs = pairs.select(F.explode(both).alias("pair")).where("pair is not null")
+    share = [x / sum(LETTERS) for x in LETTERS]
+    counts = [[PRIOR_PAIRS * p for p in (*[(1 - d) * x for x in share], d)] for d in [DIGIT_AFTER_LETTER] * 26 + [DIGIT_AFTER_DIGIT]]
+    for pair, n in pairs.groupBy("pair").count().collect():
+        counts[pair // 27][pair % 27] += n
+    return [[n / sum(row) for n in row] for row in counts]
+
+
+def _odd_step(token: Column, pairs: list[list[float]]) -> Column:
+    """The step of the p-value of an ordinary token whose pairs are as rare as these."""
+    mean = [sum(-p * math.log(p) for p in row) for row in pairs]
+    variance = [sum(p * math.log(p) ** 2 for p in row) - m * m for row, m in zip(pairs, mean, strict=True)]
+    costs, means, variances = (F.lit([float(x) for x in of]) for of in ([-math.log(p) for row in pairs for p in row], mean, variance))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("excess"), F.lit(0.0).alias("variance"))
+
+    def add(acc: Column, x: Column) -> Column:
+        known = (acc["last"] >= 0) & (x >= 0)
+        return F.struct(x.alias("last"),
+                        F.when(known, acc["excess"] + costs[F.greatest(27 * acc["last"] + x, F.lit(0))] - means[F.greatest(acc["last"], F.lit(0))])
+                        .otherwise(acc["excess"]).alias("excess"),
+                        F.when(known, acc["variance"] + variances[F.greatest(acc["last"], F.lit(0))]).otherwise(acc["variance"]).alias("variance"))
+
+    def step(acc: Column) -> Column:
+        z = acc["excess"] / F.sqrt(F.greatest(acc["variance"], F.lit(1e-9)))
+        tail = F.greatest(_upper_tail(z), F.lit(1e-300))
+        return F.when((acc["variance"] <= 0) | (z <= 0), 0).otherwise(F.least(F.lit(LAST_STEP), F.floor(-F.log10(tail) * STEPS).cast("int")))
+    return F.aggregate(F.transform(F.split(F.lower(token), ""), _state), start, add, step)
+
+
+def candidates(docs: DataFrame, pairs: list[list[float]] | None = None) -> DataFrame:
+    """doc_id, base spans (`base`: kind number, a, b) and tested tokens (`tokens`: a, b, stratum, `step` of the battery, `odd` step
+    against ordinary words).  No shuffle but that of `word_pairs`, if they are not given."""
+    pairs = pairs or word_pairs(docs)
     text = F.col("_text")
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     rows = rows.select("*", _spans(text, ASSIGN, 1, MIN_VALUE).alias("_assign"), _spans(text, ACCESS).alias("_access"),
@@ -161,22 +215,23 @@ def candidates(docs: DataFrame) -> DataFrame:
     free = F.filter("_token", lambda t: ~F.exists("base", lambda s: (s["a"] < t["b"]) & (t["a"] < s["b"])))
     named = F.transform(free, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), F.substring(text, t["a"] + 1, t["b"] - t["a"]).alias("token")))
     rows = rows.withColumn("_named", F.transform(named, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), t["token"].alias("token"),
-                                                                           _encoding(t["token"]).alias("encoding"))))
+                                                                           _encoding(t["token"]).alias("encoding"),
+                                                                           _odd_step(t["token"], pairs).alias("odd"))))
     known = F.filter("_named", lambda t: t["encoding"].isNotNull())
     alphabet = {name: alphabet for name, (_, alphabet) in ENCODINGS.items()}
     valued = F.transform(known, lambda t: F.struct(
-        t["a"].alias("a"), t["b"].alias("b"), t["encoding"].alias("encoding"),
+        t["a"].alias("a"), t["b"].alias("b"), t["encoding"].alias("encoding"), t["odd"].alias("odd"),
         _by_encoding(t["encoding"], {k: len(v) for k, v in alphabet.items()}).alias("size"),
         F.transform(F.split(F.rtrim(F.when(t["encoding"] == "hex", F.lower(t["token"])).otherwise(t["token"]), F.lit("=")), ""),
                     lambda ch: (F.instr(_by_encoding(t["encoding"], alphabet), ch) - 1).cast("long")).alias("values")))
     rows = rows.withColumn("_valued", valued)
-    summed = F.transform("_valued", lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), t["encoding"].alias("encoding"),
+    summed = F.transform("_valued", lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), t["encoding"].alias("encoding"), t["odd"].alias("odd"),
                                                        t["size"].alias("size"), _sums(t["values"], t["size"]).alias("sums")))
     rows = rows.withColumn("_summed", summed)
     tested = F.transform("_summed", lambda t: F.struct(
         t["a"].alias("a"), t["b"].alias("b"),
         F.concat(t["encoding"], F.lit(":"), F.floor(F.log2(t["sums"]["n"].cast("double"))).cast("string")).alias("stratum"),
-        _p_step(_Flat(t)).alias("step")))
+        _p_step(_Flat(t)).alias("step"), t["odd"].alias("odd")))
     return rows.select("doc_id", "base", tested.alias("tokens"))
 
 
@@ -190,9 +245,9 @@ class _Flat:
         return self.c[name] if name == "size" else self.c["sums"][name]
 
 
-def thresholds(tested: DataFrame, rate: float = FALSE_DISCOVERIES) -> dict[str, int]:
+def thresholds(tested: DataFrame, rate: float = FALSE_DISCOVERIES, field: str = "step") -> dict[str, int]:
     """The first rejected step of each stratum that rejects any: the Benjamini-Hochberg step-up over stored counts."""
-    counts = tested.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.step").agg(F.count("*").alias("n"))
+    counts = tested.select(F.explode("tokens").alias("t")).groupBy("t.stratum", F.col(f"t.{field}").alias("step")).agg(F.count("*").alias("n"))
     smaller = Window.partitionBy("stratum").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.select("stratum", "step", F.sum("n").over(smaller).alias("k"), F.sum("n").over(Window.partitionBy("stratum")).alias("m"))
     passed = ranked.where(F.pow(F.lit(10.0), -F.col("step") / STEPS) <= rate * F.col("k") / F.col("m"))
@@ -207,9 +262,13 @@ def _listed(spans: Column) -> Column:
 def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 (of the pattern spans) and spans (all, `kind:start:end` by start)."""
     tested = materialize(candidates(docs), "tokens")
-    limits = thresholds(tested, rate)
-    first = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.expr("cast(map() as map<string,int>)")
-    random = F.transform(F.filter("tokens", lambda t: t["step"] < F.coalesce(F.element_at(first, t["stratum"]), F.lit(LAST_STEP + 1))),
+
+    def first(field: str, t: Column) -> Column:
+        limits = limit_of[field]
+        known = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.expr("cast(map() as map<string,int>)")
+        return F.coalesce(F.element_at(known, t["stratum"]), F.lit(LAST_STEP + 1))
+    limit_of = {field: thresholds(tested, rate, field) for field in ("step", "odd")}
+    random = F.transform(F.filter("tokens", lambda t: (t["step"] < first("step", t)) & (t["odd"] >= first("odd", t))),
                          lambda t: F.struct(t["a"].alias("a"), F.lit(3).alias("kind"), t["b"].alias("b")))
 
     def count(kind: int) -> Column:
