@@ -3,7 +3,9 @@
 import csv
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,29 @@ def test_written_arrays_and_nothing_to_read(spark, tmp_path):
     assert splits.json_records(spark, str(tmp_path / "none")).count() == 0
     (tmp_path / "empty.csv").write_text("")
     assert readers.read_exported_csv(spark, str(tmp_path / "empty.csv")).count() == 0
+
+
+def pieces_of(text, separator):
+    values = text.split(separator)[:-1]
+    rows = len(values)
+    return pa.RecordBatch.from_pydict({"file": ["f"] * rows, "start": pa.array([0] * rows, pa.int64()), "value": values, "inside": pa.array([0] * rows, pa.int32()),
+                                       "depth": pa.array([0] * rows, pa.int64()), "base": pa.array([1] * rows, pa.int32())})
+
+
+def test_memory_of_a_batch_is_bounded():
+    """An Arrow batch of many long records is looked at in short runs of pieces."""
+    batch = pieces_of("[" + ",".join(json.dumps({"id": i, "text": "word, " * 2000}) for i in range(2500)) + "]}", "}")
+    for step in (splits._effects(splits._Json), splits._cut(splits._Json)):
+        tracemalloc.start()
+        n = sum(b.num_rows for b in step(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n in (1, 2500) and peak < 2 * batch.nbytes        # 33 times the batch when it was looked at as a whole
+
+
+@pytest.mark.parametrize("most", [1, 50, 10**6])
+def test_runs_of_any_size_cut_the_same(monkeypatch, most):
+    made = rows(200, 8)
+    monkeypatch.setattr(splits.ranges, "__defaults__", (most,))
+    found = [r for b in splits._cut(splits._Json)(iter([pieces_of("[" + ",".join(map(json.dumps, made)) + "}", "}")])) for r in b.to_pylist() if r["part"] == "whole"]
+    assert [json.loads(r["record"]) for r in found] == made and [r["n"] for r in found] == list(range(200))

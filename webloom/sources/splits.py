@@ -13,12 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+RUN_BYTES = 4_000_000           # of pieces that are looked at together, whatever the size of an Arrow batch
+
 _QUOTE, _BACKSLASH = ord('"'), ord("\\")
 _OPEN, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
 _OPEN[[ord("{"), ord("[")]] = True
@@ -30,17 +33,19 @@ class _Json:
     separator = "}"
 
     @staticmethod
-    def marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of quotes that begin or end a string, and the bracket change at every byte, strings or not."""
-        quotes = np.flatnonzero(data == _QUOTE)
-        slashes = data == _BACKSLASH
-        if slashes.any():
-            # how many backslashes stand right before each place
-            free = np.where(~slashes, np.arange(len(data)), -1)
-            run = np.arange(len(data)) - np.maximum.accumulate(free)
-            before = np.where(quotes > 0, run[quotes - 1] * slashes[quotes - 1], 0)
+    def marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of quotes that begin or end a string, places of brackets, in strings or not, and their change of depth."""
+        quotes, slashes = np.flatnonzero(data == _QUOTE), np.flatnonzero(data == _BACKSLASH)
+        if len(slashes):
+            # how many backslashes stand right before each quote
+            first = np.ones(len(slashes), bool)
+            first[1:] = np.diff(slashes) != 1
+            begun = slashes[first][np.cumsum(first) - 1]
+            last = np.searchsorted(slashes, quotes) - 1
+            before = np.where((last >= 0) & (slashes[last] == quotes - 1), quotes - begun[last], 0)
             quotes = quotes[before % 2 == 0]
-        return quotes, _OPEN[data].astype(np.int64) - _CLOSE[data]
+        places = np.flatnonzero(_OPEN[data] | _CLOSE[data])
+        return quotes, places, np.where(_OPEN[data[places]], 1, -1)
 
 
 class _Csv:
@@ -48,15 +53,25 @@ class _Csv:
     separator = "\n"
 
     @staticmethod
-    def marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.flatnonzero(data == _QUOTE), np.zeros(len(data), np.int64)
+    def marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of quotes and of line ends, which change no depth."""
+        places = np.flatnonzero(data == ord("\n"))
+        return np.flatnonzero(data == _QUOTE), places, np.zeros(len(places), np.int64)
+
+
+def _inside(quotes: np.ndarray, places: np.ndarray, begun: int) -> np.ndarray:
+    """Per place whether it lies in a quoted value."""
+    return (np.searchsorted(quotes, places) + begun) % 2 == 1
 
 
-def _inside(quotes: np.ndarray, n: int, begun: int) -> np.ndarray:
-    """Per byte whether it lies in a quoted value, the opening quote included."""
-    odd = np.zeros(n, np.int64)
-    odd[quotes] = 1
-    return (np.cumsum(odd) + begun) % 2 == 1
+def ranges(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of an Arrow array of strings with at most `most` bytes each, one string at least."""
+    total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + most, "right")) - 1)
+        yield low, high
+        low = high
 
 
 def _bytes(batch: pa.RecordBatch, low: int, high: int, separator: str) -> bytes:
@@ -64,7 +79,7 @@ def _bytes(batch: pa.RecordBatch, low: int, high: int, separator: str) -> bytes:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], separator: str):
-    """(file, start, first batch of the split, its batch, bytes) in the order of the rows."""
+    """((file, start), whether it begins the split, a row of it, bytes) in the order of the rows, at most `RUN_BYTES` or one piece at a time."""
     now = None
     for batch in batches:
         keys = list(zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True))
@@ -73,8 +88,10 @@ def _runs(batches: Iterator[pa.RecordBatch], separator: str):
             high = low + 1
             while high < len(keys) and keys[high] == keys[low]:
                 high += 1
-            yield keys[low], keys[low] != now, batch.slice(low, 1), _bytes(batch, low, high, separator)
-            now, low = keys[low], high
+            for a, b in ranges(batch.column("value").slice(low, high - low)):
+                yield keys[low], keys[low] != now, batch.slice(low, 1), _bytes(batch, low + a, low + b, separator)
+                now = keys[low]
+            low = high
 
 
 def _effects(kind):
@@ -85,10 +102,10 @@ def _effects(kind):
             if new:
                 done.append([*key, 0, 0, 0, ""])
             data = np.frombuffer(raw, np.uint8)
-            quotes, brackets = kind.marks(data)
+            quotes, places, change = kind.marks(data)
             own = done[-1]
-            inside = _inside(quotes, len(data), 0)
-            outer, inner = int(brackets[~inside].sum()), int(brackets[inside].sum())
+            inside = _inside(quotes, places, 0)
+            outer, inner = int(change[~inside].sum()), int(change[inside].sum())
             if own[2]:
                 outer, inner = inner, outer
             own[2], own[3], own[4] = (own[2] + len(quotes)) % 2, own[3] + outer, own[4] + inner
@@ -123,18 +140,18 @@ def _cut(kind):
                 inside, depth, base = (facts.column(c)[0].as_py() for c in ("inside", "depth", "base"))
                 state = {"key": key, "n": 0, "inside": inside, "depth": depth, "base": base, "held": b"", "open": bool(inside) if kind is _Csv else depth > base}
             data = np.frombuffer(raw, np.uint8)
-            quotes, brackets = kind.marks(data)
-            inside = _inside(quotes, len(data), state["inside"])
+            quotes, places, change = kind.marks(data)
+            outside = ~_inside(quotes, places, state["inside"])
+            places, change = places[outside], change[outside]
             if kind is _Csv:
-                ends = np.flatnonzero((data == ord("\n")) & ~inside)
+                ends = places
                 begins = np.concatenate([[0], ends + 1]) if len(ends) else np.zeros(1, np.int64)
             else:
-                change = np.where(inside, 0, brackets)
                 depth = np.cumsum(change) + state["depth"]
-                ends = np.flatnonzero((change < 0) & (depth == state["base"]))
-                begins = np.flatnonzero((change > 0) & (depth == state["base"] + 1))
+                ends = places[(change < 0) & (depth == state["base"])]
+                begins = places[(change > 0) & (depth == state["base"] + 1)]
                 state["depth"] = int(depth[-1]) if len(depth) else state["depth"]
-            state["inside"] = int(inside[-1]) if len(inside) else state["inside"]
+            state["inside"] = (state["inside"] + len(quotes)) % 2
             # a record held from the batch before, or from the split before, goes on at the first byte
             going = kind is _Csv or bool(state["held"]) or state["open"]
             starts = begins if kind is _Csv else np.concatenate([[0], begins]) if going else begins

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.session import number_rows
+from webloom.sources.splits import ranges
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -40,9 +41,9 @@ def write_json_arrays(df: DataFrame, path: str, mode: str = "errorifexists") ->
 
     def bracketed(batches):
         last, before = None, "["
-        for batch in batches:
+        for values in (batch.column(0).slice(a, b - a) for batch in batches for a, b in ranges(batch.column(0))):
             ready = []
-            for value in batch.column(0).to_pylist():
+            for value in values.to_pylist():
                 if last is not None:
                     ready.append(before + last)
                     before = ","
