@@ -210,3 +210,21 @@ def test_parse_agrees_across_partitions(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     digest = lambda df: df.select(F.xxhash64(F.to_json(parse_html(F.col("html")))).alias("h")).agg(F.sum(F.col("h").cast("decimal(38,0)"))).first()[0]
     assert digest(pages.repartition(1)) == digest(pages.repartition(8))
+
+
+def test_product_pages_are_made_by_many_tasks(spark, folder):
+    """The parts lie in one row group, which one task reads; the pages are parsed by many."""
+    from webloom.plans import derived
+    pages = derived.product_pages(spark, folder)
+    counts = pages.groupBy(F.spark_partition_id()).count().collect()
+    assert len(counts) >= spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in counts) <= 2 * min(r["count"] for r in counts)
+
+
+def test_filters_do_not_repeat_the_parse(spark, folder):
+    """What is read off the nodes and filtered, or exploded, is parsed once, and behind the exchange that deals the rows."""
+    from webloom.plans.catalog import QUERIES
+    for name in ("k04_next_page_edges", "x25_page_proposals", "x21_record_list"):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython ") == 1, name
+        assert plan.index("ArrowEvalPython ") < plan.index("Exchange RoundRobinPartitioning"), name

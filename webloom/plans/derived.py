@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.plans.registry import table
+from webloom.session import spread
 
 
 def _page(*parts) -> Column:
@@ -13,8 +14,11 @@ def _page(*parts) -> Column:
 
 
 def product_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """One shop page per part, with metadata, JSON-LD, a table, images, offers and a next link."""
-    p = table(spark, folder, "part")
+    """One shop page per part, with metadata, JSON-LD, a table, images, offers and a next link.
+
+    A part is a short row and its page takes long, so the parts are dealt out before they become pages.
+    """
+    p = spread(table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"))
     key, name, brand, kind, size = (F.col(c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     html = _page(
         '<!DOCTYPE html><html><head><title> ', name, ' ', key, ' </title><meta name="description" content="', name, ' by ',
