@@ -1,5 +1,6 @@
 """The methods against brute force, exact round trips and held-out accuracy."""
 
+import sys
 import base64
 import collections
 import hashlib
@@ -396,3 +397,14 @@ def test_randomness_battery(spark, rng):
     assert checked > 60
     random = sum("random" in r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id < 100)
     assert random >= 45
+
+
+def test_steps_without_tokens_let_go_of_encoders():
+    """A worker that encoded holds its caches until another step of the pipeline starts in it."""
+    from webloom.llm import decontaminate, near_duplicates, tokens
+    steps = [lambda: list(near_duplicates._sets(iter(()))), lambda: list(decontaminate._scan([], 13)(iter(())))]
+    for step in steps:
+        tokens.encoder("word_bpe_49k.json", "words")
+        assert sys.modules["_webloom_encoders"].made
+        step()
+        assert "_webloom_encoders" not in sys.modules

@@ -26,6 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.tokens import forget
 from webloom.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -92,6 +93,7 @@ _SCHEMA = "row long, doc_id long, n_words long, spans array<struct<first:long,la
 
 def _scan(items: list[tuple[str | None, str]], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scanner = Scanner(items, window)
         kinds = (pa.int64(), pa.int64(), pa.int64(),
                  pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "last", "start", "end")])), pa.list_(pa.string()))
@@ -182,6 +184,7 @@ def _verdict(known: list[tuple[str | None, str]], window: int):
 
     def run(texts):
         if not made:
+            forget()
             made.append(Scanner(known, window))
 
         def contaminated(text: str | None) -> bool:

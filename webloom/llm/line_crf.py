@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.tokens import slices
+from webloom.llm.tokens import forget, slices
 from webloom.llm.wordhash import constants, hash_words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -234,6 +234,7 @@ _SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
 
 def _label(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts, SLICE):

@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.tokens import slices
+from webloom.llm.tokens import forget, slices
 from webloom.llm.wordhash import constants, hash_words, mix
 from webloom.session import materialize, release
 
@@ -79,6 +79,7 @@ def signatures(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
+    forget()
     uid = TaskContext.get().partitionId() << 40
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -97,6 +98,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in slices(texts):
