@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +231,47 @@ def test_filters_do_not_repeat_the_parse(spark, folder):
         plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython ") == 1, name
         assert plan.index("ArrowEvalPython ") < plan.index("Exchange RoundRobinPartitioning"), name
+
+def test_plain_markup_is_read_without_the_library(spark, folder, monkeypatch):
+    """What the library costs per tag was most of the parse; it is left to odd places."""
+    from webloom.functions import html
+    from webloom.plans import derived
+    pages = derived.product_pages(spark, folder).select("html").limit(50).union(spark.read.parquet(f"{folder}/pages.parquet").select("html").limit(50))
+    texts = [r["html"] for r in pages.collect()]
+
+    def refuse(*_):
+        raise RuntimeError("the library was asked")
+    monkeypatch.setattr(html._Flattener, "feed", refuse)
+    assert len(html._parse_batch(pa.array(texts))) == 100
+
+
+_ODD = ["<", ">", '"', "'", "=", "/", " ", "a", "&amp;", "&", "<p", "<p>", "</p>", "<br/>", "<br />", "<script>", "</SCRIPT >", "<style>x</style>", "<!--", "-->", "-- >",
+        "<!doctype html>", "<!x>", "<![if]>", "<?pi>", "<a href=x/>", '<a href="x" b>', "<A HREF='q&amp;'>", '<td headers=" x  y">', "\x00", "\xa0", "é", "<textarea>",
+        "</textarea>", "<p/x>", '<p x=y"z>', "<a a=1 a=2>", "</ p>", "</p x>", "</>", "<3", "<p\x0b>", "<p a= b>", "<p a==b>", "<p é=1>", '<img src="a>b" alt>', "<template>",
+        '<x-y:z.w_1 q.w:e-r="1">', "<script/>", '<a b="c"d="e">', "<p =x>", "\r\n", "<p a=\xa0b>"]
+
+
+def test_plain_markup_is_read_as_the_library_reads_it(monkeypatch):
+    from webloom.functions import html
+    rng = random.Random(7)
+    docs = pa.array(["".join(rng.choices(_ODD, k=rng.randint(1, 14))) for _ in range(3000)])
+    found = html._parse_batch(docs)
+
+    def library(self, doc):
+        self.feed(doc)
+        self.close()
+    monkeypatch.setattr(html._Flattener, "read", library)
+    assert found.equals(html._parse_batch(docs))
+
+
+_PARSED_ONCE = [
+    "x22_custom_fields",
+]
+
+
+@pytest.mark.parametrize("name", _PARSED_ONCE)
+def test_product_pages_are_parsed_once_behind_the_exchange(spark, folder, name):
+    from webloom.plans.catalog import QUERIES
+    plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython ") == 1
+    assert plan.index("ArrowEvalPython ") < plan.rindex("Exchange RoundRobinPartitioning")
