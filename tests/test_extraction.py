@@ -266,6 +266,7 @@ def test_plain_markup_is_read_as_the_library_reads_it(monkeypatch):
 
 _PARSED_ONCE = [
     "x22_custom_fields",
+    "x19_regex_filter",
 ]
 
 
