@@ -267,6 +267,7 @@ def test_plain_markup_is_read_as_the_library_reads_it(monkeypatch):
 _PARSED_ONCE = [
     "x22_custom_fields",
     "x19_regex_filter",
+    "k04_next_page_edges",
 ]
 
 
