@@ -268,6 +268,7 @@ _PARSED_ONCE = [
     "x22_custom_fields",
     "x19_regex_filter",
     "k04_next_page_edges",
+    "x09_table_cells",
 ]
 
 
