@@ -269,6 +269,7 @@ _PARSED_ONCE = [
     "x19_regex_filter",
     "k04_next_page_edges",
     "x09_table_cells",
+    "x16_xpath",
 ]
 
 
