@@ -270,6 +270,7 @@ _PARSED_ONCE = [
     "k04_next_page_edges",
     "x09_table_cells",
     "x16_xpath",
+    "x13_structured_data",
 ]
 
 
