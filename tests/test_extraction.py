@@ -271,6 +271,7 @@ _PARSED_ONCE = [
     "x09_table_cells",
     "x16_xpath",
     "x13_structured_data",
+    "x23_try_rules",
 ]
 
 
