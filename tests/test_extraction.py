@@ -272,6 +272,7 @@ _PARSED_ONCE = [
     "x16_xpath",
     "x13_structured_data",
     "x23_try_rules",
+    "x12_open_graph",
 ]
 
 
