@@ -273,6 +273,7 @@ _PARSED_ONCE = [
     "x13_structured_data",
     "x23_try_rules",
     "x12_open_graph",
+    "x21_record_list",
 ]
 
 
