@@ -274,6 +274,7 @@ _PARSED_ONCE = [
     "x23_try_rules",
     "x12_open_graph",
     "x21_record_list",
+    "x25_suggest_schema",
 ]
 
 
