@@ -275,6 +275,7 @@ _PARSED_ONCE = [
     "x12_open_graph",
     "x21_record_list",
     "x25_suggest_schema",
+    "x07_link_details",
 ]
 
 
