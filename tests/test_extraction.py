@@ -276,6 +276,7 @@ _PARSED_ONCE = [
     "x21_record_list",
     "x25_suggest_schema",
     "x07_link_details",
+    "x14_css_single",
 ]
 
 
