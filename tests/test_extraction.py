@@ -277,6 +277,7 @@ _PARSED_ONCE = [
     "x25_suggest_schema",
     "x07_link_details",
     "x14_css_single",
+    "x16_xpath_unions",
 ]
 
 
