@@ -278,6 +278,7 @@ _PARSED_ONCE = [
     "x07_link_details",
     "x14_css_single",
     "x16_xpath_unions",
+    "x27_extract",
 ]
 
 
