@@ -279,6 +279,7 @@ _PARSED_ONCE = [
     "x14_css_single",
     "x16_xpath_unions",
     "x27_extract",
+    "x15_css_multiple",
 ]
 
 
