@@ -280,6 +280,7 @@ _PARSED_ONCE = [
     "x16_xpath_unions",
     "x27_extract",
     "x15_css_multiple",
+    "x17_json_ld_field",
 ]
 
 
