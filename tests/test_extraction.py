@@ -281,6 +281,7 @@ _PARSED_ONCE = [
     "x27_extract",
     "x15_css_multiple",
     "x17_json_ld_field",
+    "x01_meta_tags",
 ]
 
 
