@@ -110,6 +110,26 @@ def test_genetic_packing_reaches_the_best(rng):
     assert 20 <= len(best) <= len(first)
 
 
+def test_an_island_keeps_the_loads_of_its_bins(rng, monkeypatch):
+    """Every load was summed again by each sort, fitness and fit."""
+    def refuse(*_):
+        raise RuntimeError("summed again")
+    sizes = [rng.randrange(300, 700) for _ in range(60)]
+    monkeypatch.setattr(packing, "_load", refuse)
+    assert sorted(i for b in packing.evolve(sizes, 1000, 1) for i in b) == list(range(60))
+
+
+def test_ascii_letters_stand_for_themselves(monkeypatch):
+    """Only other letters pass the table of bytes."""
+    enc = tokens.Encoder("byte_bpe_50k.json", "bytes")
+    texts = ["harbour seals", "Größe der Stadt", "a", " b c"]
+    want = [e.ids for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    ids, lens = enc.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
+    monkeypatch.setattr(tokens, "_BYTE_LETTERS", {32: tokens._BYTE_LETTERS[32], 9: tokens._BYTE_LETTERS[9]})
+    assert enc.encode(["quay lines"])[0].tolist() == enc.tokenizer.encode("quay lines", add_special_tokens=False).ids
+
+
 def test_base_counts_and_labels(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
