@@ -291,3 +291,34 @@ def test_product_pages_are_parsed_once_behind_the_exchange(spark, folder, name):
     plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython ") == 1
     assert plan.index("ArrowEvalPython ") < plan.rindex("Exchange RoundRobinPartitioning")
+
+
+def test_plain_markup_takes_no_call_per_node(spark, folder):
+    """What is called per node, in Python, is most of what a parse costs."""
+    import sys
+
+    from webloom.functions import html
+    from webloom.plans import derived
+    texts = pa.array([r["html"] for r in derived.product_pages(spark, folder).select("html").limit(50).collect()])
+    calls = 0
+
+    def count(frame, event, _):
+        nonlocal calls
+        calls += event == "call"
+    html._parse_batch(texts)
+    sys.setprofile(count)
+    try:
+        nodes = html._parse_batch(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls < len(nodes.flatten())
+
+
+def test_a_document_that_stops_the_library_half_way_leaves_no_nodes_behind():
+    from webloom.functions import html
+    good, bad = "<p class=' a  b '>1<br></p>", "<p>x<b y=1>z</b><![if"
+    alone = html._parse_batch(pa.array([good]))
+    for docs in ([bad, good], [good, bad]):
+        found = html._parse_batch(pa.array(docs))
+        assert found.slice(docs.index(good), 1).equals(alone)
+        assert found.slice(docs.index(bad), 1).equals(html._parse_batch(pa.array([bad])))
