@@ -130,6 +130,38 @@ def test_ascii_letters_stand_for_themselves(monkeypatch):
     assert enc.encode(["quay lines"])[0].tolist() == enc.tokenizer.encode("quay lines", add_special_tokens=False).ids
 
 
+def _python_calls(work):
+    import sys
+    calls = 0
+
+    def count(frame, event, _):
+        nonlocal calls
+        calls += event == "call"
+    sys.setprofile(count)
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return calls
+
+
+def test_numbering_and_fitting_take_no_call_per_unit_or_piece():
+    store, units = tokens.IdStore(), [f"u{i}" for i in range(1000)]
+    assert _python_calls(lambda: store.numbers(units)) < 20
+    assert store.asked()[0] == units and store.asked()[0] == []
+    sizes = [1 + i * 7 % 400 for i in range(1000)]
+    assert _python_calls(lambda: packing._fit(range(1000), sizes, 1000)) < 20
+
+
+def test_units_of_words_and_marks_have_the_library_ids():
+    texts = ["Well, (quay) lines;a b.c --- x!? Größe, e\u0301t. naïve:", "\tpier's $5 #1 A" + "a" * 70 + ", ok...", "日本, αβγ. ª, ²! \nend.", ""]
+    for kind, file in (("bytes", "byte_bpe_50k.json"), ("words", "word_bpe_49k.json")):
+        enc = tokens.Encoder(file, kind)
+        ids, lens = enc.encode(texts)
+        want = [e.ids for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
+
+
 def test_base_counts_and_labels(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
