@@ -162,6 +162,20 @@ def test_units_of_words_and_marks_have_the_library_ids():
         assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
 
 
+def test_words_are_learnt_once_whatever_stands_beside_them():
+    """Letters and the punctuation after them are numbered apart, and a word after a break is the word alone."""
+    texts = ["stone, bridge\nstone. river", None, "", "bridge! stone\nriver;", "two  stone,\tbridge", "river"]
+    for kind, file in (("bytes", "byte_bpe_50k.json"), ("words", "word_bpe_49k.json")):
+        enc = tokens.Encoder(file, kind)
+        ids, lens = enc.encode(texts[:4])
+        assert not [u for u in enc.store.known if u[-1] in tokens._MARKS and u.strip(tokens._MARKS + tokens._BARE)]
+        assert sum("stone" in u for u in enc.store.known) <= 2
+        ids, lens = enc.encode(texts)
+        want = [e.ids for e in enc.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
+        assert [len(x) for x in enc.encode([None, ""])] == [0, 2] and len(enc.encode([])[0]) == 0
+
+
 def test_base_counts_and_labels(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
