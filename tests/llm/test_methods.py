@@ -474,3 +474,16 @@ def test_steps_without_tokens_let_go_of_encoders():
         assert sys.modules["_webloom_encoders"].made
         step()
         assert "_webloom_encoders" not in sys.modules
+
+
+def test_packing_lets_go_of_encoders_and_their_memory():
+    """Idle workers held the caches of packing through the next run; dropped ones stayed with the allocators."""
+    held = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+    for step in (packing._round(1024, 0), packing._places(1024)):
+        enc = tokens.encoder("word_bpe_49k.json", "words")
+        enc.store.known.update((f"u{i}", i) for i in range(600_000))
+        enc.store.ids = np.ones(8_000_000, np.uint32)
+        del enc
+        full = held()
+        assert list(step(iter(()))) == [] and "_webloom_encoders" not in sys.modules
+        assert held() < full - 80
