@@ -97,6 +97,20 @@ def test_pagination_chain(spark):
     assert [r.url for r in K.pagination_chain(df, "https://o.example/1", 5).collect()] == ["https://o.example/1"]
 
 
+def test_next_page_edges_stay_on_the_host(spark):
+    rows = [("https://a.example/1", '<a rel="next" href="/2">x</a>', "https://a.example/2"),
+            ("https://a.example/2", '<a rel="next" href="https://b.example/3">x</a>', None),
+            ("https://a.example/list?page=2", '<a href="https://b.example/3">Next</a>', None),      # no counted page instead
+            ("https://a.example/list?page=3", "<p>", "https://a.example/list?page=4"),
+            ("https://b.a.example/4", '<a class="next" href="https://a.example/5">x</a>', None),
+            ("https://a.example/5", '<a rel="next" href="https://a.example:444/6">x</a>', None),
+            (" https://A.example/6\n", '<a rel="next" href="http://a.EXAMPLE/7">x</a>', "http://a.EXAMPLE/7"),
+            ("https://a.example/7", "<p>", None)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "url string, html string")
+    got = {(r.src, r.dst) for r in K.next_page_edges(pages).collect()}
+    assert got == {(url, dst) for url, _, dst in rows if dst}
+
+
 def test_fetch_slots_equal_the_loop(spark):
     rng = random.Random(2)
     asks = [(i, rng.choice("aaab"), rng.uniform(0, 400)) for i in range(300)]

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webloom.functions import urls
-from webloom.operators.extraction import link_rows, next_page_url, with_nodes
+from webloom.functions import text, urls
+from webloom.operators.extraction import BASE, link_rows, next_page_url, with_nodes
 from webloom.session import materialize, number_rows
 
 MAX_PAGES = 10
@@ -75,7 +75,9 @@ def with_sitemap_seeds(seeds: DataFrame, sitemap_urls: DataFrame, max_pages: int
 
 def next_page_edges(pages: DataFrame) -> DataFrame:
     """(src, dst): each page's following page, kept when it stays on the page's host."""
-    nxt = with_nodes(pages).select(F.col("url").alias("src"), next_page_url(F.col("url")).alias("dst"))
+    host = lambda parts: F.lower(parts["netloc"])
+    stays = lambda dst: F.when(host(urls.url_parts(dst)) == host(F.col(BASE)), dst)
+    nxt = with_nodes(pages).select(F.col("url").alias("src"), text.let(next_page_url(F.col("url")), stays).alias("dst"))
     return nxt.where(F.col("dst").isNotNull())
 
 
